@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from statloom.operators import orphans, profile
+from statloom.operators import orphans, profile, schema_drift
 from statloom.session import table
 
 PROFILED = ["referee", "stadium", "possession_home"]
@@ -49,7 +49,32 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphan_report(_orphans(spark, d))
 
 
-QUERIES = {"p1_found": p1_found, "p1_profile": p1_profile, "p1_masks": p1_masks, "p3_found": p3_found, "p3_report": p3_report}
+def _raw(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return table(spark, d, "raw_files"), table(spark, d, "raw_file_lines"), table(spark, d, "field_catalog")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return schema_drift.schema_changes(schema_drift.schema_scripts(*_raw(spark, d)))
+
+
+def p6_scripts(spark: SparkSession, d: str) -> DataFrame:
+    """The edit script and the projection of every file."""
+    return schema_drift.schema_scripts(*_raw(spark, d))
+
+
+def p6_key_stats(spark: SparkSession, d: str) -> DataFrame:
+    return schema_drift.consistent_table(*_raw(spark, d), "key_stats")
+
+
+def p6_defending(spark: SparkSession, d: str) -> DataFrame:
+    return schema_drift.consistent_table(*_raw(spark, d), "defending")
+
+
+QUERIES = {
+    "p1_found": p1_found, "p1_profile": p1_profile, "p1_masks": p1_masks,
+    "p3_found": p3_found, "p3_report": p3_report,
+    "p6_found": p6_found, "p6_scripts": p6_scripts, "p6_key_stats": p6_key_stats, "p6_defending": p6_defending,
+}
 
 _MARKERS = "('', 'NULL', 'NAN', 'NONE', 'NA', 'NOT_AVAILABLE_IN_SOURCE', 'NO_ASSIST_OR_NOT_RECORDED', '<NA>')"
 
