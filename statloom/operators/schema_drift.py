@@ -250,6 +250,15 @@ def _number(value: Column) -> Column:
     return F.replace(value, F.lit(","), F.lit(".")).try_cast("double")
 
 
+def _reading(value: Column) -> Column:
+    """The number that a cell stands for: with a letter before it (P12), a unit or an
+    asterisk after it (9.5 km, 12*), or as hours and minutes (7:53, in minutes)."""
+    plain = F.regexp_extract(value, r"^[A-Za-z]?([+-]?[0-9]+(?:[.,][0-9]+)?) ?(?:[A-Za-z%]{1,4}(?:/[A-Za-z])?|\*)?\z", 1)
+    clock = value.rlike(r"^[0-9]+:[0-5][0-9]\z")
+    hours, minutes = F.substring_index(value, ":", 1).try_cast("double"), F.substring_index(value, ":", -1).try_cast("double")
+    return F.when(clock, hours * 60 + minutes).when(plain != "", _number(plain))
+
+
 def column_profiles(files: DataFrame, lines: DataFrame) -> DataFrame:
     """(file_id, columns): each file's columns in order: pos, name, kind, mean, hashes.
 
@@ -381,12 +390,7 @@ def consistent_table(files: DataFrame, lines: DataFrame, catalog: DataFrame, sub
         return F.when(~F.upper(v).isin(*NO_VALUE), v)
 
     fields = [(r[0], r[1]) for r in catalog.filter(F.col("subject") == subject).select("field_name", "field_type").collect()]
-    cast = {
-        "integer": lambda v: F.when(v.rlike(r"^[+-]?[0-9]+([.,]0+)?\z"), _number(v)).cast("long"),
-        "decimal": lambda v: F.when(v.rlike(r"^[+-]?[0-9]+([.,][0-9]+)?\z"), _number(v)),
-        # what stands around the digits of a number is left out when it has a fixed sign
-        "text": lambda v: v,
-    }
+    cast = {"integer": lambda v: F.when(F.round(_reading(v)) == _reading(v), _reading(v)).cast("long"), "decimal": _reading, "text": lambda v: v}
     known = [f for f, _ in fields]
     extra = F.map_filter(F.transform_values("places", lambda k, p: F.try_element_at("fields", p + 1)), lambda k, v: ~k.isin(*known) & v.isNotNull())
     unread = F.map_from_entries(

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from statloom.operators import orphans, profile, schema_drift
+from statloom.functions.missing import is_missing, norm_key
+from statloom.operators import mixture, orphans, profile, schema_drift
+from statloom.operators.mixture import Number
 from statloom.session import table
 
 PROFILED = ["referee", "stadium", "possession_home"]
@@ -49,6 +52,93 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphan_report(_orphans(spark, d))
 
 
+# --- problem 5: what is filled, from what, and what a column can hold
+
+MATCH_NUMBERS = [
+    Number("minutes_played", high=130, fill=True), Number("shots", fill=True), Number("shots_on_target"), Number("shots_off_target"),
+    Number("shots_blocked"), Number("passes_attempted"), Number("passes_completed"), Number("touches"), Number("distance_covered"),
+]
+SEASON_NUMBERS = [
+    Number("passes_completed", fill=True), Number("passes_attempted"), Number("minutes_played"), Number("matches_played"), Number("tackles"), Number("interceptions"),
+]
+PLAYER_NUMBERS = [Number("height_cm", low=140, high=220, whole=False, fill=True), Number("weight_kg", low=35, high=150), Number("age", low=10, high=60)]
+POSITIONS = ["DEF", "FW", "GK", "MID"]
+_STATISTICS_KEYS = ("row_id", "player_id", "match_id", "team_id", "season", "loaded_at")
+
+
+def position_group(c: Column) -> Column:
+    """GK, DEF, MID or FW from a full name or a code; NULL for anything else."""
+    first = F.upper(F.substring(F.trim(c), 1, 1))
+    return F.when(is_missing(c) | (F.upper(F.trim(c)) == "UNK"), None).otherwise(
+        F.when(first == "G", "GK").when(first == "D", "DEF").when(first == "M", "MID").when(first.isin("F", "S", "A"), "FW")
+    )
+
+
+def used_rows(df: DataFrame) -> DataFrame:
+    """The rows of a statistics table with at least one statistic."""
+    any_value = F.lit(False)
+    for name, kind in df.dtypes:
+        if name not in _STATISTICS_KEYS and kind in ("bigint", "int", "double"):
+            any_value = any_value | F.col(name).isNotNull()
+    return df.filter(any_value)
+
+
+def _with_player(spark: SparkSession, d: str, stats: DataFrame, numbers: list[Number]) -> DataFrame:
+    """The statistics with their player's means of the filled columns and position."""
+    targets = [n for n in numbers if n.fill]
+    means = mixture.group_means(stats, norm_key(F.col("player_id")), targets)
+    where = (
+        table(spark, d, "players_cleaned")
+        .select(norm_key(F.col("player_id")).alias("k"), position_group(F.col("position")).alias("position"))
+        .filter("k is not null")
+        .groupBy("k")
+        .agg(F.mode("position", True).alias("position"))
+    )
+    dim = means.join(where, "k", "left")
+    return mixture.join_group(stats, norm_key(F.col("player_id")), dim, F.col("row_id")).withColumnRenamed("row_id", "row_key")
+
+
+def _match_cells(spark: SparkSession, d: str) -> DataFrame:
+    own = MATCH_NUMBERS + [Number("mean_minutes_played"), Number("mean_shots")]
+    stats = used_rows(table(spark, d, "player_match_stats_cleaned")).select("row_id", "player_id", *[n.name for n in MATCH_NUMBERS])
+    return mixture.fill_cells(_with_player(spark, d, stats, MATCH_NUMBERS), own, {"position": POSITIONS})
+
+
+def _season_cells(spark: SparkSession, d: str) -> DataFrame:
+    own = SEASON_NUMBERS + [Number("mean_passes_completed")]
+    stats = used_rows(table(spark, d, "player_season_stats_cleaned")).select("row_id", "player_id", *[n.name for n in SEASON_NUMBERS])
+    return mixture.fill_cells(_with_player(spark, d, stats, SEASON_NUMBERS), own, {"position": POSITIONS})
+
+
+def _player_cells(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "players_cleaned")
+    x = p.select(F.col("row_id").alias("row_key"), *[n.name for n in PLAYER_NUMBERS], position_group(F.col("position")).alias("position"))
+    return mixture.fill_cells(x, PLAYER_NUMBERS, {"position": POSITIONS}, ["position"])
+
+
+_FILLED = {"player_match_stats_cleaned": _match_cells, "player_season_stats_cleaned": _season_cells, "players_cleaned": _player_cells}
+
+
+def p5_filled(spark: SparkSession, d: str) -> DataFrame:
+    """Every filled cell with its fill."""
+    parts = [
+        f(spark, d).select(F.lit(name).alias("table_name"), "column_name", F.col("row_key").alias("row_id"), F.round("number", 2).alias("number"), "category")
+        for name, f in _FILLED.items()
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """The cells that the operator filled, among the four columns."""
+    return p5_filled(spark, d).filter(F.col("column_name") != "position").select("table_name", "column_name", "row_id")
+
+
+def p5_height_table(spark: SparkSession, d: str) -> DataFrame:
+    """players_cleaned with its heights filled and the fills marked."""
+    cells = _player_cells(spark, d).filter("column_name = 'height_cm'")
+    return mixture.fill_table(table(spark, d, "players_cleaned"), "row_id", cells, PLAYER_NUMBERS)
+
+
 def _raw(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     return table(spark, d, "raw_files"), table(spark, d, "raw_file_lines"), table(spark, d, "field_catalog")
 
@@ -73,6 +163,7 @@ def p6_defending(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found, "p1_profile": p1_profile, "p1_masks": p1_masks,
     "p3_found": p3_found, "p3_report": p3_report,
+    "p5_found": p5_found, "p5_filled": p5_filled, "p5_height_table": p5_height_table,
     "p6_found": p6_found, "p6_scripts": p6_scripts, "p6_key_stats": p6_key_stats, "p6_defending": p6_defending,
 }
 
@@ -140,8 +231,25 @@ o as (
   from r left join e on r.target = e.target and r.k = e.k)
 """
 
+_P5 = """
+with m as (
+  select * from player_match_stats_cleaned where coalesce(minutes_played, goals, assists, shots, shots_on_target, shots_off_target, shots_blocked,
+    passes_completed, passes_attempted, pass_accuracy, crosses_completed, crosses_attempted, dribbles, offsides, tackles, tackles_won, tackles_lost,
+    interceptions, clearances, fouls_committed, fouls_suffered, yellow_cards, red_cards, distance_covered, top_speed, touches) is not null),
+s as (
+  select * from player_season_stats_cleaned where coalesce(matches_played, minutes_played, goals, assists, shots, shots_on_target, passes_completed,
+    passes_attempted, tackles, interceptions, fouls_committed, yellow_cards, red_cards) is not null)
+select 'player_match_stats_cleaned' as table_name, 'minutes_played' as column_name, row_id from m
+  where minutes_played is null or minutes_played < 0 or minutes_played > 130
+union all select 'player_match_stats_cleaned', 'shots', row_id from m where shots is null or shots < 0
+union all select 'player_season_stats_cleaned', 'passes_completed', row_id from s where passes_completed is null or passes_completed < 0
+union all select 'players_cleaned', 'height_cm', row_id from players_cleaned
+  where height_cm is null or isnan(height_cm) or height_cm < 140 or height_cm > 220
+"""
+
 ORACLE = {
     "p1_found": _P1,
+    "p5_found": _P5,
     "p3_found": _P3 + "select table_name, column_name, row_id, reason from o where reason is not null",
     "p3_report": _P3
     + """select table_name, column_name, strftime(loaded_at, '%Y-%m') as month, reason, count(*) as orphans
