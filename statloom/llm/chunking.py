@@ -12,6 +12,7 @@ their encoding.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from itertools import accumulate, chain
@@ -23,75 +24,31 @@ from statloom.llm.tokenizer import TOKENIZER_DIR, VOCABULARY, Encoder, broadcast
 
 LIMIT = 512
 OVERLAP = 64
-#: kinds of boundaries from the strongest to the weakest
-KINDS = ("paragraph", "line", "sentence", "clause", "word", "token")
-# What ends at a boundary, as text; a boundary is where the match ends.
-ENDS = (
-    r"(?P<paragraph>\n\s*\n)|(?P<line>[\n\r\u2028\u2029]+)"
-    r"|(?P<sentence>[.!?…؟।]+[\"'”’»)\]]*(?=\s)|[。！？]+[」』”）]*|</p>|<br ?/?>)"
-    r"|(?P<clause>[,;:،؛–—]+(?=\s)|[、，；：]|[}\]],|</\w+>)"
-)
+# What ends at a boundary, from the strongest kind to the weakest; a boundary is
+# where the match ends. Words and other pre-tokens come after these.
+ENDS = {
+    "paragraph": r"\n\s*\n",
+    "line": r"[\n\r\u2028\u2029]+",
+    "sentence": r"[.!?…؟।]+[\"'”’»)\]]*(?=\s)|[。！？]+[」』”）]*|</p>|<br ?/?>",
+    "clause": r"[,;:،؛–—]+(?=\s)|[、，；：]|[}\]],|</\w+>",
+}
 BATCH = 500
 
 
-def _boundaries(text: str, starts: list[int], ends) -> list[tuple[int, int]]:
-    """(pre-token, kind) of the boundaries above words; a boundary is before its pre-token."""
-    out = []
-    for m in ends.finditer(text):
-        j = bisect_left(starts, m.end())
-        if j < len(starts) and starts[j] == m.end():
-            out.append((j, KINDS.index(m.lastgroup)))
-    return out
-
-
-def cut_points(first: list[int], special: list[tuple[int, int]], words: list[bool], room: int) -> list[tuple[int, int]]:
-    """(token, kind) of the cuts of one text.
-
-    first: the first token of each pre-token, and the number of tokens at the end;
-    special: boundaries stronger than words; words: whether a pre-token begins a word.
-    """
-    n = first[-1]
-    at = [first[j] for j, _ in special]
-    cuts, spans = [], [(0, n)]
-    while spans:
-        a, b = spans.pop()
-        if b - a <= room:
-            continue
-        middle = (a + b) / 2
-        low, high = a + max(1, (b - a) // 4), b - max(1, (b - a) // 4)
-        near = [(special[i][1], abs(at[i] - middle), at[i]) for i in range(bisect_left(at, low), bisect_right(at, high))]
-        if near:
-            kind, _, cut = min(near)
-        else:
-            # the nearest word, else the nearest pre-token, of those in the middle half
-            left, right = bisect_left(first, low), bisect_right(first, high)
-            own = [(0 if words[j] else 1, abs(first[j] - middle), first[j]) for j in range(left, min(right, len(words)))]
-            if own:
-                word, _, cut = min(own)
-                kind = 4 + word
-            else:
-                kind, cut = 5, -round(middle)  # inside a pre-token; to be put on a character
-        cuts.append((cut, kind))
-        spans += [(a, abs(cut)), (abs(cut), b)]
-    return sorted(cuts, key=lambda c: abs(c[0]))
-
-
 class Splitter:
     """Texts to pieces, on one worker."""
 
     def __init__(self, model: bytes, limit: int, overlap: int) -> None:
-        import regex
-
         self.encoder = Encoder(model)
         self.limit, self.overlap = limit, overlap
-        self.ends = regex.compile(ENDS)
+        self.ends = [(kind, re.compile(p).finditer) for kind, p in ENDS.items()]
 
-    def _character(self, token: int, first: list[int], starts: list[int], ids: list[list[int]], split: list[str]) -> tuple[int, int]:
-        """(token, character) at or before a token that doesn't begin inside a character."""
+    def _character(self, token: int, first: list[int], starts: list[int], split: list[str]) -> tuple[int, int]:
+        """(token, character) of the last token at or before ``token`` that begins with a character."""
         j = bisect_right(first, token) - 1
-        if j >= len(ids) or first[j] == token:
-            return token, starts[j] if j < len(starts) else starts[-1]
-        tokens = ids[j][: token - first[j]]
+        if j >= len(split) or first[j] == token:
+            return token, starts[j]
+        tokens = self.encoder.encode_split([[split[j]]])[0][0][: token - first[j]]
         while tokens:
             try:
                 head = b"".join(map(self.encoder.token_bytes, tokens)).decode()
@@ -101,27 +58,49 @@ class Splitter:
             return first[j] + len(tokens), starts[j] + len(head)
         return first[j], starts[j]
 
-    def pieces(self, text: str | None, split: list[str], ids: list[list[int]]) -> list[tuple]:
+    def _cut(self, text: str, a: int, b: int, first: list[int], starts: list[int], split: list[str]) -> tuple[int, int, str]:
+        """(token, character, kind) of the cut of the tokens a to b: strongest kind first, then nearest to the middle."""
+        middle, quarter = (a + b) / 2, max(1, (b - a) // 4)
+        left, right = bisect_left(first, a + quarter), bisect_right(first, b - quarter) - 1
+        if left > right:  # one long pre-token fills the middle half
+            return (*self._character(round(middle), first, starts, split), "token")
+        centre = starts[bisect_left(first, middle, left, right)]
+        for kind, find in self.ends:
+            best = None
+            for m in find(text, starts[max(0, left - 2)], min(len(text), starts[right] + 2)):
+                j = bisect_left(starts, m.end(), left)
+                if j <= right and starts[j] == m.end() and (best is None or abs(first[j] - middle) < abs(first[best] - middle)):
+                    best = j
+                elif best is not None and m.end() > centre:
+                    break  # ends only move away from the middle
+            if best is not None:
+                return first[best], starts[best], kind
+        near = sorted(range(left, min(right + 1, len(split))), key=lambda j: abs(first[j] - middle))
+        j = next((j for j in near if split[j][:1].isspace()), near[0])
+        return first[j], starts[j], "word" if split[j][:1].isspace() else "token"
+
+    def pieces(self, text: str | None, split: list[str], sizes: list[int]) -> list[tuple]:
         """(piece_no, start_token, end_token, overlap_tokens, start_char, end_char, boundary, text)."""
-        n = sum(map(len, ids))
+        n = sum(sizes)
         if n <= self.limit:
             return [(0, 0, n, 0, 0, len(text or ""), None, text)]
-        first = [0, *accumulate(map(len, ids))]
+        first = [0, *accumulate(sizes)]
         starts = [0, *accumulate(map(len, split))]
-        words = [s[:1].isspace() for s in split]
         # a character has at most four tokens; the slack is for beginning at one
-        slack = 3 if any(not s.isascii() for s in split) else 0
-        room = max(1, self.limit - self.overlap - slack)
-        cuts = cut_points(first, _boundaries(text, starts, self.ends), words, room)
-        edges = [(0, 0, None)]
-        for token, kind in cuts:
-            token, char = self._character(abs(token), first, starts, ids, split)
-            if token > edges[-1][0]:
-                edges.append((token, char, KINDS[kind]))
+        room = max(1, self.limit - self.overlap - (0 if text.isascii() else 3))
+        edges, spans = [(0, 0, None)], [(0, n)]
+        while spans:
+            a, b = spans.pop()
+            if b - a > room:
+                cut = self._cut(text, a, b, first, starts, split)
+                if a < cut[0] < b:
+                    edges.append(cut)
+                    spans += [(a, cut[0]), (cut[0], b)]
+        edges.sort(key=lambda e: e[0])
         out = []
         for i, (token, _, kind) in enumerate(edges):
-            end, last = (edges[i + 1][0], edges[i + 1][1]) if i + 1 < len(edges) else (n, len(text))
-            begin, char = self._character(max(0, token - self.overlap), first, starts, ids, split) if i else (0, 0)
+            end, last = edges[i + 1][:2] if i + 1 < len(edges) else (n, len(text))
+            begin, char = self._character(max(0, token - self.overlap), first, starts, split) if i else (0, 0)
             out.append((i, begin, end, token - begin, char, last, kind, text[char:last]))
         return out
 
@@ -153,8 +132,8 @@ def split_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", limit:
                 part = batch.slice(at, BATCH)
                 texts = part.column(1).to_pylist()
                 split = [splitter.encoder.split(t) for t in texts]
-                ids = splitter.encoder.encode_split(split)
-                per = [splitter.pieces(t, s, i) for t, s, i in zip(texts, split, ids)]
+                sizes = splitter.encoder.count_split(split)
+                per = [splitter.pieces(t, s, n) for t, s, n in zip(texts, split, sizes)]
                 keys = part.column(0).take(pa.array([i for i, p in enumerate(per) for _ in p], pa.int32()))
                 columns = list(zip(*chain.from_iterable(per)))
                 yield pa.RecordBatch.from_arrays([keys, *[pa.array(c, k) for c, k in zip(columns, kinds)]], names=[key, *names])

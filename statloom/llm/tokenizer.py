@@ -96,6 +96,7 @@ class Encoder:
         self.byte = {c: b for b, c in enumerate(self.char)}
         self.latin = {i: c for i, c in enumerate(self.char)}
         self.known: dict[str, list[int]] = {}
+        self.sizes: dict[str, int] = {}
 
     def split(self, text: str | None) -> list[str]:
         """The pre-tokens of a text; together they are the text."""
@@ -110,6 +111,19 @@ class Encoder:
             mapped = [t.encode().decode("latin-1").translate(self.latin) for t in new]
             self.known.update(zip(new, self.model.encode(mapped)))
 
+    def count_split(self, split: list[list[str]]) -> list[list[int]]:
+        """The number of ids of each pre-token of each text."""
+        tokens = set(chain.from_iterable(split))
+        if len(self.sizes) > CACHE:
+            self.sizes.clear()
+        new = tokens - self.sizes.keys()
+        if new:
+            self.known.clear()
+            self.learn(new)
+            self.sizes.update((t, len(ids)) for t, ids in self.known.items())
+        get = self.sizes.__getitem__
+        return [list(map(get, s)) for s in split]
+
     def encode_split(self, split: list[list[str]]) -> list[list[list[int]]]:
         """The ids of each pre-token of each text."""
         self.learn(set(chain.from_iterable(split)))
@@ -178,20 +192,10 @@ def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", direc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(model.value)
-        sizes: dict[str, int] = {}
         for batch in batches:
             counts = []
             for at in range(0, batch.num_rows, BATCH):
-                split = [encoder.split(t) for t in batch.column(1).slice(at, BATCH).to_pylist()]
-                new = set(chain.from_iterable(split)) - sizes.keys()
-                if len(sizes) + len(new) > CACHE:
-                    sizes.clear()
-                    new = set(chain.from_iterable(split))
-                encoder.known.clear()
-                encoder.learn(new)
-                sizes.update((k, len(v)) for k, v in encoder.known.items())
-                get = sizes.__getitem__
-                counts += [sum(map(get, s)) for s in split]
+                counts += map(sum, encoder.count_split([encoder.split(t) for t in batch.column(1).slice(at, BATCH).to_pylist()]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], names=[key, "n_tokens"])
 
     kind = dict(docs.dtypes)[key]
