@@ -41,6 +41,8 @@ class Splitter:
     def __init__(self, model: bytes, limit: int, overlap: int) -> None:
         self.encoder = Encoder(model)
         self.limit, self.overlap = limit, overlap
+        self.lengths = [len(self.encoder.model.id_to_piece(i)) for i in range(self.encoder.model.get_piece_size())]
+        self.seen: dict[str, tuple[bytes, list[int]]] = {}
         self.ends = [(kind, re.compile(p).finditer) for kind, p in ENDS.items()]
 
     def _character(self, token: int, first: list[int], starts: list[int], split: list[str]) -> tuple[int, int]:
@@ -48,15 +50,20 @@ class Splitter:
         j = bisect_right(first, token) - 1
         if j >= len(split) or first[j] == token:
             return token, starts[j]
-        tokens = self.encoder.encode_split([[split[j]]])[0][0][: token - first[j]]
-        while tokens:
-            try:
-                head = b"".join(map(self.encoder.token_bytes, tokens)).decode()
-            except UnicodeDecodeError:
-                tokens = tokens[:-1]
-                continue
-            return first[j] + len(tokens), starts[j] + len(head)
-        return first[j], starts[j]
+        raw, ends = self._bytes(split[j])
+        i = token - first[j]
+        while i and raw[ends[i]] & 0xC0 == 0x80:  # inside a character
+            i -= 1
+        return first[j] + i, starts[j] + len(raw[: ends[i]].decode())
+
+    def _bytes(self, pretoken: str) -> tuple[bytes, list[int]]:
+        """The bytes of a pre-token and where its tokens begin in them; of the last few asked for."""
+        if pretoken not in self.seen:
+            if len(self.seen) >= 64:
+                self.seen.clear()
+            ids = self.encoder.encode([pretoken])[0]
+            self.seen[pretoken] = pretoken.encode(), [0, *accumulate(map(self.lengths.__getitem__, ids))]
+        return self.seen[pretoken]
 
     def _cut(self, text: str, a: int, b: int, first: list[int], starts: list[int], split: list[str]) -> tuple[int, int, str]:
         """(token, character, kind) of the cut of the tokens a to b: strongest kind first, then nearest to the middle."""
