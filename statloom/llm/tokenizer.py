@@ -109,7 +109,7 @@ class Encoder:
         new = list(tokens - self.known.keys())
         if new:
             mapped = [t.encode().decode("latin-1").translate(self.latin) for t in new]
-            self.known.update(zip(new, self.model.encode(mapped)))
+            self.known.update(zip(new, self.model.encode(mapped, num_threads=1)))
 
     def count_split(self, split: list[list[str]]) -> list[list[int]]:
         """The number of ids of each pre-token of each text."""
