@@ -4,10 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from statloom.llm import chunking, packing, tokenizer
+from statloom.llm import chunking, names, packing, tokenizer
 from statloom.session import table
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.same_names(table(spark, d, "key_stats"), table(spark, d, "teams_cleaned"))
+
+
+def p2_persons(spark: SparkSession, d: str) -> DataFrame:
+    """The person and club of every record."""
+    return names.link_names(table(spark, d, "key_stats"), table(spark, d, "teams_cleaned"))[0]
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.encode(table(spark, d, "documents"))
 
@@ -33,5 +42,5 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
     return chunking.split_texts(table(spark, d, "documents"))
 
 
-QUERIES = {"p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_packed": p8_packed, "p8_containers": p8_containers, "p9_pieces": p9_pieces}
+QUERIES = {"p2_found": p2_found, "p2_persons": p2_persons, "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_packed": p8_packed, "p8_containers": p8_containers, "p9_pieces": p9_pieces}
 ORACLE = {"p7_decoded": "select doc_id, coalesce(text, '') as text from documents"}
