@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,3 +23,16 @@ def durable(df: DataFrame) -> DataFrame:
         named = sc.getConf().get("spark.checkpoint.dir")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="statloom-"))
     return df.checkpoint(eager=True)
+
+
+SALTS = 8
+
+
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], spread: str, how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """Join with a right side of one row a key, or few, so that a hot key is shared by ``salts`` tasks.
+
+    ``spread`` is a column of the left side that differs between the rows of a key.
+    """
+    rows = left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.join(copies, [*on, "_salt"], how).drop("_salt")
