@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from statloom.llm import chunking, names, packing, tokenizer
+from statloom.llm import chunking, linkage, names, packing, tokenizer
 from statloom.session import table
 
 
@@ -17,6 +17,15 @@ def p2_persons(spark: SparkSession, d: str) -> DataFrame:
     return names.link_names(table(spark, d, "key_stats"), table(spark, d, "teams_cleaned"))[0]
 
 
+def p4_links(spark: SparkSession, d: str) -> DataFrame:
+    """The match of every listing, with its confidence."""
+    return linkage.link_games(table(spark, d, "matches_cleaned"), table(spark, d, "teams_cleaned"), table(spark, d, "fixture_listings"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_links(spark, d).select("match_id", "listing_id")
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.encode(table(spark, d, "documents"))
 
@@ -42,5 +51,5 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
     return chunking.split_texts(table(spark, d, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_persons": p2_persons, "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_packed": p8_packed, "p8_containers": p8_containers, "p9_pieces": p9_pieces}
+QUERIES = {"p4_found": p4_found, "p4_links": p4_links, "p2_found": p2_found, "p2_persons": p2_persons, "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_packed": p8_packed, "p8_containers": p8_containers, "p9_pieces": p9_pieces}
 ORACLE = {"p7_decoded": "select doc_id, coalesce(text, '') as text from documents"}
