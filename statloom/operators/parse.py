@@ -47,8 +47,11 @@ _SCORER = r"([A-Za-zÀ-ÖØ-öø-ÿ.'’\-\s]+?)\s+(\d{1,3}(?:\+\d{1,2})?)'?\s*(
 
 
 def scorers(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, side, player_name, minute, goal_type) of '[A 12, B 40 (p); C 90 (og)]': home before the semicolon, away after it."""
-    t = F.regexp_replace(clean_text(F.col(text)), r"^[()\[\] ]+|[()\[\] ]+$", "")
+    """(key, side, player_name, minute, goal_type) of '[A 12, B 40 (p); C 90 (og)]': home before the semicolon, away after it.
+
+    Only the outer brackets go, so that a marker at the end keeps its own.
+    """
+    t = F.regexp_replace(clean_text(F.col(text)), r"^\[(.*)\]$|^\((.*)\)$", "$1$2")
     sides = F.array(*[F.struct(F.lit(s).alias("side"), x.alias("part")) for s, x in (("home", F.substring_index(t, ";", 1)), ("away", F.regexp_replace(t, "^[^;]*;", "")))])
     x = df.filter(F.instr(text, ";") > 0).select(key, F.explode(sides).alias("s")).select(key, "s.side", "s.part").filter("trim(part) not in ('-', '')")
     hits = F.arrays_zip(*[F.regexp_extract_all("part", F.lit(_SCORER), F.lit(i)).alias(n) for i, n in ((1, "n"), (2, "m"), (3, "k"))])

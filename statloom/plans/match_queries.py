@@ -270,17 +270,22 @@ _POSS = "round(" + _SHARE.format(c="possession_{s}") + ", 4)"
 @query(f"""with {G}, p as (select match_id, home_team_id, away_team_id, {_POSS.format(s="home")} as ph, {_POSS.format(s="away")} as pa from games),
 z as (select s.*, case when s.team_id = p.home_team_id then ph when s.team_id = p.away_team_id then pa end as own, case when s.team_id = p.home_team_id then pa when s.team_id = p.away_team_id then ph end as opp,
   avg(case when isnan(distance_covered) then null else distance_covered end) over (partition by s.player_id) as md from player_match_stats_cleaned s left join p on s.match_id = p.match_id)
-select row_id, round(0.05::double * passes_completed + 0.07::double * dribbles, 6) + 0.0 as expected_threat_total, passes_completed + dribbles + tackles_won + interceptions - fouls_committed :: double as vaep_rating,
-  round(0.1 * passes_attempted * coalesce(pass_accuracy, passes_completed / nullif(passes_attempted, 0)), 6) + 0.0 as expected_assists, floor(distance_covered * passes_completed / nullif(passes_attempted, 0) * 1e4 + 1e-6) / 1e4 as progressive_pass_dist,
-  round((tackles + interceptions + clearances) / nullif(distance_covered, 0), 6) + 0.0 as defensive_action_height, round(opp / nullif(tackles + interceptions + fouls_committed, 0), 6) + 0.0 as pressing_intensity,
-  round(distance_covered / nullif(md, 0), 6) + 0.0 as acwr_index, round(15.48 * top_speed * distance_covered / nullif(60 * minutes_played, 0), 6) + 0.0 as metabolic_power,
-  cast(fouls_committed + 3 * yellow_cards + 6 * red_cards as double) as foul_severity_index, round((passes_attempted + dribbles) / nullif(own * minutes_played, 0), 6) + 0.0 as possession_involvement from z""")
+select row_id, floor((0.05::double * passes_completed + 0.07::double * dribbles) * 1e4 + 1e-6) / 1e4 as expected_threat_total,
+  floor((passes_completed + dribbles + tackles_won + interceptions - fouls_committed) * 1e4 + 1e-6) / 1e4 as vaep_rating,
+  floor((0.1::double * passes_attempted * coalesce(pass_accuracy, passes_completed / nullif(passes_attempted, 0))) * 1e4 + 1e-6) / 1e4 as expected_assists,
+  floor((distance_covered * passes_completed / nullif(passes_attempted, 0)) * 1e4 + 1e-6) / 1e4 as progressive_pass_dist,
+  floor(((tackles + interceptions + clearances) / nullif(distance_covered, 0)) * 1e4 + 1e-6) / 1e4 as defensive_action_height,
+  floor((opp / nullif(tackles + interceptions + fouls_committed, 0)) * 1e4 + 1e-6) / 1e4 as pressing_intensity,
+  floor((distance_covered / nullif(md, 0)) * 1e4 + 1e-6) / 1e4 as acwr_index,
+  floor((15.48::double * top_speed * distance_covered / nullif(60 * minutes_played, 0)) * 1e4 + 1e-6) / 1e4 as metabolic_power,
+  floor((fouls_committed + 3 * yellow_cards + 6 * red_cards) * 1e4 + 1e-6) / 1e4 as foul_severity_index,
+  floor(((passes_attempted + dribbles) / nullif(own * minutes_played, 0)) * 1e4 + 1e-6) / 1e4 as possession_involvement from z""")
 def metric_catalog_m1_m10(spark, d):
     g = games(spark, d).select("match_id", "home_team_id", "away_team_id", X.pct_to_decimal(F.col("possession_home")).alias("possession_home"), X.pct_to_decimal(F.col("possession_away")).alias("possession_away"))
     own = [m for m in metrics.catalog() if m.column is not None]
-    x = metrics.with_metrics(metrics.with_possession(stats(spark, d), g), own)
+    x = metrics.with_possession(stats(spark, d), g)
     # cut, not rounded: quotients of few digits lie between two roundings
-    return x.select("row_id", *[_cut(m.column, m.name) if m.name == "progressive_pass_dist" else F.col(m.name) for m in own])
+    return x.select("row_id", *[_cut(m.column, m.name) for m in own])
 
 
 @query()

@@ -77,7 +77,7 @@ def from_master(spark: SparkSession, path: str) -> Tables:
     matches = m.select("match_id", "season", F.lit("UEFA Champions League").alias("competition"), F.lit("international_club").alias("data_scope"), F.lit("completed_csv").alias("source"), F.col("fecha").alias("date"), "home_team_id", "away_team_id",
                        F.col("estadio").alias("stadium"), F.col("ciudad").alias("city"), F.col("pais").alias("country"), F.col("arbitro_principal").alias("referee"), F.col("s.home").alias("home_score"), F.col("s.away").alias("away_score"),
                        X.pct_to_decimal(F.col("posesion_local")).alias("possession_home"), X.pct_to_decimal(F.col("posesion_visitante")).alias("possession_away"))
-    teams = m.select(F.explode(F.array(F.struct("home_team_id", F.col("local").alias("n")), F.struct("away_team_id", F.col("visitante").alias("n")))).alias("t")).select(F.col("t.home_team_id").alias("team_id"), F.col("t.n").alias("team_name"))
+    teams = m.select(F.explode(F.array(F.struct(F.col("home_team_id").alias("i"), F.col("local").alias("n")), F.struct(F.col("away_team_id").alias("i"), F.col("visitante").alias("n")))).alias("t")).select(F.col("t.i").alias("team_id"), F.col("t.n").alias("team_name"))
     squad = parse.lineups(m, "match_id", "planteles").select("match_id", X.stable_id("player", F.col("player_name")).alias("player_id"), "player_name", X.stable_id("team", F.col("team_name")).alias("team_id"))
     scored = parse.goals(m, "match_id", "goles")
     goals = scored.select("goal_id", "match_id", "minute", "goal_type", X.stable_id("player", F.col("player_name")).alias("player_id"), F.lit("goal").alias("event_type"), "player_name",
@@ -150,7 +150,7 @@ def _match_rows(df: DataFrame, key: list[str], home: str, away: str, scope: Colu
 
 def from_leagues(spark: SparkSession, root: str) -> Tables:
     df = readers.read_league_files(spark, root, LEAGUES).filter("HomeTeam <> '' and AwayTeam <> ''")
-    df = df.withColumns({"date": X.day_first(F.col("Date")), "home_score": F.col("FTHG"), "away_score": F.col("FTAG"), "referee": F.col("Referee")}).drop("Referee", "Date")
+    df = df.select("season", "competition", "country", "HomeTeam", "AwayTeam", X.day_first(F.col("Date")).alias("date"), F.col("FTHG").alias("home_score"), F.col("FTAG").alias("away_score"), F.col("Referee").alias("referee"))
     return _match_rows(df, ["season", "competition", "date", "HomeTeam", "AwayTeam"], "HomeTeam", "AwayTeam", F.lit("domestic_league"), "football_data")
 
 
@@ -170,8 +170,8 @@ def from_fixture_texts(spark: SparkSession, paths: str) -> Tables:
     return out
 
 
-EVENTS = T.StructType.fromDDL("id string, minute int, type struct<name:string>, team struct<name:string>, player struct<name:string>, shot struct<outcome:struct<name:string>,type:struct<name:string>>")
-GAMES = T.StructType.fromDDL(
+EVENTS = ("id string, minute int, type struct<name:string>, team struct<name:string>, player struct<name:string>, shot struct<outcome:struct<name:string>,type:struct<name:string>>")
+GAMES = (
     "match_id long, match_date string, home_score int, away_score int, competition struct<competition_name:string>, season struct<season_name:string>, stadium struct<name:string>, referee struct<name:string>, "
     "home_team struct<home_team_name:string,country:struct<name:string>>, away_team struct<away_team_name:string,country:struct<name:string>>"
 )

@@ -65,7 +65,7 @@ def read_league_files(spark: SparkSession, root: str, leagues: dict[str, tuple[s
     schema = "competition string, country string, season string, " + ", ".join(f"{c} string" for c in fields)
     if not exists(spark, paths):
         return spark.createDataFrame([], schema)
-    raw = spark.read.option("wholetext", True).text(paths).select(F.col("_metadata.file_path").alias("path"), "value")
+    raw = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     code, season = F.regexp_extract("path", r"([^/]+)\.csv$", 1), F.regexp_extract("path", r"/([0-9]{4})/[^/]+$", 1)
     meta = F.create_map(*[x for k, (comp, land) in leagues.items() for x in (F.lit(k), F.struct(F.lit(comp).alias("competition"), F.lit(land).alias("country")))])
 
@@ -80,7 +80,7 @@ def read_league_files(spark: SparkSession, root: str, leagues: dict[str, tuple[s
 
 def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(path, line_no, text): texts by line, numbered from 1."""
-    raw = spark.read.option("wholetext", True).text(paths).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", r"\r?\n")).alias("p", "text"))
+    raw = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", r"\r?\n")).alias("p", "text"))
     return raw.select("path", (F.col("p") + 1).alias("line_no"), "text")
 
 
@@ -104,7 +104,7 @@ def flatten(df: DataFrame, sep: str = ".") -> DataFrame:
 
 def read_json(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """A list is one table, an object of lists a table for each, another object one row, a scalar a ``value``."""
-    head = spark.read.option("wholetext", True).text(path).first()
+    head = spark.read.text(path, wholetext=True).first()
     text = head[0] if head else "null"
     data = json.loads(text)
     stem = Path(path).stem
@@ -233,7 +233,7 @@ def read_source(spark: SparkSession, path: str, extract_dir: str) -> list[tuple[
     elif suffix == ".xlsx":
         kind, tables = "xlsx", read_xlsx(spark, path)
     elif suffix in (".html", ".htm"):
-        pages = spark.read.option("wholetext", True).text(path).select(F.lit(p.stem).alias("page"), F.col("value").alias("html"))
+        pages = spark.read.text(path, wholetext=True).select(F.lit(p.stem).alias("page"), F.col("value").alias("html"))
         kind, tables = "html", {p.stem: html_tables(pages, "page", "html")}
     else:
         kind, tables = "text", {p.stem: read_lines(spark, path).select(F.col("line_no").alias("line_number"), "text")}
