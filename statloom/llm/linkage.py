@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from statloom.functions.dates import parse_date
 from statloom.functions.missing import is_missing, norm_key, null_if_missing, strip
+from statloom.functions.text import strip_accents
 from statloom.llm.names import club_spellings
 from statloom.session import durable, salted_join
 
@@ -88,7 +89,7 @@ def confidences(pairs: DataFrame, levels: dict[str, int]) -> DataFrame:
 
 def _plain(c: str) -> Column:
     """A place or league without case, accents' marks and punctuation; NULL where missing."""
-    t = F.regexp_replace(F.lower(F.normalize(strip(F.col(c)), F.lit("NFKD"))) if hasattr(F, "normalize") else F.lower(strip(F.col(c))), r"\p{M}", "")
+    t = strip_accents(F.lower(strip(F.col(c))))
     return F.when(~is_missing(F.col(c)), F.trim(F.regexp_replace(t, r"[^\p{L}0-9]+", " ")))
 
 
