@@ -27,5 +27,5 @@ def parse_date(c: Column) -> Column:
     out = F.lit(None).cast("date")
     for layout, form in reversed(LAYOUTS):
         fixed = F.initcap(t) if "MMM" in layout else t
-        out = F.when(t.rlike(form.replace(",?", "")), F.try_to_date(fixed, layout) if hasattr(F, "try_to_date") else F.try_to_timestamp(fixed, F.lit(layout)).cast("date")).otherwise(out)
+        out = F.when(t.rlike(form.replace(",?", "")), F.try_to_timestamp(fixed, F.lit(layout)).cast("date")).otherwise(out)
     return out
