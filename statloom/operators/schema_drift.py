@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statloom.functions.missing import strip
+from statloom.session import shuffle_width
 
 SALTS = 16
 HASHES = 8
@@ -356,7 +357,7 @@ def schema_scripts(files: DataFrame, lines: DataFrame, catalog: DataFrame, alias
     for r in catalog.select("subject", "field_name", "field_type").collect():
         known.setdefault(r[0], {})[r[1]] = r[2]
     named = files.select("stream_id", "file_id", "file_no", F.regexp_replace("family", "_data$", "").alias("subject"))
-    rows = column_profiles(files, lines).join(named, "file_id").repartition("stream_id").sortWithinPartitions("stream_id", "file_no", "file_id")
+    rows = column_profiles(files, lines).join(named, "file_id").repartition(shuffle_width(files), "stream_id").sortWithinPartitions("stream_id", "file_no", "file_id")
     return rows.select("stream_id", "file_id", "file_no", "subject", "columns").mapInPandas(_scripts(known, aliases), SCRIPT)
 
 

@@ -30,6 +30,11 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shuffle_width(df: DataFrame) -> int:
+    """The session's number of shuffle partitions, for steps whose cost isn't in their bytes."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 SALTS = 8
 
 
