@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,13 +13,15 @@ from statloom.functions.missing import finite
 
 
 def standardise(df: DataFrame, numeric: list[str]) -> DataFrame:
-    """Numbers by median, mean and population deviation; a column that doesn't vary is 0. One pass for the statistics."""
-    medians = df.agg(*[F.median(finite(F.col(c))).alias(c) for c in numeric])
-    filled = df.crossJoin(F.broadcast(medians.select(*[F.col(c).alias(f"_m_{c}") for c in numeric])))  # one row
-    filled = filled.withColumns({c: F.coalesce(finite(F.col(c)), f"_m_{c}", F.lit(0.0)) for c in numeric}).drop(*[f"_m_{c}" for c in numeric])
-    stats = filled.agg(*[f(c).alias(f"_{n}_{c}") for c in numeric for n, f in (("a", F.avg), ("s", F.stddev_pop))])
-    out = filled.crossJoin(F.broadcast(stats))
-    return out.withColumns({c: F.coalesce(F.try_divide(F.col(c) - F.col(f"_a_{c}"), F.col(f"_s_{c}")), F.lit(0.0)) for c in numeric}).drop(*stats.columns)
+    """Numbers by median, mean and population deviation; a column that doesn't vary is 0.
+
+    The statistics are two rows of as many numbers as columns, so they become
+    constants of the plan, which stays one projection.
+    """
+    medians = df.agg(*[F.median(finite(F.col(c))).alias(c) for c in numeric]).first()
+    filled = df.withColumns({c: F.coalesce(finite(F.col(c)), F.lit(float(medians[c] or 0.0))) for c in numeric})
+    stats = filled.agg(*[f(c).alias(f"{n}_{c}") for c in numeric for n, f in (("a", F.avg), ("s", F.stddev_pop))]).first()
+    return filled.withColumns({c: (F.col(c) - float(stats[f"a_{c}"])) / float(stats[f"s_{c}"]) if stats[f"s_{c}"] else F.lit(0.0) for c in numeric})
 
 
 def fill_mode(df: DataFrame, column: str) -> DataFrame:
@@ -47,25 +50,19 @@ class Components:
 
 
 def principal_components(df: DataFrame, features: list[str]) -> Components:
-    """All components of centred columns.
+    """All components of columns that are centred already.
 
-    Only the products of columns reach the driver: one aggregated row of
-    p (p + 1) / 2 sums, whatever the number of rows. Signs: the largest loading is positive.
+    The library's distributed covariance does the pass over the rows; only a
+    matrix of features by features reaches the driver. Signs: the largest loading
+    is positive. Fewer than two rows have no variance to share.
     """
     p = len(features)
-    sums = df.agg(F.count(F.lit(1)), *[F.sum(F.col(features[i]) * F.col(features[j])) for i in range(p) for j in range(i, p)], *[F.avg(c) for c in features]).first()
-    n = max(1, sums[0])
-    cov, at = np.zeros((p, p)), 1
-    for i in range(p):
-        for j in range(i, p):
-            cov[i, j] = cov[j, i] = (sums[at] or 0.0) / n
-            at += 1
-    mean = np.array([sums[at + i] or 0.0 for i in range(p)])
-    values, vectors = np.linalg.eigh(cov - np.outer(mean, mean))
-    order = np.argsort(-values)
-    values, vectors = np.maximum(values[order], 0), vectors[:, order].T
-    vectors *= np.sign(vectors[np.arange(p), np.abs(vectors).argmax(1)])[:, None]
-    ratio = values / values.sum() if values.sum() else values
+    rows = VectorAssembler(inputCols=features, outputCol="_v").transform(df.select(*features)).select("_v")
+    if len(rows.head(2)) < 2:
+        return Components(features, np.eye(p), np.zeros(p), 1)
+    model = PCA(k=p, inputCol="_v", outputCol="_p").fit(rows)
+    vectors, ratio = model.pc.toArray().T, np.nan_to_num(model.explainedVariance.toArray())
+    vectors = vectors * np.sign(vectors[np.arange(p), np.abs(vectors).argmax(1)])[:, None]
     return Components(features, vectors, ratio, int((np.cumsum(ratio) < 0.9).sum()) + 1)
 
 

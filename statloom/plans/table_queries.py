@@ -540,8 +540,10 @@ def _matrix(spark, d) -> tuple[DataFrame, list[str]]:
 
     s = table(spark, d, "player_season_stats_cleaned").dropna(subset=["minutes_played"]).join(p, "player_id", "left")
     engineered = ["minutes_per_match", "goals_per90", "assists_per90", "shots_per90", "cards_per90", "shot_accuracy", "pass_accuracy", "goal_conversion", "defensive_per90", "discipline_per90"]
-    x = matrix_features(s).select("row_id", "position", *[F.col(c).cast("double").alias(c) for c in _MATRIX + engineered])
-    x, names = reduce.one_hot(reduce.fill_mode(reduce.standardise(x, _MATRIX + engineered), "position"), "position")
+    # kept between the steps: each takes statistics of the one before
+    x = matrix_features(s).select("row_id", "position", *[F.col(c).cast("double").alias(c) for c in _MATRIX + engineered]).persist()
+    x = reduce.fill_mode(reduce.standardise(x, _MATRIX + engineered), "position").persist()
+    x, names = reduce.one_hot(x, "position")
     features = _MATRIX + engineered + names
     return reduce.standardise(x, features), features
 
