@@ -33,15 +33,19 @@ THRESHOLD = 0.7
 # differs, 1 both may agree, 2 both agree) plus that of the days (0 none, 1 the
 # match is undated but of that season, 2 up to 75 days later, as of a game put off, 3 scraped just after it, 4 a day off, 5
 # equal). Clubs and days depend on each other among the candidates, hence one attribute.
-LEVELS = {"game": 18, "score": 3, "place": 3, "league": 2}
+# Sides are 1 as the match has them and 0 the wrong way round; the clubs and the score are
+# compared in the orientation in which the clubs agree better. The game the other way round
+# is another of the season at the other's ground, so what non-matches agree in depends on the sides.
+LEVELS = {"game": 18, "sides": 2, "score": 3, "place": 3, "league": 2}
 
 
-def estimate(patterns: list[tuple[tuple[int | None, ...], int]], levels: list[int], share: float = 0.1, rounds: int = 200) -> tuple[list[float], float, list[np.ndarray], list[np.ndarray]]:
+def estimate(patterns: list[tuple[tuple[int | None, ...], int]], levels: list[int], share: float = 0.1, rounds: int = 200, by: int | None = None) -> tuple[list[float], float, list[np.ndarray], list[np.ndarray]]:
     """(posterior of each pattern, share of matches, m, u) by expectation-maximisation.
 
     patterns: level of each attribute (None where missing) and number of pairs.
     The start has matches agree at high levels. Counts are smoothed by a hundredth of a pair a
     level, so that no level is impossible. Without any pattern the posteriors are empty.
+    With ``by``, an attribute that is never missing, the other u depend on its level (a row each).
     """
     if not patterns:
         return [], share, [], []
@@ -49,15 +53,23 @@ def estimate(patterns: list[tuple[tuple[int | None, ...], int]], levels: list[in
     x = np.array([[-1 if v is None else v for v in p] for p, _ in patterns])
     m = [np.array([2.0 ** (3 * i) for i in range(k)]) for k in levels]
     m = [v / v.sum() for v in m]
-    u = [np.bincount(np.maximum(x[:, j], 0), weights=n * (x[:, j] >= 0), minlength=k) + 0.1 for j, k in enumerate(levels)]
-    u = [v / v.sum() for v in u]
+    # the row of u that a pattern has in each attribute
+    at = [np.zeros(len(n), dtype=int) if by is None or j == by else x[:, by] for j in range(len(levels))]
+
+    def shares(j: int, w: np.ndarray, least: float) -> np.ndarray:
+        c = np.full((levels[by] if by is not None and j != by else 1, levels[j]), least)
+        seen = x[:, j] >= 0
+        np.add.at(c, (at[j][seen], x[seen, j]), w[seen])
+        return c / c.sum(axis=1, keepdims=True)
+
+    u = [shares(j, n, 0.1) for j in range(len(levels))]
     post = np.zeros(len(n))
     for _ in range(rounds):
         a, b = np.full(len(n), np.log(share)), np.full(len(n), np.log1p(-share))
         for j in range(len(levels)):
             seen = x[:, j] >= 0
             a[seen] += np.log(m[j][x[seen, j]])
-            b[seen] += np.log(u[j][x[seen, j]])
+            b[seen] += np.log(u[j][at[j][seen], x[seen, j]])
         new = 1 / (1 + np.exp(np.clip(b - a, -700, 700)))
         done = np.abs(new - post).max() < 1e-9
         post = new
@@ -66,17 +78,17 @@ def estimate(patterns: list[tuple[tuple[int | None, ...], int]], levels: list[in
         share = float(np.clip((n * post).sum() / n.sum(), 1e-6, 1 - 1e-6))
         for j, k in enumerate(levels):
             seen = x[:, j] >= 0
-            for part, w in ((m, n * post), (u, n * (1 - post))):
-                c = np.bincount(x[seen, j], weights=w[seen], minlength=k) + 0.01
-                part[j] = c / c.sum()
-    return post.tolist(), share, m, u
+            c = np.bincount(x[seen, j], weights=(n * post)[seen], minlength=k) + 0.01
+            m[j] = c / c.sum()
+            u[j] = shares(j, n * (1 - post), 0.01)
+    return post.tolist(), share, m, [v[0] if len(v) == 1 else v for v in u]
 
 
-def confidences(pairs: DataFrame, levels: dict[str, int]) -> DataFrame:
-    """``pairs`` with the posterior of their levels as ``confidence``."""
+def confidences(pairs: DataFrame, levels: dict[str, int], by: str | None = None) -> DataFrame:
+    """``pairs`` with the posterior of their levels as ``confidence``; ``by`` as of `estimate`."""
     names = list(levels)
     rows = pairs.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).orderBy(*names).collect()  # at most the product of (levels + 1)
-    post, *_ = estimate([(tuple(r[c] for c in names), r["n"]) for r in rows], list(levels.values()))
+    post, *_ = estimate([(tuple(r[c] for c in names), r["n"]) for r in rows], list(levels.values()), by=None if by is None else names.index(by))
     spark = pairs.sparkSession
     schema = ", ".join(f"_{c} int" for c in names) + ", confidence double"
     table = spark.createDataFrame([(*[r[c] for c in names], p) for r, p in zip(rows, post)], schema)
@@ -135,20 +147,19 @@ def listed_games(listings: DataFrame, clubs: DataFrame) -> DataFrame:
 
 
 def candidates(held: DataFrame, listed: DataFrame) -> DataFrame:
-    """Pairs of the passes: the two towns; one town and the day; one town and the day before scraping."""
+    """Pairs of the passes: the two towns; one town and the day; one town and the day before scraping; on whichever side."""
     a = held.select(F.struct(*[F.col(c) for c in held.columns]).alias("m"))
     b = listed.select(F.struct(*[F.col(c) for c in listed.columns]).alias("l"))
-    left = a.select("m", F.explode(F.array(
-        F.concat_ws("|", F.lit("t"), "m.home_town", "m.away_town"),
-        F.when(F.col("m.home_town").isNotNull() & F.col("m.day").isNotNull(), F.concat_ws("|", F.lit("h"), "m.home_town", "m.day")),
-        F.when(F.col("m.away_town").isNotNull() & F.col("m.day").isNotNull(), F.concat_ws("|", F.lit("a"), "m.away_town", "m.day")),
-    )).alias("key")).filter(F.col("key").isNotNull() & (~F.col("key").startswith("t") | (F.col("m.home_town").isNotNull() & F.col("m.away_town").isNotNull())))
-    days = F.array_distinct(F.array_compact(F.array("l.day", F.date_sub("l.seen", 1))))
-    right = b.select("l", F.explode(F.concat(
-        F.array_compact(F.array(F.when(F.col("l.home_town").isNotNull() & F.col("l.away_town").isNotNull(), F.concat_ws("|", F.lit("t"), "l.home_town", "l.away_town")))),
-        F.transform(days, lambda x: F.when(F.col("l.home_town").isNotNull(), F.concat_ws("|", F.lit("h"), "l.home_town", x))),
-        F.transform(days, lambda x: F.when(F.col("l.away_town").isNotNull(), F.concat_ws("|", F.lit("a"), "l.away_town", x))),
-    )).alias("key")).filter("key is not null")
+
+    def keys(r: str, days: Column) -> Column:
+        towns = F.array_distinct(F.array_compact(F.array(f"{r}.home_town", f"{r}.away_town")))
+        home, away = F.col(f"{r}.home_town"), F.col(f"{r}.away_town")
+        both = F.when(home.isNotNull() & away.isNotNull(), F.concat_ws("|", F.lit("t"), F.least(home, away), F.greatest(home, away)))
+        each = F.flatten(F.transform(towns, lambda t: F.transform(days, lambda x: F.concat_ws("|", F.lit("d"), t, x.cast("string")))))
+        return F.explode(F.concat(F.array_compact(F.array(both)), each)).alias("key")
+
+    left = a.select("m", keys("m", F.array_compact(F.array("m.day"))))
+    right = b.select("l", keys("l", F.array_distinct(F.array_compact(F.array("l.day", F.date_sub("l.seen", 1))))))
     return left.join(right, "key").groupBy("m.match_id", "l.listing_id").agg(F.first("m").alias("m"), F.first("l").alias("l")).select("m", "l")
 
 
@@ -165,18 +176,26 @@ def compare(pairs: DataFrame) -> DataFrame:
         .otherwise(0)
     )
 
-    def team(side: str) -> Column:
-        k1, k2 = F.col(f"m.{side}_kind"), F.col(f"l.{side}_kind")
-        same = F.col(f"m.{side}_town") == F.col(f"l.{side}_town")
+    def team(side: str, other: str) -> Column:
+        k1, k2 = F.col(f"m.{side}_kind"), F.col(f"l.{other}_kind")
+        same = F.col(f"m.{side}_town") == F.col(f"l.{other}_town")
         return F.when(same & (k1 == k2), 2).when(same & (k1.isNull() | k2.isNull()), 1).otherwise(0)
 
-    equal = (F.col("m.gh") == F.col("l.gh")) & (F.col("m.ga") == F.col("l.ga"))
-    near = (F.abs(F.col("m.gh") - F.col("l.gh")) + F.abs(F.col("m.ga") - F.col("l.ga")) <= 1) | ((F.col("m.gh") == F.col("l.ga")) & (F.col("m.ga") == F.col("l.gh")))
+    def sides(home: str, away: str, straight: int) -> Column:
+        """(clubs, sum, score, straight) with the listing's sides taken as given; the greater fits better."""
+        gh, ga = F.col(f"l.{'gh' if straight else 'ga'}"), F.col(f"l.{'ga' if straight else 'gh'}")
+        equal = (F.col("m.gh") == gh) & (F.col("m.ga") == ga)
+        near = (F.abs(F.col("m.gh") - gh) + F.abs(F.col("m.ga") - ga) <= 1) | ((F.col("m.gh") == ga) & (F.col("m.ga") == gh))
+        score = F.when(equal, 2).when(near, 1).when(equal.isNotNull(), 0)
+        h, a = team("home", home), team("away", away)
+        return F.struct(F.least(h, a).alias("clubs"), (h + a).alias("sum"), score.alias("score"), F.lit(straight).alias("straight"))
+
+    pairs = pairs.withColumn("s", F.greatest(sides("home", "away", 1), sides("away", "home", 0)))
     place = F.when(F.col("m.place") == F.col("l.place"), 2).when(F.col("m.place").startswith(F.col("l.place")) | (F.levenshtein("m.place", "l.place") <= 3), 1).when(F.col("m.place").isNotNull() & (F.length("l.place") > 0), 0)
     league = F.when(F.col("m.league") == F.col("l.league"), 1).when(F.col("m.league").contains("first division") & F.col("l.league").rlike("^inv|friendl|cup"), 0).when(F.col("m.league").contains("invitational") & ~F.col("l.league").rlike("^inv"), 0)
     return pairs.select(
-        F.col("m.match_id").alias("match_id"), F.col("l.listing_id").alias("listing_id"), F.abs(off).alias("off"), since.alias("since"), (F.least(team("home"), team("away")) * 6 + day).cast("int").alias("game"),
-        F.when(equal, 2).when(near, 1).when(equal.isNotNull(), 0).cast("int").alias("score"), place.cast("int").alias("place"), league.cast("int").alias("league"),
+        F.col("m.match_id").alias("match_id"), F.col("l.listing_id").alias("listing_id"), F.abs(off).alias("off"), since.alias("since"), (F.col("s.clubs") * 6 + day).cast("int").alias("game"),
+        F.col("s.straight").cast("int").alias("sides"), F.col("s.score").cast("int").alias("score"), place.cast("int").alias("place"), league.cast("int").alias("league"),
     )
 
 
@@ -198,6 +217,6 @@ def link_games(matches: DataFrame, teams: DataFrame, listings: DataFrame, thresh
     )
     clubs = durable(club_spellings(texts).select("text", "town_id", "kind", "reserve"))
     pairs = durable(compare(candidates(held_games(matches, teams, clubs), listed_games(listings, clubs)).filter("not l.reserve")))
-    scored = confidences(pairs, LEVELS).filter(F.col("confidence") >= threshold)
+    scored = confidences(pairs, LEVELS, by="sides").filter(F.col("confidence") >= threshold)
     best = Window.partitionBy("listing_id").orderBy(F.desc("confidence"), F.asc_nulls_last("off"), F.abs("since"), "match_id")
     return scored.withColumn("rank", F.row_number().over(best)).filter("rank = 1").select("match_id", "listing_id", F.round("confidence", 6).alias("confidence"))

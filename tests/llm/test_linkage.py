@@ -62,3 +62,17 @@ def test_links(spark):
 def test_empty(spark):
     e = [spark.createDataFrame([], s) for s in (MATCH, TEAM, LIST)]
     assert L.link_games(*e).count() == 0
+
+
+def test_sides_the_wrong_way_round(spark):
+    def listings(n):
+        return [
+            (910, "2019-09-01", n[1], n[0], "0-0", "Park 0", None, datetime(2019, 9, 2), ""),  # of match_01
+            (911, "2019-09-03", n[3], n[0], "2:2", "Park 0", None, datetime(2019, 9, 4), ""),  # of match_03, 2-2
+            (912, None, n[4], n[0], "0-3", "Park 0", None, datetime(2019, 9, 5), ""),  # of match_04, 3-0
+            (913, "2012-01-01", n[1], n[0], "9-9", "Elsewhere", None, datetime(2012, 1, 2), ""),
+        ]
+
+    got, rows = run(spark, listings)
+    assert all(got[k] == r[1] for k, r in enumerate(rows[::2]))
+    assert (got[910], got[911], got[912]) == ("match_01", "match_03", "match_04") and 913 not in got
