@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statloom.functions.text import soft_norm
+from statloom.session import shuffle_width
 
 # Words that don't tell teams apart.
 STOP_WORDS = ("fc", "cf", "ac", "sc", "rb", "bv", "sl", "de", "as", "us", "ss", "sb", "cl")
@@ -73,3 +75,74 @@ def best_similar(pairs: DataFrame, key: str, a: str, b: str, candidate: str, lea
     x = pairs.select(key, candidate, F.col(a).alias("_a"), F.col(b).alias("_b")).mapInPandas(ratio, f"`{key}` {kinds[key]}, `{candidate}` {kinds[candidate]}, ratio double")
     w = Window.partitionBy(key).orderBy(F.desc("ratio"), candidate)
     return x.filter(F.col("ratio") > least).withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+
+
+#: distinct names of a side that one task compares at once
+TILE = 400
+
+
+def _best_of_tile(names: list[str], others: list[str], ids: list[int], least: float) -> Iterator[tuple[str, float, int]]:
+    """(name, ratio, id) of the best other name of each, by the exact ratio.
+
+    The letters two names share, in whatever order, bound the ratio from above; classes of
+    letters bound it too. Candidates are compared from the highest bound down to the best ratio.
+    """
+    def counts(texts: list[str]) -> np.ndarray:
+        c = np.zeros((len(texts), 64), dtype=np.int32)
+        for i, t in enumerate(texts):
+            for ch in t:
+                c[i, ord(ch) % 64] += 1
+        return c
+
+    low = [o.lower() for o in others]
+    theirs, size = counts(low), np.array([len(o) for o in low])
+    for name, mine in zip(names, counts([n.lower() for n in names])):
+        a = name.lower()
+        total = len(a) + size
+        # two empty texts are equal
+        bound = np.where(total > 0, 2.0 * np.minimum(mine, theirs).sum(axis=1) / np.maximum(total, 1), 1.0)
+        best: tuple[float, int] | None = None
+        for j in np.argsort(-bound, kind="stable"):
+            if bound[j] <= least or (best and bound[j] < -best[0]):
+                break
+            if others[j] != name:
+                r = SequenceMatcher(None, a, low[j]).ratio()
+                if r > least and (best is None or (-r, ids[j]) < best):
+                    best = (-r, ids[j])
+        if best:
+            yield name, -best[0], best[1]
+
+
+def most_alike(df: DataFrame, key: str, name: str, block: str, least: float = 0.6, tile: int = TILE) -> DataFrame:
+    """(a, b, ratio): for each row's key the other row of its block with the highest ratio above ``least``, of equals the smallest key.
+
+    Exact: all distinct names of a block are compared, in tiles of about ``tile`` by ``tile``,
+    where a bound above the ratio spares most comparisons. Keys are whole numbers. Rows without
+    a name or block match nothing.
+    """
+    rows = df.filter(F.col(name).isNotNull() & F.col(block).isNotNull()).select(F.col(block).alias("_g"), F.col(name).alias("_n"), F.col(key).cast("long").alias("a"))
+    w = Window.partitionBy("_g", "_n").orderBy("a")
+    rows = rows.withColumn("_first", F.first("a").over(w)).withColumn("_next", F.lead("a").over(w))
+    rows = rows.withColumn("_twin", F.when(F.col("a") == F.col("_first"), F.col("_next")).otherwise(F.col("_first")))
+    names = rows.groupBy("_g", "_n").agg(F.min("a").alias("id"))
+    many = names.groupBy("_g").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("k"))
+    placed = names.join(many, "_g").withColumn("p", F.pmod(F.xxhash64("_n"), F.col("k")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
+    left = placed.select("_g", F.col("p").alias("i"), every.alias("j"), "_n")
+    right = placed.select(F.col("_g").alias("h"), every.alias("x"), F.col("p").alias("y"), F.col("_n").alias("t"), "id")
+
+    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({"_g": [], "_n": [], "ratio": [], "b": []})
+        found = pd.DataFrame(_best_of_tile(a["_n"].tolist(), b["t"].tolist(), b["id"].tolist(), least), columns=["_n", "ratio", "b"])
+        return found.assign(_g=(a["_g"].iloc[0]))[["_g", "_n", "ratio", "b"]]
+
+    kind = dict(rows.dtypes)["_g"]
+    # by number, else the few bytes of all names would be compared by one task
+    left, right = left.repartition(shuffle_width(left), "_g", "i", "j"), right.repartition(shuffle_width(right), "h", "x", "y")
+    found = left.groupBy("_g", "i", "j").cogroup(right.groupBy("h", "x", "y")).applyInPandas(compare, f"_g {kind}, _n string, ratio double, b long")
+    best = found.groupBy("_g", "_n").agg(F.min(F.struct((-F.col("ratio")).alias("r"), "b")).alias("other"))
+    pair = "struct<r:double,b:bigint>"
+    twin = F.when(F.col("_twin").isNotNull() & (F.lit(1.0) > least), F.struct(F.lit(-1.0).alias("r"), F.col("_twin").alias("b")))
+    m = rows.join(best, ["_g", "_n"], "left").withColumn("m", F.least(F.col("other").cast(pair), twin.cast(pair)))
+    return m.filter("m is not null").select("a", F.col("m.b").alias("b"), (-F.col("m.r")).alias("ratio"))

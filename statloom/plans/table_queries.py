@@ -237,10 +237,9 @@ def three_tier_name_match(spark, d):
 
 @query()
 def similarity_best_match(spark, d):
-    """The most alike team name of the same country and first letter."""
-    t = table(spark, d, "teams_cleaned").filter("team_name is not null and country is not null").withColumn("f", F.lower(F.substring("team_name", 1, 3)))
-    a, b = t.select("country", "f", F.col("row_id").alias("a"), F.col("team_name").alias("na")), t.select("country", "f", F.col("row_id").alias("b"), F.col("team_name").alias("nb"))
-    return matching.best_similar(a.join(b, ["country", "f"]).filter("a <> b"), "a", "na", "nb", "b")
+    """The most alike team name of the same country."""
+    m = matching.most_alike(table(spark, d, "teams_cleaned"), "row_id", "team_name", "country")
+    return m.select("a", "b", "ratio")
 
 
 @query("select distinct player_id from player_match_stats_cleaned where player_id is not null except select player_id from players_cleaned")

@@ -107,3 +107,28 @@ def test_components(spark):
     assert all(v[abs(v).argmax()] > 0 for v in c.components)
     flat = reduce.standardise(spark.createDataFrame([(1.0,), (1.0,), (None,)], "a double"), ["a"])
     assert [r.a for r in flat.collect()] == [0.0] * 3
+
+
+def test_most_alike_against_brute_force(spark):
+    from difflib import SequenceMatcher
+
+    names = ["Dynamo Kor", "Dinamo Kor", " Korheim Union", "Union Korheim", "Xorheim Union", "Korheim Union", "Korheim Union", "KORHEIM UNION", "Q", "", "", "axbxc", "abc", None]
+    names += [f"{k} {t}" for k in ("Union", "FC", "Racing") for t in ("Balberg", "Talberg", "Migwick", "Wickmig")]
+    rows = [(i, n, c) for c, at in (("A", 0), ("B", 100), (None, 200)) for i, n in enumerate(names, at) if c != "B" or i % 3]
+    want = {}
+    for i, n, c in rows:
+        if n is not None and c is not None:
+            r = [(-SequenceMatcher(None, n.lower(), t.lower()).ratio(), j) for j, t, g in rows if g == c and j != i and t is not None]
+            if r and -min(r)[0] > 0.6:
+                want[i] = (min(r)[1], -min(r)[0])
+    df = spark.createDataFrame(rows, "row_id long, team_name string, country string")
+    for tile in (400, 5):
+        assert {r.a: (r.b, r.ratio) for r in matching.most_alike(df, "row_id", "team_name", "country", tile=tile).collect()} == want
+
+
+def test_best_match_ignores_first_letters(spark, tmp_path):
+    from statloom.plans.table_queries import QUERIES
+
+    rows = [(1, "Dynamo Kor", "A"), (2, "Dinamo Kor", "A"), (3, " Migwick Union", "A"), (4, "Migwick Union", "A"), (5, "Dynamo Kor", "B")]
+    spark.createDataFrame(rows, "row_id long, team_name string, country string").write.parquet(str(tmp_path / "teams_cleaned.parquet"))
+    assert {r.a: r.b for r in QUERIES["similarity_best_match"](spark, str(tmp_path)).collect()} == {1: 2, 2: 1, 3: 4, 4: 3}
