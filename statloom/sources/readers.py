@@ -9,6 +9,7 @@ import zipfile
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from pathlib import Path
+from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -23,24 +24,39 @@ MEDIA = {".mp3", ".mp4", ".wav", ".avi", ".mov", ".mkv", ".flac", ".ogg", ".m4a"
 
 
 def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None, sep: str = ",", encoding: str | None = None) -> DataFrame:
-    """A CSV as texts with markers kept. An absent file is an empty table; what isn't UTF-8 is read as Latin-1.
+    """A CSV as texts with markers kept. An absent file is an empty table; a file that isn't UTF-8 throughout is read as Latin-1.
 
     Only ``columns`` are read if they are given, as far as the file has them.
     """
     if not exists(spark, path):
         return spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in columns or ["value"]]))
-    if encoding is None:
-        head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 1 << 20).alias("b")).first()
-        encoding = "UTF-8"
-        if head is not None:
-            try:
-                bytes(head["b"])[:-4].decode("utf-8")
-            except UnicodeDecodeError:
-                encoding = "ISO-8859-1"
-    df = spark.read.options(header=True, sep=sep, encoding=encoding, quote='"', escape='"', multiLine=False).csv(path)
+    def read(paths: str | list[str], coding: str) -> DataFrame:
+        return spark.read.options(header=True, sep=sep, encoding=coding, quote='"', escape='"', multiLine=False).csv(paths)
+
+    if encoding is not None:
+        df = read(path, encoding)
+    else:
+        utf8, latin = _by_encoding(spark, path)
+        if utf8 and latin:
+            df = read(utf8, "UTF-8").unionByName(read(latin, "ISO-8859-1"), allowMissingColumns=True)
+        else:
+            df = read(path, "ISO-8859-1" if latin else "UTF-8")
     return df.select(*[c for c in columns if c in df.columns]) if columns else df
 
 
+def _by_encoding(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
+    """The files of ``path`` that are UTF-8 to the last byte, and the others.
+
+    By lines, whose ends are never inside a character; so large files are split.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.is_valid_utf8("value").alias("valid"))
+    files: tuple[list[str], list[str]] = [], []
+    for f in lines.groupBy("path").agg(F.bool_and("valid").alias("valid")).orderBy("path").collect():
+        # the path as it is, not as a URL or a pattern
+        files[0 if f["valid"] else 1].append(re.sub(r"([\\{}\[\]*?])", r"\\\1", unquote(f["path"])))
+    return files
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

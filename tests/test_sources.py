@@ -30,6 +30,17 @@ def test_csv(spark, tmp_path):
     assert [tuple(r) for r in readers.read_csv(spark, p, sep=";").collect()] == [("Müller", "NULL")]
 
 
+def test_encoding_is_decided_on_all_bytes(spark, tmp_path):
+    late = write(tmp_path / "late.csv", "a,b\n" + "plain,1\n" * 150_000 + "Müller,2\n", "latin-1")
+    assert [r.a for r in readers.read_csv(spark, late).filter("b = 2").collect()] == ["Müller"]
+    for end in ("é", "éa", "éab", "éabc", "éabcd"):  # wherever four bytes from the end fall
+        p = write(tmp_path / "end.csv", f"a\nMüller{end}")
+        assert [r.a for r in readers.read_csv(spark, p).collect()] == [f"Müller{end}"]
+    write(tmp_path / "g/1 [x].csv", "a,b\nMüller,1\n")
+    write(tmp_path / "g/2.csv", "a,b\nGómez,2\n", "latin-1")
+    assert sorted(r.a for r in readers.read_csv(spark, str(tmp_path / "g/*.csv")).collect()) == ["Gómez", "Müller"]
+
+
 def test_generic_reader(spark, tmp_path):
     write(tmp_path / "s/a.csv", "a\n1\n")
     write(tmp_path / "s/film.mp4", "x")
