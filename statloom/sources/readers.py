@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import json
 import re
@@ -74,22 +75,32 @@ def read_league_files(spark: SparkSession, root: str, leagues: dict[str, tuple[s
     """League files ``<season>/<code>.csv`` with season, competition and country from their paths.
 
     Files of unknown leagues or of directories that aren't four digits are left
-    out by their paths, before they are read.
+    out by their paths, before they are read. A file that isn't UTF-8 throughout
+    is read as Latin-1; of rows longer than the header the surplus fields are
+    ignored, in shorter ones the absent fields are NULL.
     """
     fields = ["Date", "HomeTeam", "AwayTeam", "FTHG", "FTAG", "Referee"]
     paths = f"{root}/[0-9][0-9][0-9][0-9]/{{{','.join(leagues)}}}.csv"
     schema = "competition string, country string, season string, " + ", ".join(f"{c} string" for c in fields)
     if not exists(spark, paths):
         return spark.createDataFrame([], schema)
-    raw = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    raw = spark.read.format("binaryFile").load(paths).select("path", F.col("content").alias("value"))
     code, season = F.regexp_extract("path", r"([^/]+)\.csv$", 1), F.regexp_extract("path", r"/([0-9]{4})/[^/]+$", 1)
     meta = F.create_map(*[x for k, (comp, land) in leagues.items() for x in (F.lit(k), F.struct(F.lit(comp).alias("competition"), F.lit(land).alias("country")))])
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        csv.field_size_limit(1 << 30)  # a field is bounded by its file only
         for b in batches:
-            for competition, country, s, text in b.itertuples(index=False):
-                x = pd.read_csv(io.StringIO(text.lstrip("﻿")), dtype=str, keep_default_na=False, on_bad_lines="skip")
-                yield x.reindex(columns=fields).assign(competition=competition, country=country, season=s)[["competition", "country", "season", *fields]]
+            for competition, country, s, content in b.itertuples(index=False):
+                try:
+                    text = bytes(content).decode("utf-8")
+                except UnicodeDecodeError:
+                    text = bytes(content).decode("latin-1")
+                lines = (row for row in csv.reader(io.StringIO(text.lstrip("\ufeff"), newline="")) if row)
+                header = next(lines, [])
+                at = [header.index(f) if f in header else None for f in fields]
+                out = [(competition, country, s, *[row[i] if i is not None and i < len(row) else None for i in at]) for row in lines]
+                yield pd.DataFrame(out, columns=["competition", "country", "season", *fields], dtype=object)
 
     return raw.select(F.element_at(meta, code)["competition"].alias("competition"), F.element_at(meta, code)["country"].alias("country"), season_span(season).alias("season"), "value").mapInPandas(rows, schema)
 

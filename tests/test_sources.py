@@ -41,6 +41,20 @@ def test_encoding_is_decided_on_all_bytes(spark, tmp_path):
     assert sorted(r.a for r in readers.read_csv(spark, str(tmp_path / "g/*.csv")).collect()) == ["Gómez", "Müller"]
 
 
+def test_league_files_keep_ragged_rows_and_accents(spark, tmp_path):
+    head = "Date,HomeTeam,AwayTeam,FTHG,FTAG,Referee\n"
+    write(tmp_path / "1516/E0.csv", head + "11/06/16,Green,Grey,1,0,R One,,\n\n12/06/16,Red\n13/06/16,Blue,Pink,2,2,\"R, Two\"\n")
+    write(tmp_path / "1617/E0.csv", head + "11/06/17,Málaga,Cádiz,3,1,R\n", "latin-1")
+    write(tmp_path / "1718/E0.csv", "\ufeff" + head + "11/06/18,Málaga,Grey,0,0,R\n")
+    write(tmp_path / "1819/E0.csv", "")
+    got = readers.read_league_files(spark, str(tmp_path), {"E0": ("Premier League", "England")}).collect()
+    assert sorted((r.Date, r.HomeTeam, r.AwayTeam, r.FTHG, r.FTAG, r.Referee) for r in got if r.AwayTeam) == [
+        ("11/06/16", "Green", "Grey", "1", "0", "R One"), ("11/06/17", "Málaga", "Cádiz", "3", "1", "R"),
+        ("11/06/18", "Málaga", "Grey", "0", "0", "R"), ("13/06/16", "Blue", "Pink", "2", "2", "R, Two"),
+    ]
+    assert [r.HomeTeam for r in got if r.AwayTeam is None] == ["Red"]
+
+
 def test_generic_reader(spark, tmp_path):
     write(tmp_path / "s/a.csv", "a\n1\n")
     write(tmp_path / "s/film.mp4", "x")
