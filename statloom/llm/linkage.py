@@ -23,11 +23,13 @@ from pyspark.sql import functions as F
 from statloom.functions.dates import parse_date
 from statloom.functions.missing import is_missing, norm_key, null_if_missing, strip
 from statloom.functions.text import strip_accents
-from statloom.llm.names import club_spellings
+from statloom.llm.clubs import club_spellings
 from statloom.session import durable, salted_join
 
 #: pairs below this confidence aren't matches
 THRESHOLD = 0.7
+#: listings of one key that a task pairs with its matches
+SHARE = 2000
 # Levels of agreement, 0 for none; a missing attribute is NULL and says nothing.
 # The game is what two clubs play on a day: 6 times the agreement of the clubs (0 one
 # differs, 1 both may agree, 2 both agree) plus that of the days (0 none, 1 the
@@ -147,20 +149,27 @@ def listed_games(listings: DataFrame, clubs: DataFrame) -> DataFrame:
 
 
 def candidates(held: DataFrame, listed: DataFrame) -> DataFrame:
-    """Pairs of the passes: the two towns; one town and the day; one town and the day before scraping; on whichever side."""
-    a = held.select(F.struct(*[F.col(c) for c in held.columns]).alias("m"))
-    b = listed.select(F.struct(*[F.col(c) for c in listed.columns]).alias("l"))
+    """Pairs of the passes: the two towns; one town and the day; one town and the day before scraping; on whichever side.
 
-    def keys(r: str, days: Column) -> Column:
-        towns = F.array_distinct(F.array_compact(F.array(f"{r}.home_town", f"{r}.away_town")))
-        home, away = F.col(f"{r}.home_town"), F.col(f"{r}.away_town")
+    Only ids meet under a key, each pair once; the attributes are joined to what
+    is left. A key of many listings is split over tasks.
+    """
+
+    def keys(days: Column) -> Column:
+        towns = F.array_distinct(F.array_compact(F.array("home_town", "away_town")))
+        home, away = F.col("home_town"), F.col("away_town")
         both = F.when(home.isNotNull() & away.isNotNull(), F.concat_ws("|", F.lit("t"), F.least(home, away), F.greatest(home, away)))
         each = F.flatten(F.transform(towns, lambda t: F.transform(days, lambda x: F.concat_ws("|", F.lit("d"), t, x.cast("string")))))
         return F.explode(F.concat(F.array_compact(F.array(both)), each)).alias("key")
 
-    left = a.select("m", keys("m", F.array_compact(F.array("m.day"))))
-    right = b.select("l", keys("l", F.array_distinct(F.array_compact(F.array("l.day", F.date_sub("l.seen", 1))))))
-    return left.join(right, "key").groupBy("m.match_id", "l.listing_id").agg(F.first("m").alias("m"), F.first("l").alias("l")).select("m", "l")
+    left = held.select("match_id", keys(F.array_compact(F.array("day"))))
+    right = listed.select("listing_id", keys(F.array_distinct(F.array_compact(F.array("day", F.date_sub("seen", 1))))))
+    salts = right.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("salts"))
+    left = left.join(salts, "key").select("match_id", "key", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    right = right.join(salts, "key").select("listing_id", "key", F.pmod(F.xxhash64("listing_id"), F.col("salts")).cast("int").alias("salt"))
+    ids = left.join(right, ["key", "salt"]).select("match_id", "listing_id").distinct()
+    m = held.select("match_id", F.struct(*held.columns).alias("m"))
+    return ids.join(m, "match_id").join(listed.select("listing_id", F.struct(*listed.columns).alias("l")), "listing_id").select("m", "l")
 
 
 def compare(pairs: DataFrame) -> DataFrame:
@@ -216,7 +225,8 @@ def link_games(matches: DataFrame, teams: DataFrame, listings: DataFrame, thresh
         .agg(F.count(F.lit(1)).alias("n"))
     )
     clubs = durable(club_spellings(texts).select("text", "town_id", "kind", "reserve"))
-    pairs = durable(compare(candidates(held_games(matches, teams, clubs), listed_games(listings, clubs)).filter("not l.reserve")))
+    held, listed = durable(held_games(matches, teams, clubs)), durable(listed_games(listings, clubs).filter("not reserve"))
+    pairs = durable(compare(candidates(held, listed)))
     scored = confidences(pairs, LEVELS, by="sides").filter(F.col("confidence") >= threshold)
     best = Window.partitionBy("listing_id").orderBy(F.desc("confidence"), F.asc_nulls_last("off"), F.abs("since"), "match_id")
     return scored.withColumn("rank", F.row_number().over(best)).filter("rank = 1").select("match_id", "listing_id", F.round("confidence", 6).alias("confidence"))
