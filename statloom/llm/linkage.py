@@ -32,13 +32,13 @@ THRESHOLD = 0.7
 SHARE = 2000
 # Levels of agreement, 0 for none; a missing attribute is NULL and says nothing.
 # The game is what two clubs play on a day: 6 times the agreement of the clubs (0 one
-# differs, 1 both may agree, 2 both agree) plus that of the days (0 none, 1 the
+# differs, 1 one agrees and the other is unknown, 2 both may agree, 3 both agree) plus that of the days (0 none, 1 the
 # match is undated but of that season, 2 up to 75 days later, as of a game put off, 3 scraped just after it, 4 a day off, 5
 # equal). Clubs and days depend on each other among the candidates, hence one attribute.
 # Sides are 1 as the match has them and 0 the wrong way round; the clubs and the score are
 # compared in the orientation in which the clubs agree better. The game the other way round
 # is another of the season at the other's ground, so what non-matches agree in depends on the sides.
-LEVELS = {"game": 18, "sides": 2, "score": 3, "place": 3, "league": 2}
+LEVELS = {"game": 24, "sides": 2, "score": 3, "place": 3, "league": 2}
 
 
 def estimate(patterns: list[tuple[tuple[int | None, ...], int]], levels: list[int], share: float = 0.1, rounds: int = 200, by: int | None = None) -> tuple[list[float], float, list[np.ndarray], list[np.ndarray]]:
@@ -188,7 +188,7 @@ def compare(pairs: DataFrame) -> DataFrame:
     def team(side: str, other: str) -> Column:
         k1, k2 = F.col(f"m.{side}_kind"), F.col(f"l.{other}_kind")
         same = F.col(f"m.{side}_town") == F.col(f"l.{other}_town")
-        return F.when(same & (k1 == k2), 2).when(same & (k1.isNull() | k2.isNull()), 1).otherwise(0)
+        return F.when(same & (k1 == k2), 3).when(same & (k1.isNull() | k2.isNull()), 2).when(same.isNotNull(), 0)  # NULL where a club is unknown
 
     def sides(home: str, away: str, straight: int) -> Column:
         """(clubs, sum, score, straight) with the listing's sides taken as given; the greater fits better."""
@@ -197,11 +197,17 @@ def compare(pairs: DataFrame) -> DataFrame:
         near = (F.abs(F.col("m.gh") - gh) + F.abs(F.col("m.ga") - ga) <= 1) | ((F.col("m.gh") == ga) & (F.col("m.ga") == gh))
         score = F.when(equal, 2).when(near, 1).when(equal.isNotNull(), 0)
         h, a = team("home", home), team("away", away)
-        return F.struct(F.least(h, a).alias("clubs"), (h + a).alias("sum"), score.alias("score"), F.lit(straight).alias("straight"))
+        known = F.least(h, a)  # of one, if the other is unknown
+        clubs = F.when(h.isNotNull() & a.isNotNull(), known).when(known > 0, 1).otherwise(0)
+        return F.struct(clubs.alias("clubs"), (F.coalesce(h, F.lit(0)) + F.coalesce(a, F.lit(0))).alias("sum"), score.alias("score"), F.lit(straight).alias("straight"))
 
     pairs = pairs.withColumn("s", F.greatest(sides("home", "away", 1), sides("away", "home", 0)))
     place = F.when(F.col("m.place") == F.col("l.place"), 2).when(F.col("m.place").startswith(F.col("l.place")) | (F.levenshtein("m.place", "l.place") <= 3), 1).when(F.col("m.place").isNotNull() & (F.length("l.place") > 0), 0)
-    league = F.when(F.col("m.league") == F.col("l.league"), 1).when(F.col("m.league").contains("first division") & F.col("l.league").rlike("^inv|friendl|cup"), 0).when(F.col("m.league").contains("invitational") & ~F.col("l.league").rlike("^inv"), 0)
+    # by the beginnings of their words, since labels shorten them: all of one's in the other, none, or else no telling
+    starts = [F.array_distinct(F.filter(F.transform(F.split(f"{r}.league", " "), lambda w: F.substring(w, 1, 3)), lambda w: F.length(w) == 3)) for r in ("m", "l")]
+    shared = F.size(F.array_intersect(*starts))
+    fewer = F.least(F.size(starts[0]), F.size(starts[1]))
+    league = F.when(F.col("m.league") == F.col("l.league"), 1).when((fewer > 0) & (shared == 0), 0).when((fewer > 0) & (shared == fewer), 1)
     return pairs.select(
         F.col("m.match_id").alias("match_id"), F.col("l.listing_id").alias("listing_id"), F.abs(off).alias("off"), since.alias("since"), (F.col("s.clubs") * 6 + day).cast("int").alias("game"),
         F.col("s.straight").cast("int").alias("sides"), F.col("s.score").cast("int").alias("score"), place.cast("int").alias("place"), league.cast("int").alias("league"),
