@@ -25,46 +25,41 @@ PIVOTS = 8
 SHARE = 20_000
 
 
-def _letters(c: str) -> Column:
-    """The set of letters a to z in a text, as bits."""
-    bits = F.lit(0)
-    for i in range(26):
-        bits = bits.bitwiseOR(F.when(F.contains(F.col(c), F.lit(chr(97 + i))), 1 << i).otherwise(0))
-    return bits
+def _part(length: Column, i: Column, radius: int) -> tuple[Column, Column]:
+    """(start, size) of part ``i`` of the radius + 1 parts of a text of ``length``; the longer ones come last."""
+    k = radius + 1
+    base, late = F.floor(length / k).cast("int"), (length % k).cast("int") - (k - i)
+    return 1 + i * base + F.greatest(F.lit(0), late), base + (late >= 0).cast("int")
 
 
-def _parts(length: Column, radius: int) -> list[tuple[Column, Column]]:
-    """(start, length) of the radius + 1 parts of a text of ``length``; the longer ones come last."""
-    k = radius + 1
-    base, more = F.floor(length / k).cast("int"), (length % k).cast("int")
-    out, start = [], F.lit(1)
-    for i in range(k):
-        size = base + (more >= k - i).cast("int")
-        out.append((start, size))
-        start = start + size
-    return out
+def _keys(c: str, steps: list[tuple[int, int, int]], radius: int) -> Column:
+    """Keys (length, part, letters): for each step (delta, i, o) the place of part i of a text that is delta shorter, o further on."""
+    n, text = F.length(c), F.col(c)
 
+    def key(x: Column) -> Column:
+        other = (n - x["d"]).cast("int")
+        start, size = _part(other, x["i"], radius)
+        at = start + x["o"]
+        inside = (other >= 1) & (at >= 1) & ((at + size - 1 <= n) | (size == 0))
+        return F.when(inside, F.concat_ws("\u001f", other.cast("string"), x["i"].cast("string"), F.substring(text, at, size)))
 
-def _key(length: Column, i: int, part: Column) -> Column:
-    return F.concat_ws("\u001f", length.cast("string"), F.lit(str(i)), part)
+    places = F.from_json(F.lit(str([{"d": d, "i": i, "o": o} for d, i, o in steps]).replace("'", '"')), "array<struct<d:int,i:int,o:int>>")
+    return F.array_distinct(F.array_compact(F.transform(places, key)))
 
 
-def _held(c: str, radius: int) -> Column:
-    """The keys of a text's own parts."""
-    n = F.length(c)
-    return F.array(*[_key(n, i, F.substring(F.col(c), s, z)) for i, (s, z) in enumerate(_parts(n, radius))])
+def _held(radius: int) -> list[tuple[int, int, int]]:
+    """A text's own parts."""
+    return [(0, i, 0) for i in range(radius + 1)]
 
 
-def _sought(c: str, radius: int, shorter_only: bool) -> Column:
-    """The keys under which texts within ``radius`` of this one are held."""
-    n, keys = F.length(c), []
-    for delta in range(0 if shorter_only else -radius, radius + 1):
-        other = n - delta
-        for i, (s, z) in enumerate(_parts(other, radius)):
-            for o in range(max(-i, delta - (radius - i)), min(i, delta + (radius - i)) + 1):
-                at = s + o
-                keys.append(F.when((other >= 1) & (at >= 1) & ((at + z - 1 <= n) | (z == 0)), _key(other, i, F.substring(F.col(c), at, z))))
-    return F.array_distinct(F.array_compact(F.array(*keys)))
+def _sought(radius: int, shorter_only: bool) -> list[tuple[int, int, int]]:
+    """Where the parts of texts within ``radius`` of this one may be."""
+    return [
+        (delta, i, o)
+        for delta in range(0 if shorter_only else -radius, radius + 1)
+        for i in range(radius + 1)
+        for o in range(max(-i, delta - (radius - i)), min(i, delta + (radius - i)) + 1)
+    ]
 
 
 def radius_join(names: DataFrame, radius: int = 2, others: DataFrame | None = None) -> DataFrame:
@@ -76,8 +71,8 @@ def radius_join(names: DataFrame, radius: int = 2, others: DataFrame | None = No
     """
     alone = others is None
     right = names if alone else others
-    held = right.select("block", F.col("text").alias("b"), F.explode(_held("text", radius)).alias("key")).filter("b != ''")
-    sought = names.select("block", F.col("text").alias("a"), F.explode(_sought("text", radius, alone)).alias("key"))
+    held = right.select("block", F.col("text").alias("b"), F.explode(_keys("text", _held(radius), radius)).alias("key")).filter("b != ''")
+    sought = names.select("block", F.col("text").alias("a"), F.explode(_keys("text", _sought(radius, alone), radius)).alias("key"))
     # up to PIVOTS texts of a key, picked by hash; more of them the more texts there are
     picks = F.array_distinct(F.array(*[F.min_by("b", F.xxhash64("b", F.lit(j))) for j in range(PIVOTS)]))
     cells = held.groupBy("block", "key").agg(F.count(F.lit(1)).alias("n"), picks.alias("pivots"))
@@ -90,7 +85,7 @@ def radius_join(names: DataFrame, radius: int = 2, others: DataFrame | None = No
     on, wide = ["block", "key", "pivot", "ring", "salt"], 2 * radius + 1
     own = sought.join(cells, ["block", "key"]).select("*", F.array_min(at("a")).alias("home"))
     own = own.select(
-        "block", "key", "a", _letters("a").alias("la"), F.col("home.pivot").alias("pivot"), F.col("home.d").alias("da"),
+        "block", "key", "a", F.col("home.pivot").alias("pivot"), F.col("home.d").alias("da"),
         F.floor(F.col("home.d") / wide).alias("ring"), F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"),
     )
     # d(a, b) <= r puts b within 2r of its own nearest pivot's distance in a's cell
@@ -98,9 +93,8 @@ def radius_join(names: DataFrame, radius: int = 2, others: DataFrame | None = No
     far = far.select("block", "key", "b", "salts", F.explode(F.filter("all", lambda x: x["d"] <= F.col("near"))).alias("cell"))
     rings = F.array_distinct(F.array(F.floor((F.col("cell.d") - radius) / wide), F.floor((F.col("cell.d") + radius) / wide)))
     far = far.select("block", "key", "b", "salts", F.col("cell.pivot").alias("pivot"), F.col("cell.d").alias("db"), F.explode(rings).alias("ring"))
-    far = far.select("block", "key", "b", _letters("b").alias("lb"), "pivot", "db", "ring", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    # bounds below the edit distance that are cheap: an edit adds a letter and takes one away at most
-    near = (F.abs(F.col("da") - F.col("db")) <= radius) & (F.bit_count(F.col("la").bitwiseXOR(F.col("lb"))) <= 2 * radius)
+    far = far.select("block", "key", "b", "pivot", "db", "ring", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    near = F.abs(F.col("da") - F.col("db")) <= radius
     d = F.levenshtein("a", "b", radius)  # -1 beyond the radius, found in a band of that width
     found = own.join(far, on).filter(near)
     if alone:
