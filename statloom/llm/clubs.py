@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statloom.llm.metric import anchor, follow, radius_join, slip, swapped
+from statloom.llm.metric import follow, point, radius_join, slip, swapped
 from statloom.llm.spelling import read_club
 from statloom.session import durable, shuffle_width
 
@@ -39,8 +39,8 @@ def town_anchors(towns: DataFrame) -> DataFrame:
     to the only town it can be short for; if there are several it stays its own.
     """
     space = towns.select(F.lit("").alias("block"), F.col("town").alias("text"), "n")
-    heads = anchor(space, radius_join(space.select("block", "text")).filter(slip(ONE, TWO)))
-    sizes = durable(heads.join(space, ["block", "text"]).groupBy("block", "anchor").agg(F.sum("n").alias("n")).withColumnRenamed("anchor", "text"))
+    heads = durable(point(space, radius_join(space.select("block", "text")).filter(slip(ONE, TWO))).join(space, ["block", "text"]))
+    sizes = heads.filter("anchor = text").select("block", "text", "n")  # the towns that are no slips
     size = F.length("text")
     cuts = sizes.filter(size >= ONE).select("block", F.col("text").alias("whole"), F.col("n").alias("nw"), F.explode(F.sequence(F.greatest(F.lit(4), F.ceil(size / 2).cast("int")), size - 2)).alias("k"))
     cuts = cuts.select("block", F.substring(F.col("whole"), F.lit(1), F.col("k")).alias("b"), "whole", "nw")

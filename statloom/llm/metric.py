@@ -132,23 +132,27 @@ def follow(up: DataFrame) -> DataFrame:
     """
     while True:
         up = durable(up)
-        nxt = up.filter("anchor != text").select("block", F.col("text").alias("anchor"), F.col("anchor").alias("_next"))
-        on = up.filter("anchor != text").join(nxt, ["block", "anchor"])
-        if on.isEmpty():
+        away = up.filter("anchor != text")
+        on = away.select("block", F.col("text").alias("anchor"), F.col("anchor").alias("_next"))
+        if away.join(on, ["block", "anchor"], "left_semi").isEmpty():
             return up
-        up = up.join(nxt, ["block", "anchor"], "left").select("block", "text", F.coalesce("_next", "anchor").alias("anchor"))
+        up = up.join(on, ["block", "anchor"], "left").select("block", "text", F.coalesce("_next", "anchor").alias("anchor"))
 
 
-def anchor(counted: DataFrame, pairs: DataFrame) -> DataFrame:
+def point(counted: DataFrame, pairs: DataFrame) -> DataFrame:
     """(block, text, anchor): each text with the commonest text that it may be a slip for, itself if there is none.
 
-    ``counted`` has (block, text, n). A text goes to its commonest neighbour if
-    that is commoner (of equals, the one that sorts first) and it is itself rare
-    beside it; texts that went to a text that itself went on follow it to the end.
+    ``counted`` has (block, text, n). A text points at its commonest neighbour if
+    that is commoner (of equals, the one that sorts first) and it is itself rare beside it.
     """
     n_a = counted.select("block", F.col("text").alias("a"), F.col("n").alias("na"))
     n_b = counted.select("block", F.col("text").alias("b"), F.col("n").alias("nb"))
     near = pairs.join(n_a, ["block", "a"]).join(n_b, ["block", "b"])
     near = near.filter(rare(F.col("na"), F.col("nb")) & ((F.col("nb") > F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") < F.col("a")))))
     best = near.groupBy("block", F.col("a").alias("text")).agg(F.min(F.struct((-F.col("nb")).alias("k"), "d", "b"))["b"].alias("anchor"))
-    return follow(counted.join(best, ["block", "text"], "left").select("block", "text", F.coalesce("anchor", "text").alias("anchor")))
+    return counted.select("block", "text").join(best, ["block", "text"], "left").select("block", "text", F.coalesce("anchor", "text").alias("anchor"))
+
+
+def anchor(counted: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The same followed to the end: a text that points at a text that itself points on goes with it."""
+    return follow(point(counted, pairs))
