@@ -7,16 +7,19 @@ all records, incomplete ones with their conditional expectations. A missing numb
 is filled with its conditional expectation given everything observed in the
 record, a missing category with the most probable one, and a mask marks each fill.
 
-Plan: an iteration is one pass over the cached feature columns. Each task reduces
-its rows to sufficient statistics, whose number depends on the model only, and
-these are summed by Spark before the driver sees them. Filling needs no shuffle:
-the fitted model goes along with the function. Features of the record's group (the
+Plan: the feature columns are packed once into blocks of rows with the same gaps
+and written to the shared folder. A round is one pass over the blocks: each task
+reduces its own to sufficient statistics, whose number depends on the model only,
+and these are summed by Spark before the driver sees them. The start is found on
+a bounded number of rows, the fit goes on over all rows until it converges. Filling
+needs no shuffle: the fitted model goes along with the function. Features of the record's group (the
 means of the same player, say) are pre-aggregated per group and joined with a
 salt, since a group may hold a third of all rows.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,6 +28,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from statloom.session import durable
+
 SALTS = 8
 
 
@@ -49,7 +54,8 @@ class Model:
     mean: np.ndarray
     cov: np.ndarray
     theta: list[np.ndarray] = field(default_factory=list)
-    log_likelihood: list[float] = field(default_factory=list)
+    log_likelihood: list[float] = field(default_factory=list)  # mean of a row, by round
+    converged: bool = False
 
 
 def valid(n: Number) -> Column:
@@ -81,83 +87,159 @@ def join_group(df: DataFrame, key: Column, dim: DataFrame, spread: Column) -> Da
     return left.join(dim.withColumnRenamed("k", "_k"), ["_k", "_salt"], "left").drop("_k", "_salt")
 
 
-# --- the model on one task's rows
+# --- the model on packed rows
 
+#: rows of one pattern of gaps in a block, and rows a task holds before it writes blocks
+BLOCK, HELD = 1 << 16, 1 << 18
+#: rows on which the start of the fit is found; the fit itself is of all rows
+START_ROWS = 10_000
+#: gain of the mean log-likelihood of a row at which the fit has converged, and rounds at most
+TOLERANCE, ROUNDS = 1e-5, 500
 
-def _expect(m: Model, x: np.ndarray, cats: list[np.ndarray]):
-    """Responsibilities, and per group the completed rows and the covariance added by each pattern of gaps."""
-    n, d = x.shape
-    k = len(m.weight)
-    logp = np.tile(np.log(m.weight), (n, 1))
-    for theta, c in zip(m.theta, cats):
-        seen = c >= 0
-        logp[seen] += np.log(theta[:, c[seen]]).T
-    full = np.repeat(x[None], k, axis=0)
-    seen = ~np.isnan(x)
-    code = seen @ (1 << np.arange(d))
-    extra = []
-    for pattern in np.unique(code):
-        rows = np.flatnonzero(code == pattern)
-        o = seen[rows[0]]
-        for g in range(k):
-            mu, s = m.mean[g], m.cov[g]
-            if not o.any():
-                full[g][rows] = mu
-                extra.append((rows, g, s, ~o))
-                continue
-            chol = np.linalg.cholesky(s[np.ix_(o, o)])
-            diff = x[np.ix_(rows, o)] - mu[o]
-            z = np.linalg.solve(chol, diff.T)
-            logp[rows, g] -= 0.5 * (z**2).sum(0) + np.log(np.diag(chol)).sum() + 0.5 * o.sum() * np.log(2 * np.pi)
-            if not o.all():
-                b = np.linalg.solve(s[np.ix_(o, o)], s[np.ix_(o, ~o)])
-                full[g][np.ix_(rows, ~o)] = mu[~o] + diff @ b
-                extra.append((rows, g, s[np.ix_(~o, ~o)] - s[np.ix_(~o, o)] @ b, ~o))
-    top = logp.max(1, keepdims=True)
-    p = np.exp(logp - top)
-    total = p.sum(1, keepdims=True)
-    return p / total, full, extra, float((top + np.log(total)).sum())
-
-
-def _matrix(m: Model, batch: pd.DataFrame) -> tuple[np.ndarray, list[np.ndarray]]:
+
+def _patterns(m: Model, batch: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(code of the observed numbers, rows, their standardised observed numbers, their categories or -1)."""
     x = (batch[m.numbers].to_numpy(dtype=float) - m.centre) / m.scale
-    cats = [pd.Categorical(batch[c], categories=v).codes.astype(int) for c, v in m.categories.items()]
-    return x, cats
+    cats = np.stack([pd.Categorical(batch[c], categories=v).codes for c, v in m.categories.items()], 1) if m.categories else np.zeros((len(x), 0), dtype=np.int8)
+    seen = ~np.isnan(x)
+    code = seen @ (1 << np.arange(x.shape[1]))
+    for c in np.unique(code):
+        rows = np.flatnonzero(code == c)
+        yield int(c), rows, x[np.ix_(rows, seen[rows[0]])].astype(np.float32), cats[rows].astype(np.int16)
 
 
-def _statistics(m: Model):
-    k, d = m.mean.shape
+def _pack(m: Model):
+    """Rows to blocks (code, n, x, cats, keys) of one pattern of gaps, so that a round works on large arrays."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, s1, s2, ll = np.zeros(k), np.zeros((k, d)), np.zeros((k, d, d)), 0.0
-        counts = [np.zeros_like(t) for t in m.theta]
+        held: dict[int, list] = {}
+        total = 0
+
+        def blocks() -> Iterator[pd.DataFrame]:
+            for code, parts in held.items():
+                x, cats, keys = (np.concatenate([p[i] for p in parts]) for i in range(3))
+                for at in range(0, len(x), BLOCK):
+                    cut = slice(at, at + BLOCK)
+                    n = len(x[cut])
+                    yield pd.DataFrame({"code": [code], "n": [n], "x": [x[cut].tobytes()], "cats": [cats[cut].tobytes()], "keys": [list(keys[cut])]})
+
         for batch in batches:
-            x, cats = _matrix(m, batch)
-            r, full, extra, part = _expect(m, x, cats)
-            ll += part
-            n += r.sum(0)
-            for g in range(k):
-                w = full[g] * r[:, [g]]
-                s1[g] += w.sum(0)
-                s2[g] += w.T @ full[g]
-            for rows, g, c, gap in extra:
-                s2[g][np.ix_(gap, gap)] += r[rows, g].sum() * c
-            for t, c in zip(counts, cats):
-                seen = c >= 0
-                for g in range(k):
-                    t[g] += np.bincount(c[seen], weights=r[seen, g], minlength=t.shape[1])
-        flat = np.concatenate([[ll], n, s1.ravel(), s2.ravel(), *[t.ravel() for t in counts]])
-        yield pd.DataFrame({"i": np.arange(len(flat)), "v": flat})
+            for code, rows, x, cats in _patterns(m, batch):
+                held.setdefault(code, []).append((x, cats, batch["row_key"].to_numpy()[rows]))
+                total += len(rows)
+            if total >= HELD:
+                yield from blocks()
+                held, total = {}, 0
+        yield from blocks()
 
     return run
 
 
-def fit(features: DataFrame, numbers: list[str], categories: dict[str, list[str]], groups: int = 4, iterations: int = 8, tolerance: float = 1e-4) -> Model | None:
-    """The mixture fitted on all rows of ``features``; None if a table has no number at all.
+class _Step:
+    """Expectations under one model; what depends on the pattern of gaps alone is worked out once."""
+
+    def __init__(self, m: Model):
+        self.m, self.known = m, {}
+
+    def of(self, code: int):
+        if code not in self.known:
+            o = (code >> np.arange(len(self.m.numbers))) & 1 == 1
+            per = []
+            for mu, s in zip(self.m.mean, self.m.cov):
+                chol = np.linalg.cholesky(s[np.ix_(o, o)]) if o.any() else np.zeros((0, 0))
+                inv = np.linalg.inv(chol) if o.any() else chol
+                b = inv.T @ (inv @ s[np.ix_(o, ~o)])
+                per.append((mu[o], mu[~o], inv, np.log(np.diag(chol)).sum() + 0.5 * o.sum() * np.log(2 * np.pi), b, s[np.ix_(~o, ~o)] - s[np.ix_(~o, o)] @ b))
+            self.known[code] = o, per
+        return self.known[code]
+
+    def expect(self, code: int, x: np.ndarray, cats: np.ndarray):
+        """(which numbers are observed, responsibilities, per group the expectations of the others, log-likelihood)."""
+        o, per = self.of(code)
+        x = x.astype(float)
+        logp = np.tile(np.log(self.m.weight), (len(x), 1))
+        for j, theta in enumerate(self.m.theta):
+            c = cats[:, j]
+            logp += np.where(c[:, None] >= 0, np.log(theta).T[np.maximum(c, 0)], 0.0)
+        gaps = []
+        for g, (mu, rest, inv, norm, b, _) in enumerate(per):
+            diff = x - mu
+            logp[:, g] -= 0.5 * ((diff @ inv.T) ** 2).sum(1) + norm
+            gaps.append(rest + diff @ b)
+        top = logp.max(1, keepdims=True)
+        p = np.exp(logp - top)
+        total = p.sum(1, keepdims=True)
+        return o, p / total, gaps, float((top + np.log(total)).sum())
+
+
+def _sums(m: Model, blocks: Iterator[tuple[int, np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The sufficient statistics of blocks (code, x, cats): log-likelihood, rows, and per group weight, sums, products, counts of categories."""
+    k, d = m.mean.shape
+    n, s1, s2, ll, rows = np.zeros(k), np.zeros((k, d)), np.zeros((k, d, d)), 0.0, 0
+    counts = [np.zeros_like(t) for t in m.theta]
+    step = _Step(m)
+    for code, x, cats in blocks:
+        o, r, gaps, part = step.expect(code, x, cats)
+        ll, rows = ll + part, rows + len(x)
+        n += r.sum(0)
+        full = np.empty((len(x), d))
+        full[:, o] = x
+        for g in range(k):
+            full[:, ~o] = gaps[g]
+            w = full * r[:, [g]]
+            s1[g] += w.sum(0)
+            s2[g] += w.T @ full
+            s2[g][np.ix_(~o, ~o)] += r[:, g].sum() * step.of(code)[1][g][5]
+        for j, t in enumerate(counts):
+            seen = cats[:, j] >= 0
+            for g in range(k):
+                t[g] += np.bincount(cats[seen, j], weights=r[seen, g], minlength=t.shape[1])
+    return np.concatenate([[ll, rows], n, s1.ravel(), s2.ravel(), *[t.ravel() for t in counts]])
+
+
+def _unpack(m: Model, batch: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    for code, n, x, cats in zip(batch["code"], batch["n"], batch["x"], batch["cats"]):
+        yield code, np.frombuffer(x, np.float32).reshape(n, -1) if x else np.zeros((n, 0), np.float32), np.frombuffer(cats, np.int16).reshape(n, len(m.categories))
+
+
+def _update(m: Model, flat: np.ndarray) -> float:
+    """Maximise ``m`` given the statistics; returns the mean log-likelihood of a row before."""
+    groups, d = m.mean.shape
+    at = 2
+    n = np.maximum(flat[at : at + groups], 1e-6)
+    at += groups
+    s1 = flat[at : at + groups * d].reshape(groups, d)
+    at += groups * d
+    s2 = flat[at : at + groups * d * d].reshape(groups, d, d)
+    at += groups * d * d
+    m.weight = n / n.sum()
+    m.mean = s1 / n[:, None]
+    # a ridge of one row's weight keeps small and degenerate groups invertible
+    m.cov = np.array([(s2[g] - n[g] * np.outer(m.mean[g], m.mean[g]) + np.eye(d)) / (n[g] + 1) + 1e-6 * np.eye(d) for g in range(groups)])
+    m.cov = (m.cov + m.cov.transpose(0, 2, 1)) / 2
+    m.theta = []
+    for v in m.categories.values():
+        t = flat[at : at + groups * len(v)].reshape(groups, len(v)) + 1.0
+        m.theta.append(t / t.sum(1, keepdims=True))
+        at += groups * len(v)
+    m.log_likelihood.append(flat[0] / max(flat[1], 1.0))
+    return m.log_likelihood[-1]
+
+
+def _climb(m: Model, statistics, tolerance: float, rounds: int) -> Model:
+    """Rounds of expectation and maximisation until a row's mean log-likelihood gains less than ``tolerance``."""
+    last = -np.inf
+    for _ in range(rounds):
+        now = _update(m, statistics(m))
+        m.converged = abs(now - last) <= tolerance
+        if m.converged:
+            break
+        last = now
+    return m
 
-    Start: one group per band of the first number between its quantiles, so the
-    fit is deterministic up to the order of sums.
-    """
+
+def start(features: DataFrame, numbers: list[str], categories: dict[str, list[str]], groups: int = 4) -> Model | None:
+    """A model to begin with: one group per band of the first number, between its quantiles; None without any number."""
     stats = features.agg(
         F.count(F.lit(1)),
         *[f(c) for c in numbers for f in (F.avg, F.stddev_pop)],
@@ -171,62 +253,67 @@ def fit(features: DataFrame, numbers: list[str], categories: dict[str, list[str]
     mean = np.zeros((groups, d))
     if stats[-1]:
         mean[:, 0] = (np.array(stats[-1], dtype=float) - centre[0]) / scale[0] + np.linspace(-0.1, 0.1, groups)
-    m = Model(numbers, categories, centre, scale, np.full(groups, 1 / groups), mean, np.repeat(np.eye(d)[None], groups, axis=0), [np.full((groups, len(v)), 1 / len(v)) for v in categories.values()])
-    for _ in range(iterations):
-        flat = np.zeros(1 + groups * (1 + d + d * d + sum(len(v) for v in categories.values())))
-        summed = features.mapInPandas(_statistics(m), "i int, v double").groupBy("i").agg(F.sum("v").alias("v"))
-        for i, v in summed.collect():  # as many rows as the model has parameters
-            flat[i] = v
-        at = 1
-        n = flat[at : at + groups]
-        at += groups
-        s1 = flat[at : at + groups * d].reshape(groups, d)
-        at += groups * d
-        s2 = flat[at : at + groups * d * d].reshape(groups, d, d)
-        at += groups * d * d
-        n = np.maximum(n, 1e-6)
-        m.weight = n / n.sum()
-        m.mean = s1 / n[:, None]
-        # a ridge of one row's weight keeps small and degenerate groups invertible
-        m.cov = np.array([(s2[g] - n[g] * np.outer(m.mean[g], m.mean[g]) + np.eye(d)) / (n[g] + 1) + 1e-6 * np.eye(d) for g in range(groups)])
-        m.cov = (m.cov + m.cov.transpose(0, 2, 1)) / 2
-        m.theta = []
-        for v in categories.values():
-            t = flat[at : at + groups * len(v)].reshape(groups, len(v)) + 1.0
-            m.theta.append(t / t.sum(1, keepdims=True))
-            at += groups * len(v)
-        m.log_likelihood.append(flat[0])
-        ll = m.log_likelihood
-        if len(ll) > 1 and abs(ll[-1] - ll[-2]) <= tolerance * abs(ll[-2]):
-            break
-    return m
+    return Model(numbers, categories, centre, scale, np.full(groups, 1 / groups), mean, np.repeat(np.eye(d)[None], groups, axis=0), [np.full((groups, len(v)), 1 / len(v)) for v in categories.values()])
+
+
+def fit(features: DataFrame, m: Model, packed: DataFrame, tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> Model:
+    """``m`` fitted on all rows, packed, until it converges (``converged`` says whether it did within ``rounds``).
+
+    It first climbs on the START_ROWS rows of the least key hashes, then on all
+    rows from there, so that few passes over the table are needed. Deterministic up to the order of sums.
+    """
+    some = features.orderBy(F.xxhash64("row_key"), "row_key").limit(START_ROWS).toPandas()  # of a fixed size
+    blocks = [(code, x, cats) for code, _, x, cats in _patterns(m, some)]
+    m = _climb(m, lambda m: _sums(m, blocks), tolerance, rounds)
+
+    def statistics(m: Model) -> np.ndarray:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            flat = _sums(m, (b for batch in batches for b in _unpack(m, batch)))
+            yield pd.DataFrame({"i": np.arange(len(flat)), "v": flat})
+
+        summed = packed.select("code", "n", "x", "cats").mapInPandas(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v"))
+        return np.array([v for _, v in sorted(summed.collect())])  # as many rows as the model has parameters
+
+    return _climb(m, statistics, tolerance, rounds)
 
 
 def _cells(m: Model, targets: list[Number], fill_categories: list[str]):
     place = {c: i for i, c in enumerate(m.numbers)}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        step = _Step(m)
         for batch in batches:
-            x, cats = _matrix(m, batch)
-            r, full, _, _ = _expect(m, x, cats)
-            out = []
-            for t in targets:
-                i = place[t.name]
-                gap = np.isnan(x[:, i])
-                v = (r * full[:, :, i].T).sum(1)[gap] * m.scale[i] + m.centre[i]
-                v = np.clip(v, t.low, t.high)
-                out.append(pd.DataFrame({"row_key": batch["row_key"][gap], "column_name": t.name, "number": np.rint(v) if t.whole else v, "category": None}))
-            for c in fill_categories:
-                i = list(m.categories).index(c)
-                gap = cats[i] < 0
-                best = (r[gap] @ m.theta[i]).argmax(1)
-                out.append(pd.DataFrame({"row_key": batch["row_key"][gap], "column_name": c, "number": np.nan, "category": np.array(m.categories[c], dtype=object)[best]}))
-            yield pd.concat(out)
+            for (code, x, cats), keys in zip(_unpack(m, batch), batch["keys"]):
+                o, r, gaps, _ = step.expect(code, x, cats)
+                for t in targets:
+                    i = place[t.name]
+                    if o[i]:
+                        continue
+                    v = sum(r[:, g] * gaps[g][:, (~o)[:i].sum()] for g in range(len(gaps))) * m.scale[i] + m.centre[i]
+                    v = np.clip(v, t.low, t.high)
+                    yield pd.DataFrame({"row_key": keys, "column_name": t.name, "number": np.rint(v) if t.whole else v, "category": None})
+                for c in fill_categories:
+                    i = list(m.categories).index(c)
+                    gap = cats[:, i] < 0
+                    best = (r[gap] @ m.theta[i]).argmax(1)
+                    yield pd.DataFrame({"row_key": np.asarray(keys)[gap], "column_name": c, "number": np.nan, "category": np.array(m.categories[c], dtype=object)[best]})
 
     return run
 
 
-def fill_cells(features: DataFrame, numbers: list[Number], categories: dict[str, list[str]] | None = None, fill_categories: list[str] = (), groups: int = 4, iterations: int = 8) -> DataFrame:
+def fitted(features: DataFrame, numbers: list[Number], categories: dict[str, list[str]] | None = None, groups: int = 4, tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> tuple[Model | None, DataFrame, DataFrame]:
+    """(model, packed rows, plain rows) of ``features``; the model is None, and the packed rows are empty, without any number."""
+    categories = categories or {}
+    x = features.select("row_key", *[valid(n).alias(n.name) for n in numbers], *[F.col(c).cast("string").alias(c) for c in categories])
+    m = start(x, [n.name for n in numbers], categories, groups)
+    if m is None:
+        return None, x.limit(0), x
+    key = dict(x.dtypes)["row_key"]
+    packed = durable(x.mapInPandas(_pack(m), f"code int, n int, x binary, cats binary, keys array<{key}>"))
+    return fit(x, m, packed, tolerance, rounds), packed, x
+
+
+def fill_cells(features: DataFrame, numbers: list[Number], categories: dict[str, list[str]] | None = None, fill_categories: list[str] = (), groups: int = 4, tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> DataFrame:
     """(row_key, column_name, number, category): one row for each cell that must be filled, with its fill.
 
     ``features`` has row_key and the numeric and categorical columns; numbers
@@ -236,21 +323,18 @@ def fill_cells(features: DataFrame, numbers: list[Number], categories: dict[str,
     come out with NULL fills. An empty table gives no rows. Repeated rows are
     filled each; they weigh in the fit as often as they occur.
     """
-    categories = categories or {}
     targets = [n for n in numbers if n.fill]
-    x = features.select("row_key", *[valid(n).alias(n.name) for n in numbers], *[F.col(c).cast("string").alias(c) for c in categories])
-    gap = F.lit(False)
-    for t in targets:
-        gap = gap | F.col(t.name).isNull()
-    for c in fill_categories:
-        gap = gap | F.col(c).isNull() | ~F.col(c).isin(categories[c])
-    x = x.persist()
-    m = fit(x, [n.name for n in numbers], categories, groups, iterations)
+    m, packed, x = fitted(features, numbers, categories, groups, tolerance, rounds)
     schema = f"row_key {dict(x.dtypes)['row_key']}, column_name string, number double, category string"
     if m is None:
         cells = F.array_compact(F.array(*[F.when(F.col(t.name).isNull(), t.name) for t in targets], *[F.when(F.col(c).isNull(), c) for c in fill_categories]))
         return x.select("row_key", F.explode(cells).alias("column_name"), F.lit(None).cast("double").alias("number"), F.lit(None).cast("string").alias("category"))
-    return x.filter(gap).mapInPandas(_cells(m, targets, list(fill_categories)), schema)
+    if not m.converged:
+        warnings.warn(f"the fit gained {m.log_likelihood[-1] - m.log_likelihood[-2]:.2g} a row in its last round of {rounds}", stacklevel=2)
+    if not fill_categories:
+        whole = sum(1 << m.numbers.index(t.name) for t in targets)
+        packed = packed.filter(F.col("code").bitwiseAND(whole) != whole)
+    return packed.mapInPandas(_cells(m, targets, list(fill_categories)), schema)
 
 
 def fill_table(df: DataFrame, row_key: str, cells: DataFrame, numbers: list[Number]) -> DataFrame:

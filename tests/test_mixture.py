@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from statloom.operators import mixture as M
 from statloom.operators.mixture import Number, fill_cells, fill_table
 
 NUMBERS = [Number("a", high=100, whole=False, fill=True), Number("b")]
@@ -55,3 +56,23 @@ def test_empty_and_nothing_observed(spark):
     assert [(r.row_key, r.column_name, r.number) for r in got] == [(1, "a", None)] * 2
     got = fill_cells(make(spark, [(1, 5.0, 2.0, "x", ""), (2, None, 2.0, "x", "")]), NUMBERS).collect()
     assert len(got) == 1 and abs(got[0].number - 5) < 1
+
+
+def test_fit_converges(spark, frame):
+    rows = [(k, None if k % 9 == 0 else a, None if k % 13 == 0 else b, c, v) for k, a, b, c, v in frame]
+    few, *_ = M.fitted(make(spark, rows), NUMBERS, {"c": ["x", "y"]}, groups=3)
+    assert few.converged and all(b >= a - 1e-3 for a, b in zip(few.log_likelihood, few.log_likelihood[1:]))
+    more, *_ = M.fitted(make(spark, rows), NUMBERS, {"c": ["x", "y"]}, groups=3, tolerance=1e-8)
+    assert more.converged and abs(more.log_likelihood[-1] - few.log_likelihood[-1]) < 0.01
+    got = [{r.row_key: r.number for r in fill_cells(make(spark, rows), NUMBERS, {"c": ["x", "y"]}, groups=3, tolerance=t).collect()} for t in (M.TOLERANCE, 1e-8)]
+    assert max(abs(got[0][k] - got[1][k]) for k in got[0]) < 0.2
+    with pytest.warns(UserWarning, match="gained"):
+        fill_cells(make(spark, rows), NUMBERS, groups=3, rounds=2)
+
+
+def test_blocks_keep_all_rows(spark, frame, monkeypatch):
+    monkeypatch.setattr(M, "BLOCK", 7)
+    monkeypatch.setattr(M, "HELD", 50)
+    _, packed, _ = M.fitted(make(spark, frame[:300] + [(-1, None, None, None, None)]), NUMBERS, {"c": ["x", "y"]}, groups=2)
+    blocks = packed.collect()
+    assert sum(b.n for b in blocks) == 301 and max(b.n for b in blocks) <= 7 and sorted(k for b in blocks for k in b["keys"]) == [-1, *range(300)]
