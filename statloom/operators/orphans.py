@@ -1,9 +1,11 @@
 """References to records that do not exist.
 
 The ledger holds, for each key of a target table, signed counts made from change
-deltas: a reference is +1 on the reference side, a delivered record +1 and a
-withdrawn one -1 on the existence side. A key with references and no existence is
-an orphan now; its first and last delta times tell whether it was one for a while.
+deltas: a delivered row is +1, a withdrawn one -1, on the existence side of its own
+key and on the reference side of the keys it refers to. A key with references and
+no existence is an orphan now; its first and last delta times tell whether it was
+one for a while. A ledger is kept from load to load: entries of a key are merged by
+sums, least and greatest, so the deltas of a load are all that it has to read.
 
 Plan: both sides are pre-aggregated per key before they meet (map-side combine),
 so a key that a third of all rows refers to costs one row a task and one row in
@@ -17,7 +19,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statloom.functions.missing import norm_key
@@ -53,63 +55,97 @@ def reference_rows(tables: dict[str, DataFrame], refs: list[Reference], row_key:
     return reduce(DataFrame.unionByName, parts)
 
 
-def existence_deltas(tables: dict[str, DataFrame], refs: list[Reference], at: str = "loaded_at", gone: str = "deleted_at") -> DataFrame:
-    """(target, key, exists, first_at, last_gone): existence per key, from +1 and -1 deltas.
+#: how two entries of a key become one
+_SUMS, _LEAST, _GREATEST = ("refs", "referred", "exists", "came"), ("first_ref", "first_at"), ("last_ref", "last_gone")
+BOOK = "target string, key string, refs bigint, referred bigint, exists bigint, came bigint, first_ref timestamp, first_at timestamp, last_ref timestamp, last_gone timestamp"
 
-    A record without a withdrawal time exists; one without a loading time
-    existed always. Keys are compared trimmed and without case.
+
+def change_deltas(tables: dict[str, DataFrame], refs: list[Reference], row_key: str = "row_id", at: str = "loaded_at", gone: str = "deleted_at") -> DataFrame:
+    """(target, key, side, delta, at): every change of the tables as a signed delta.
+
+    ``side`` is ref or exist. A delivered row is +1 at its loading, a withdrawn
+    one -1 at its withdrawal, for its own key and for the keys that it refers to.
+    A record without a loading time existed always. Keys are compared trimmed and without case.
     """
     parts = []
-    for target, key in dict.fromkeys((r.target, r.target_key) for r in refs):
-        parts.append(
-            tables[target]
-            .select(
-                F.lit(target).alias("target"),
-                norm_key(F.col(key)).alias("key"),
-                F.lit(1).alias("came"),
-                F.when(F.col(gone).isNotNull(), -1).otherwise(0).alias("went"),
-                F.coalesce(F.col(at), F.lit("0001-01-01").cast("timestamp")).alias("at"),
-                F.col(gone).alias("gone"),
-            )
-            .filter(F.col("key").isNotNull())
-        )
-    return (
-        reduce(DataFrame.unionByName, parts)
-        .groupBy("target", "key")
-        .agg(F.sum(F.col("came") + F.col("went")).alias("exists"), F.min("at").alias("first_at"), F.max("gone").alias("last_gone"))
-    )
+    for name in dict.fromkeys([r.table for r in refs] + [r.target for r in refs]):
+        own = [("ref", r.column, r.target) for r in refs if r.table == name]
+        own += [("exist", k, name) for k in dict.fromkeys(r.target_key for r in refs if r.target == name)]
+        t = tables[name]
+        left = F.col(gone) if gone in t.columns else F.lit(None).cast("timestamp")
+        always = F.coalesce(F.col(at), F.lit("0001-01-01").cast("timestamp"))
+        events = []
+        for side, column, target in own:
+            what = [F.lit(target).alias("target"), norm_key(F.col(column)).alias("key"), F.lit(side).alias("side")]
+            events.append(F.struct(*what, F.lit(1).alias("delta"), (always if side == "exist" else F.col(at)).alias("at")))
+            events.append(F.when(left.isNotNull(), F.struct(*what, F.lit(-1).alias("delta"), left.alias("at"))))
+        parts.append(t.select(F.explode(F.array_compact(F.array(*events))).alias("e")).select("e.*").filter(F.col("key").isNotNull()))
+    return reduce(DataFrame.unionByName, parts)
 
 
-def ledger(rows: DataFrame, existence: DataFrame) -> DataFrame:
-    """(target, key, refs, first_ref, last_ref, exists, first_at, last_gone): both signed counts of every key."""
-    r = rows.groupBy("target", "key").agg(F.count(F.lit(1)).alias("refs"), F.min("at").alias("first_ref"), F.max("at").alias("last_ref"))
-    none = F.lit(None)
-    both = r.select(
-        "target", "key", "refs", "first_ref", "last_ref", F.lit(0).cast("long").alias("exists"), none.cast("timestamp").alias("first_at"), none.cast("timestamp").alias("last_gone")
-    ).unionByName(
-        existence.select("target", "key", F.lit(0).cast("long").alias("refs"), none.cast("timestamp").alias("first_ref"), none.cast("timestamp").alias("last_ref"), "exists", "first_at", "last_gone")
-    )
-    return both.groupBy("target", "key").agg(
-        F.sum("refs").alias("refs"),
-        F.min("first_ref").alias("first_ref"),
-        F.max("last_ref").alias("last_ref"),
-        F.sum("exists").alias("exists"),
-        F.min("first_at").alias("first_at"),
-        F.max("last_gone").alias("last_gone"),
-    )
+def entries(deltas: DataFrame) -> DataFrame:
+    """Each delta as an entry of the ledger."""
+    ref, up = F.col("side") == "ref", F.col("delta") > 0
+    return deltas.select(
+        "target", "key",
+        F.when(ref, F.col("delta")).otherwise(0).cast("bigint").alias("refs"), (ref & up).cast("bigint").alias("referred"),
+        F.when(ref, 0).otherwise(F.col("delta")).cast("bigint").alias("exists"), (~ref & up).cast("bigint").alias("came"),
+        F.when(ref & up, F.col("at")).alias("first_ref"), F.when(~ref & up, F.col("at")).alias("first_at"),
+        F.when(ref & up, F.col("at")).alias("last_ref"), F.when(~ref & ~up, F.col("at")).alias("last_gone"),
+    )
+
+
+def settle(book: DataFrame) -> DataFrame:
+    """One entry a key: counts add up, first times are least, last times greatest. The order of merging doesn't matter."""
+    return book.groupBy("target", "key").agg(
+        *[F.sum(c).alias(c) for c in _SUMS], *[F.min(c).alias(c) for c in _LEAST], *[F.max(c).alias(c) for c in _GREATEST]
+    ).select("target", "key", *_SUMS, *_LEAST, *_GREATEST)
+
+
+def ledger(deltas: DataFrame) -> DataFrame:
+    """(target, key, refs, referred, exists, came, first_ref, first_at, last_ref, last_gone) of deltas.
+
+    refs and exists are the signed counts as they stand, referred and came how often they rose.
+    """
+    return settle(entries(deltas))
+
+
+def keep_ledger(spark: SparkSession, folder: str, deltas: DataFrame, load: str) -> DataFrame:
+    """The ledger in ``folder`` after the deltas of ``load``: the one kept so far and theirs, merged and kept.
+
+    Each load writes a version of its own, so a load given again changes nothing
+    and one that was lost on the way is simply repeated. Only the deltas of the
+    load and the entries are read, never the tables.
+    """
+    jvm = spark.sparkContext._jvm
+    fs = jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{folder}/*/_SUCCESS")) or []
+    kept = sorted(str(f.getPath().getParent().getName()) for f in found)  # number-load
+    same = [k for k in kept if k.partition("-")[2] == load]
+    if not same:
+        old = spark.read.schema(BOOK).parquet(f"{folder}/{kept[-1]}") if kept else spark.createDataFrame([], BOOK)
+        same = [f"{len(kept):08d}-{load}"]
+        settle(old.unionByName(ledger(deltas))).write.mode("overwrite").parquet(f"{folder}/{same[0]}")
+    return spark.read.schema(BOOK).parquet(f"{folder}/{same[0]}")
+
+
+def current_orphans(book: DataFrame) -> DataFrame:
+    """(target, key, refs): keys with references and no existence, as the ledger stands."""
+    return book.filter("refs > 0 and exists <= 0").select("target", "key", "refs")
 
 
 def possible_orphans(book: DataFrame) -> DataFrame:
     """Keys with references and, at the time of at least one of them, no existence."""
-    never = F.col("first_at").isNull()
     late = F.col("first_ref") < F.col("first_at")
     deleted = (F.col("exists") == 0) & (F.col("last_ref") >= F.col("last_gone"))
-    return book.filter((F.col("refs") > 0) & (never | late | deleted))
+    return book.filter((F.col("referred") > 0) & ((F.col("came") == 0) | late | deleted))
 
 
-def orphan_references(tables: dict[str, DataFrame], refs: list[Reference], row_key: str = "row_id", at: str = "loaded_at", gone: str = "deleted_at") -> DataFrame:
+def orphan_references(tables: dict[str, DataFrame], refs: list[Reference], row_key: str = "row_id", at: str = "loaded_at", gone: str = "deleted_at", book: DataFrame | None = None) -> DataFrame:
     """(table_name, column_name, row_id, reason, at): every orphan reference once.
 
+    ``book`` is a kept ledger of the tables; without one it is made from them.
+
     ``missing``: the key was never delivered. ``late``: it was first delivered
     after the referring row. ``deleted``: all its records were withdrawn, the
     last not after the referring row was loaded. A missing reference (NULL or a
@@ -118,12 +154,12 @@ def orphan_references(tables: dict[str, DataFrame], refs: list[Reference], row_k
     columns of the tables, also ones with clashing names, aren't read.
     """
     rows = reference_rows(tables, refs, row_key, at)
-    book = possible_orphans(ledger(rows, existence_deltas(tables, refs, at, gone)))
+    book = possible_orphans(ledger(change_deltas(tables, refs, row_key, at, gone)) if book is None else book)
     # salted, since one orphan key may hold a third of all references
-    keys = book.select("target", "key", "exists", "first_at", "last_gone").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    keys = book.select("target", "key", "came", "exists", "first_at", "last_gone").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     hit = rows.withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)).cast("int")).join(keys, ["target", "key", "salt"])
     reason = (
-        F.when(F.col("first_at").isNull(), "missing")
+        F.when(F.col("came") == 0, "missing")
         .when(F.col("first_at") > F.col("at"), "late")
         .when((F.col("exists") == 0) & (F.col("last_gone") <= F.col("at")), "deleted")
     )

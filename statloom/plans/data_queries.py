@@ -48,6 +48,12 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return _orphans(spark, d).drop("at")
 
 
+def p3_ledger(spark: SparkSession, d: str) -> DataFrame:
+    """The keys that are orphans as the ledger stands, with the references that are still valid."""
+    names = dict.fromkeys([r.table for r in REFERENCES] + [r.target for r in REFERENCES])
+    return orphans.current_orphans(orphans.ledger(orphans.change_deltas({n: table(spark, d, n) for n in names}, REFERENCES)))
+
+
 def p3_report(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphan_report(_orphans(spark, d))
 
@@ -162,7 +168,7 @@ def p6_defending(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_profile": p1_profile, "p1_masks": p1_masks,
-    "p3_found": p3_found, "p3_report": p3_report,
+    "p3_found": p3_found, "p3_report": p3_report, "p3_ledger": p3_ledger,
     "p5_found": p5_found, "p5_filled": p5_filled, "p5_height_table": p5_height_table,
     "p6_found": p6_found, "p6_scripts": p6_scripts, "p6_key_stats": p6_key_stats, "p6_defending": p6_defending,
 }
@@ -254,4 +260,17 @@ ORACLE = {
     "p3_report": _P3
     + """select table_name, column_name, strftime(loaded_at, '%Y-%m') as month, reason, count(*) as orphans
       from o where reason is not null group by all""",
+    "p3_ledger": rf"""
+      with r as (
+        select 'players_cleaned' as target, player_id as k, null::timestamp as gone from player_match_stats_cleaned
+        union all select 'matches_cleaned', match_id, null from player_match_stats_cleaned
+        union all select 'players_cleaned', assist_player_id, null from goals_events_cleaned
+        union all select 'teams_cleaned', home_team_id, deleted_at from matches_cleaned),
+      t as (select 'players_cleaned' as target, player_id as k, deleted_at from players_cleaned
+        union all select 'matches_cleaned', match_id, deleted_at from matches_cleaned
+        union all select 'teams_cleaned', team_id, deleted_at from teams_cleaned),
+      e as (select target, lower({_strip('k')}) as key, count(*) filter (deleted_at is null) as live from t group by all),
+      n as (select target, lower({_strip('k')}) as key, count(*) filter (gone is null) as refs from r
+        where k is not null and upper({_strip('k')}) not in {_MARKERS} group by all)
+      select n.target, n.key, n.refs from n left join e using (target, key) where n.refs > 0 and coalesce(live, 0) = 0""",
 }

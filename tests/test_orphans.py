@@ -1,7 +1,7 @@
 import random
 from datetime import datetime, timedelta
 
-from statloom.operators.orphans import Reference, orphan_references, orphan_report
+from statloom.operators.orphans import Reference, change_deltas, current_orphans, keep_ledger, ledger, orphan_references, orphan_report
 
 T0 = datetime(2020, 1, 1)
 REFS = [Reference("r", "k1", "t", "key"), Reference("r", "k2", "t", "key")]
@@ -49,3 +49,28 @@ def test_ties_and_empty_tables(spark):
     assert orphan_references(tables(spark, [], []), REFS).count() == 0
     o = orphan_references(tables(spark, [(1, "x", "y", None, "", 0)], []), REFS)
     assert {(r.month, r.orphans) for r in orphan_report(o).collect()} == {(None, 1)}
+
+
+def test_ledger_kept_load_by_load(spark, tmp_path):
+    rnd = random.Random(3)
+    day = lambda: T0 + timedelta(days=rnd.randrange(40))
+    names = ["a", "B", "c", "D", "e", "x", None]
+    keys = [(i, rnd.choice(names), day(), rnd.choice([None, day()])) for i in range(10)]
+    refs = [(i, rnd.choice(names), rnd.choice(names), day(), rnd.choice([None, None, day()])) for i in range(60)]
+    data = {
+        "r": spark.createDataFrame(refs, "row_id long, k1 string, k2 string, loaded_at timestamp, deleted_at timestamp"),
+        "t": spark.createDataFrame(keys, "row_id long, key string, loaded_at timestamp, deleted_at timestamp"),
+    }
+    deltas = change_deltas(data, REFS).cache()
+    for week in range(7):  # in any order, and one load given twice
+        part = deltas.filter(f"pmod(datediff(at, date'2020-01-01'), 7) = {week}")
+        book = keep_ledger(spark, str(tmp_path / "book"), part, f"load{week}")
+        book = keep_ledger(spark, str(tmp_path / "book"), part, f"load{week}") if week == 3 else book
+    whole = ledger(deltas)
+    assert sorted(map(str, book.collect())) == sorted(map(str, whole.collect()))
+    got = sorted((r.row_id, r.column_name, r.reason) for r in orphan_references(data, REFS, book=book).collect())
+    assert got == sorted((r.row_id, r.column_name, r.reason) for r in orphan_references(data, REFS).collect()) and got
+    # signs decide: a withdrawn reference and a withdrawn record no longer count
+    live = lambda k: sum(1 for r in refs for v in r[1:3] if v and v.lower() == k and r[4] is None)
+    gone = lambda k: all(x[3] for x in keys if x[1] and x[1].lower() == k)
+    assert {(r.key, r.refs) for r in current_orphans(book).collect()} == {(k, live(k)) for k in "abcdex" if live(k) and gone(k)}
