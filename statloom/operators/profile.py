@@ -19,6 +19,7 @@ masks, is what gets the exact check of the form.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -106,8 +107,9 @@ def inventory(df: DataFrame, columns: list[str], feed: str, load: str, forms: di
 def mine_masks(inv: DataFrame, min_share: float = 0.002) -> DataFrame:
     """(column_name, mask, n, share, dominant, exemplar) over all loads."""
     per = inv.filter(~F.col("missing")).groupBy("column_name", "mask").agg(F.sum("n").alias("n"), F.min("value").alias("exemplar"))
-    total = F.sum("n").over(Window.partitionBy("column_name"))
-    return per.withColumn("share", F.col("n") / total).withColumn("dominant", F.col("share") >= min_share)
+    total = inv.filter(~F.col("missing")).groupBy("column_name").agg(F.sum("n").alias("total"))  # one row a column
+    per = per.join(F.broadcast(total), "column_name").withColumn("share", F.col("n") / F.col("total"))
+    return per.select("column_name", "mask", "n", "exemplar", "share", (F.col("share") >= min_share).alias("dominant"))
 
 
 def _form_ok(forms: dict[str, ColumnForm], value: Column) -> Column:
@@ -119,7 +121,7 @@ def _form_ok(forms: dict[str, ColumnForm], value: Column) -> Column:
 
 
 def violations(df: DataFrame, columns: list[str], row_key: str, inv: DataFrame, forms: dict[str, ColumnForm] = FORMS, min_share: float = 0.002) -> DataFrame:
-    """(finding, column_name, ref_id): rows with a value that isn't of its column's form.
+    """(finding, column_name, ref_id): rows with a value that isn't of its column's form, or a share outside 0 to 1.
 
     A value whose mask is dominant and whose mask's exemplar conforms is good
     (the form is a function of the mask). All others are candidates and get the
@@ -129,18 +131,11 @@ def violations(df: DataFrame, columns: list[str], row_key: str, inv: DataFrame,
     good = mine_masks(inv, min_share).filter("dominant").withColumn("ok", _form_ok(forms, F.col("exemplar"))).filter("ok")
     rows = _long(df, columns, {"row_key": row_key}).filter(~is_missing(F.col("value"))).withColumn("mask", _mask_of(forms))
     # at most 1 / min_share masks a column: bounded whatever the table's size
-    rare = rows.join(F.broadcast(good.select("column_name", "mask")), ["column_name", "mask"], "left_anti")
-    return rare.filter(~_form_ok(forms, F.col("value"))).select(
-        F.lit("pattern").alias("finding"), "column_name", F.col("row_key").cast("string").alias("ref_id")
-    )
-
-
-def out_of_range(df: DataFrame, columns: list[str], row_key: str) -> DataFrame:
-    """(finding, column_name, ref_id): shares outside 0 to 1."""
-    rows = _long(df, columns, {"row_key": row_key}).withColumn("share", as_share(F.col("value")))
-    return rows.filter(~F.col("share").between(0, 1)).select(
-        F.lit("range").alias("finding"), "column_name", F.col("row_key").cast("string").alias("ref_id")
-    )
+    rows = rows.join(F.broadcast(good.select("column_name", "mask", F.lit(True).alias("good"))), ["column_name", "mask"], "left")
+    ranged = [c for c in columns if c in forms and forms[c].share]
+    outside = F.col("column_name").isin(*ranged) & ~as_share(F.col("value")).between(0, 1) if ranged else F.lit(False)
+    found = F.array(F.when(F.col("good").isNull() & ~_form_ok(forms, F.col("value")), "pattern"), F.when(outside, "range"))
+    return rows.select(F.explode(F.array_compact(found)).alias("finding"), "column_name", F.col("row_key").cast("string").alias("ref_id"))
 
 
 def load_profile(inv: DataFrame, forms: dict[str, ColumnForm] = FORMS) -> DataFrame:
@@ -174,8 +169,15 @@ def load_profile(inv: DataFrame, forms: dict[str, ColumnForm] = FORMS) -> DataFr
         F.sum(F.when(F.col("share").isNotNull(), F.col("n"))).alias("sn"),
     )
     by_mask = trimmed.filter(~F.col("missing")).groupBy(*keys, "mask").agg(F.sum("n").alias("n"))
-    q = F.sum("n").over(Window.partitionBy("feed", "column_name", "mask")) / F.sum("n").over(Window.partitionBy("feed", "column_name"))
-    p = F.col("n") / F.sum("n").over(Window.partitionBy(*keys))
+    def beside(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+        """``rows`` with the sum of n over those with the same ``by``; NULLs are equal. No group is brought into one task."""
+        sums = rows.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.sum("n").alias(name))
+        on = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])
+        return rows.join(sums, on).drop(*[f"_{c}" for c in by])
+
+    for by, name in ((["feed", "column_name", "mask"], "feed_mask"), (["feed", "column_name"], "feed_all"), (keys, "load_all")):
+        by_mask = beside(by_mask, by, name)
+    q, p = F.col("feed_mask") / F.col("feed_all"), F.col("n") / F.col("load_all")
     # sum over masks of the load: p log2(p/m)/2 + q log2(q/m)/2; masks the load lacks add q/2 each
     js = by_mask.select(*keys, "mask", "n", p.alias("p"), q.alias("q")).withColumn("m", (F.col("p") + F.col("q")) / 2)
     js = js.groupBy(*keys).agg(
@@ -236,8 +238,12 @@ def quality_findings(df: DataFrame, columns: list[str], row_key: str = "row_id",
     don't matter. Repeated rows count as often as they were delivered.
     """
     inv = inventory(df, columns, feed, load, forms)
-    ranged = [c for c in columns if c in forms and forms[c].share]
-    out = violations(df, columns, row_key, inv, forms)
-    if ranged:
-        out = out.unionByName(out_of_range(df, ranged, row_key))
-    return out.unionByName(departing_loads(load_profile(inv, forms), forms=forms))
+    return violations(df, columns, row_key, inv, forms).unionByName(departing_loads(load_profile(inv, forms), forms=forms))
+
+
+def drifting_loads(profile: DataFrame, least: float = 0.02) -> DataFrame:
+    """(feed, load, column_name, mask_divergence, top_mask): loads whose mask distribution diverges from that of all their feed's loads.
+
+    ``least``: Jensen-Shannon divergence in bits. Loads without values have none and are left out.
+    """
+    return profile.filter(F.col("mask_divergence") >= least).select("feed", "load", "column_name", "mask_divergence", "top_mask")

@@ -21,14 +21,21 @@ def p1_profile(spark: SparkSession, d: str) -> DataFrame:
     """The profile of every column of every load."""
     m = table(spark, d, "matches_cleaned")
     columns = [c for c in m.columns if c not in ("row_id", "feed_id", "load_id")]
-    return profile.load_profile(profile.inventory(m, columns, "feed_id", "load_id"))
+    p = profile.load_profile(profile.inventory(m, columns, "feed_id", "load_id"))
+    return p.withColumns({c: F.round(c, 6) for c in ("null_rate", "top_share", "mean_share", "mask_divergence")})
 
 
 def p1_masks(spark: SparkSession, d: str) -> DataFrame:
     """The mask inventory of every column with the dominant masks."""
     m = table(spark, d, "matches_cleaned")
     columns = [c for c in m.columns if c not in ("row_id", "feed_id", "load_id")]
-    return profile.mine_masks(profile.inventory(m, columns, "feed_id", "load_id"))
+    return profile.mine_masks(profile.inventory(m, columns, "feed_id", "load_id")).withColumn("share", F.round("share", 6))
+
+
+def p1_drift(spark: SparkSession, d: str) -> DataFrame:
+    """The loads and columns whose notations differ from those of the feed, by mask divergence."""
+    inv = profile.inventory(table(spark, d, "matches_cleaned"), PROFILED, "feed_id", "load_id")
+    return profile.drifting_loads(profile.load_profile(inv)).withColumn("mask_divergence", F.round("mask_divergence", 6))
 
 
 REFERENCES = [
@@ -167,7 +174,7 @@ def p6_defending(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_profile": p1_profile, "p1_masks": p1_masks,
+    "p1_found": p1_found, "p1_drift": p1_drift, "p1_profile": p1_profile, "p1_masks": p1_masks,
     "p3_found": p3_found, "p3_report": p3_report, "p3_ledger": p3_ledger,
     "p5_found": p5_found, "p5_filled": p5_filled, "p5_height_table": p5_height_table,
     "p6_found": p6_found, "p6_scripts": p6_scripts, "p6_key_stats": p6_key_stats, "p6_defending": p6_defending,
@@ -215,6 +222,53 @@ union all select 'distribution', column_name, load_id from top
   where load_id is not null and column_name <> 'possession_home' and top_share >= 0.38 - 1e-9
 """
 
+_COLUMNS = (
+    "match_id season competition data_scope source date home_team_id away_team_id stadium city country referee "
+    "home_score away_score possession_home possession_away loaded_at deleted_at"
+).split()
+
+
+def _profile_sql(columns: list[str]) -> str:
+    """The masks and the profile of the loads, up to the tables masks (m), loads (p) and divergences (j)."""
+    text = {"loaded_at": "strftime(loaded_at at time zone 'UTC', '%Y-%m-%d %H:%M:%S.%f')", "deleted_at": "strftime(deleted_at at time zone 'UTC', '%Y-%m-%d %H:%M:%S.%f')"}
+    cells = " union all ".join(
+        f"select feed_id as feed, load_id as load, '{c}' as column_name, "
+        + (rf"regexp_replace({text[c]}, '\.?0+$', '') as value from matches_cleaned" if c in text else f"cast({c} as varchar) as value from matches_cleaned")
+        for c in columns
+    )
+    mask = "value"
+    for i, what in enumerate((r"\p{L}[\p{L}\p{M}]*", r"\p{M}+", "[0-9]+", r"\p{N}+", r"[\x09-\x0d\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"), 1):
+        mask = f"regexp_replace({mask}, '{what}', chr({i}), 'g')"
+    mask = f"translate({mask}, chr(1) || chr(2) || chr(3) || chr(4) || chr(5), 'Lm9n_')"
+    return rf"""
+with cells as ({cells}),
+x as (select *, value is null or upper({_strip('value')}) in {_MARKERS} as missing, {_strip('value')} as t from cells),
+i as (
+  select feed, load, column_name, value, t, missing, count(*) as n,
+    case when not missing then {mask} || case when column_name = 'stadium' and length(value) > 60 then '…' else '' end end as mask,
+    case when column_name = 'possession_home' and regexp_full_match(t, '-?[0-9]+(\.[0-9]+)?( ?%)?') then cast(regexp_extract(t, '-?[0-9]+(\.[0-9]+)?') as double) end as num
+  from x group by feed, load, column_name, value, t, missing),
+s as (select *, case when t like '%\%%' escape '\' or num > 1 then num / 100 else num end as raw from i),
+v as (select feed, load, column_name, case when not missing then t end as value, missing, sum(n) as n, max(case when raw between 0 and 1 then raw end) as share from s group by all),
+m as (
+  select column_name, mask, sum(n) as n, sum(n) / sum(sum(n)) over (partition by column_name) as share, min(value) as exemplar
+  from i where not missing group by column_name, mask),
+p as (
+  select feed, load, column_name, sum(n) as rows, sum(case when missing then n else 0 end) as missing, count(*) filter (not missing) as distinct_values,
+    min(value) as min_value, max(value) as max_value, (min(struct_pack(k := -n, v := value)) filter (not missing)).v as top_value,
+    max(n) filter (not missing) as top_n, sum(share * n) / sum(n) filter (share is not null) as mean_share
+  from v group by feed, load, column_name),
+g as (select feed, load, column_name, mask, sum(n) as n from i where not missing group by all),
+h as (
+  select *, n / sum(n) over (partition by feed, load, column_name) as a,
+    sum(n) over (partition by feed, column_name, mask) / sum(n) over (partition by feed, column_name) as b from g),
+j as (
+  select feed, load, column_name, count(*) as masks, min(struct_pack(k := -n, v := mask)).v as top_mask,
+    greatest(0.0, sum(a * log2(a / ((a + b) / 2)) / 2 + b * log2(b / ((a + b) / 2)) / 2) + (1 - sum(b)) / 2) as mask_divergence
+  from h group by feed, load, column_name)
+"""
+
+
 _P3 = rf"""
 with dims as (
   select 'players_cleaned' as target, player_id as k, loaded_at, deleted_at from players_cleaned
@@ -255,6 +309,13 @@ union all select 'players_cleaned', 'height_cm', row_id from players_cleaned
 
 ORACLE = {
     "p1_found": _P1,
+    "p1_masks": _profile_sql(_COLUMNS) + "select column_name, mask, cast(n as bigint) as n, exemplar, round(share, 6) as share, share >= 0.002 as dominant from m",
+    "p1_drift": _profile_sql(PROFILED) + "select feed, load, column_name, round(mask_divergence, 6) as mask_divergence, top_mask from j where mask_divergence >= 0.02",
+    "p1_profile": _profile_sql(_COLUMNS)
+    + """select p.feed, p.load, p.column_name, cast(p.rows as bigint) as rows, cast(p.missing as bigint) as missing, round(p.missing / p.rows, 6) as null_rate,
+      p.distinct_values, p.min_value, p.max_value, p.top_value, round(p.top_n / nullif(p.rows - p.missing, 0), 6) as top_share, round(p.mean_share, 6) as mean_share,
+      coalesce(j.masks, 0) as masks, j.top_mask, round(j.mask_divergence, 6) as mask_divergence
+      from p left join j on p.feed is not distinct from j.feed and p.load is not distinct from j.load and p.column_name = j.column_name""",
     "p5_found": _P5,
     "p3_found": _P3 + "select table_name, column_name, row_id, reason from o where reason is not null",
     "p3_report": _P3
