@@ -41,18 +41,35 @@ def token_overlap_join(left: DataFrame, right: DataFrame, block: str, lkey: str,
     return a.join(b, [block, "w"]).groupBy("_l", "_r").agg(F.count(F.lit(1)).alias("shared")).select(F.col("_l").alias(lkey), F.col("_r").alias(rkey), "shared")
 
 
-def three_tier_match(left: DataFrame, right: DataFrame, block: str, lkey: str, lname: str, rkey: str, rname: str) -> DataFrame:
-    """(lkey, rkey, tier): the smallest right key that fits best: 1 the same name, 2 the same surname, 3 a shared word."""
-    def side(df: DataFrame, key: str, name: str, out: str) -> DataFrame:
+def three_tier_match(left: DataFrame, right: DataFrame, block: str, lkey: str, lname: str, rkey: str, rname: str, itself: bool = True) -> DataFrame:
+    """(lkey, rkey, tier): the smallest right key that fits best: 1 the same name, 2 the same surname, 3 a shared word.
+
+    Without ``itself`` a key doesn't match its equal, as within one table. Rows
+    without a block or name match nothing. Only the least keys of each name,
+    surname and word are joined (the two least without ``itself``), never all pairs.
+    """
+    def side(df: DataFrame, key: str, name: str) -> DataFrame:
         n = soft_norm(F.col(name))
-        return df.select(block, F.col(key).alias(out), n.alias("n"), F.element_at(F.split(n, " "), -1).alias("s")).filter("n <> ''")
-
-    a, b = side(left, lkey, lname, "_l"), side(right, rkey, rname, "_r")
-    same = a.join(b.select(block, "n", "_r"), [block, "n"]).select("_l", "_r", F.lit(1).alias("tier"))
-    last = a.join(b.select(block, "s", "_r"), [block, "s"]).select("_l", "_r", F.lit(2).alias("tier"))
-    words = a.select(block, "_l", F.explode(F.array_distinct(F.split("n", " "))).alias("w")).join(b.select(block, "_r", F.explode(F.array_distinct(F.split("n", " "))).alias("w")), [block, "w"]).select("_l", "_r", F.lit(3).alias("tier"))
-    best = same.unionByName(last).unionByName(words).groupBy("_l").agg(F.min(F.struct("tier", "_r")).alias("b"))
-    return best.select(F.col("_l").alias(lkey), F.col("b._r").alias(rkey), F.col("b.tier").alias("tier"))
+        words = F.split(n, " ")
+        marks = F.array(F.struct(F.lit(1).alias("tier"), F.array(n).alias("t")), F.struct(F.lit(2).alias("tier"), F.array(F.element_at(words, -1)).alias("t")), F.struct(F.lit(3).alias("tier"), F.array_distinct(words).alias("t")))
+        return df.filter(F.length(n) > 0).select(F.col(block).alias("_b"), F.col(key).alias("_k"), F.explode(marks).alias("m")).select("_b", "_k", "m.tier", F.explode("m.t").alias("t"))
+
+    on = ["_b", "tier", "t"]
+    r = side(right, rkey, rname)
+    least = r.groupBy(*on).agg(F.min("_k").alias("_r"))
+    if not itself:
+        second = r.join(least, on).filter("_k <> _r").groupBy(*on).agg(F.min("_k").alias("_r2"))
+        least = least.join(second, on, "left")
+    x = side(left, lkey, lname).join(least, on)
+    if not itself:
+        x = x.withColumn("_r", F.when(F.col("_r") != F.col("_k"), F.col("_r")).otherwise(F.col("_r2"))).filter("_r is not null")
+    best = x.groupBy("_k").agg(F.min(F.struct("tier", "_r")).alias("b"))
+    return best.select(F.col("_k").alias(lkey), F.col("b._r").alias(rkey), F.col("b.tier").alias("tier"))
+
+
+def orientation(home: Column, away: Column, listed_home: Column, listed_away: Column) -> Column:
+    """2 if both teams are alike as listed, 1 if they are the other way round, 0 otherwise."""
+    return F.when(teams_alike(home, listed_home) & teams_alike(away, listed_away), 2).when(teams_alike(home, listed_away) & teams_alike(away, listed_home), 1).otherwise(0)
 
 
 def expand_aliases(df: DataFrame, key: str, name: str, aliases: dict[str, tuple[str, ...]] = ALIASES) -> DataFrame:

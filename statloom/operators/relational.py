@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from statloom.functions.text import deterministic_int
+
 from statloom.functions.missing import is_missing
 
 
@@ -95,3 +97,22 @@ def rewrite_ids(df: DataFrame, column: str, aliases: DataFrame) -> DataFrame:
     """Ids that are aliases replaced by their targets."""
     one = aliases.groupBy("alias_id").agg(F.min("target_id").alias("target_id"))
     return df.join(one.withColumnRenamed("alias_id", column), column, "left").withColumn(column, F.coalesce("target_id", column)).drop("target_id")
+
+
+def slots(df: DataFrame, n: int) -> DataFrame:
+    """Every row with each ``slot`` from 1 to n."""
+    return df.withColumn("slot", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(n).cast("long"))))
+
+
+def hash_pick(plan: DataFrame, members: DataFrame, group: list[str], member: str, by: list[str], taken: DataFrame | None = None) -> DataFrame:
+    """``plan`` with a ``member`` of its group, picked by the hash of the columns ``by``; pairs of ``taken`` (by its columns) are left out.
+
+    Members are numbered in their order within the group, so no list of a group
+    is made. Groups without members have no rows; NULL members don't count.
+    """
+    own = members.filter(F.col(member).isNotNull()).select(*group, member).distinct()
+    size = own.groupBy(*group).agg(F.count(F.lit(1)).alias("_size"))
+    own = own.withColumn("_at", F.row_number().over(Window.partitionBy(*group).orderBy(member)).cast("long") - 1)
+    x = plan.join(size, group).withColumn("_h", deterministic_int(1 << 48, *[F.col(c) for c in by])).withColumn("_at", F.col("_h") % F.col("_size"))
+    x = x.join(own, [*group, "_at"]).select(*plan.columns, member)
+    return x if taken is None else x.join(taken, taken.columns, "left_anti")

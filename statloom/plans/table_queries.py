@@ -106,18 +106,19 @@ def full_outer_combine(spark, d):
     return relational.full_outer_combine(base, agg, ["player_id", "season"], ["goals", "shots"])
 
 
-_UP = f"""with t as (select match_id, stadium, city, referee from matches_cleaned qualify row_number() over (partition by match_id order by row_id) = 1),
-s as (select match_id, stadium, city, referee from matches_cleaned where row_id % 3 > 0 qualify row_number() over (partition by match_id order by row_id desc) = 1)"""
+_UP = """with t as (select match_id, stadium, city, referee from matches_cleaned where match_id is not null qualify row_number() over (partition by match_id order by row_id) = 1),
+s as (select match_id, stadium, city, referee from matches_cleaned where match_id is not null qualify row_number() over (partition by match_id order by row_id desc) = 1)"""
 _E = "({c} is null or upper(trim({c})) in ('', 'NULL', 'NAN', 'NONE', 'NA'))"
 
 
 def _upsert(spark, d):
-    m = table(spark, d, "matches_cleaned")
+    """The last delivery of every match offered to the first, and matches that only goals tell of."""
+    m = table(spark, d, "matches_cleaned").filter("match_id is not null")
     cols = ["stadium", "city", "referee"]
     t = relational.keep_one(m, ["match_id"], [F.col("row_id")]).select("match_id", *cols)
-    s = relational.keep_one(m.filter("row_id % 3 > 0"), ["match_id"], [F.col("row_id").desc()]).select("match_id", *cols)
-    extra = spark.createDataFrame([("match_not_held", "Nowhere Park", "Nowhere", "Nobody Known")], "match_id string, stadium string, city string, referee string")
-    return relational.upsert_fill_only(t, s.unionByName(extra), ["match_id"], cols, SHORT_MARKERS)
+    s = relational.keep_one(m, ["match_id"], [F.col("row_id").desc()]).select("match_id", *cols)
+    told = table(spark, d, "goals_events_cleaned").filter("match_id is not null").select("match_id").distinct().join(m, "match_id", "left_anti")
+    return relational.upsert_fill_only(t, s.unionByName(told.select("match_id", *[F.lit(None).cast("string").alias(c) for c in cols])), ["match_id"], cols, SHORT_MARKERS)
 
 
 @query(f"{_UP} select t.match_id, " + ", ".join(f"case when {_E.format(c='t.' + c)} and not {_E.format(c='s.' + c)} then s.{c} else t.{c} end as {c}" for c in ("stadium", "city", "referee")) + " from t left join s on t.match_id = s.match_id")
@@ -130,7 +131,8 @@ def upsert_conflicts(spark, d):
     return _upsert(spark, d)[1]
 
 
-@query("select 'match_not_held' as match_id, 'Nowhere Park' as stadium, 'Nowhere' as city, 'Nobody Known' as referee")
+@query("""select distinct match_id, cast(null as varchar) as stadium, cast(null as varchar) as city, cast(null as varchar) as referee
+from goals_events_cleaned where match_id is not null and match_id not in (select match_id from matches_cleaned where match_id is not null)""")
 def upsert_not_found(spark, d):
     return _upsert(spark, d)[2]
 
@@ -179,18 +181,27 @@ def _pairs(spark, d):
 
 @query(f"{_SLOTS} select team_id, season, unnest(generate_series(1, 26)) as slot from p")
 def roster_expand(spark, d):
-    return _pairs(spark, d).select("team_id", "season", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(26).cast("long"))).alias("slot"))
+    return relational.slots(_pairs(spark, d), 26)
 
 
 @query(f"""{_SLOTS}, r as (select team_id, list(player_id order by player_id) as pool from (select distinct team_id, player_id from players_cleaned where team_id is not null and player_id is not null) group by 1),
 x as (select p.team_id, p.season, unnest(generate_series(1, 12)) as slot, r.pool from p join r on p.team_id = r.team_id)
 select team_id, season, slot, pool[1 + cast(cast('0x' || substr(md5(team_id || '|' || season || '|' || slot), 1, 12) as bigint) % len(pool) as int)] as player_id from x""")
 def roster_hash_pick(spark, d):
-    pool = table(spark, d, "players_cleaned").filter("team_id is not null and player_id is not null").select("team_id", "player_id").distinct()
-    pool = pool.groupBy("team_id").agg(F.sort_array(F.collect_list("player_id")).alias("pool"))  # a squad, which the game bounds
-    x = _pairs(spark, d).join(pool, "team_id").select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(12).cast("long"))).alias("slot"))
-    h = F.conv(F.substring(F.md5(F.concat_ws("|", "team_id", "season", F.col("slot").cast("string"))), 1, 12), 16, 10).cast("long")
-    return x.select("team_id", "season", "slot", F.element_at("pool", (h % F.size("pool")).cast("int") + 1).alias("player_id"))
+    pool = table(spark, d, "players_cleaned").filter("team_id is not null")
+    return relational.hash_pick(relational.slots(_pairs(spark, d), 12), pool, ["team_id"], "player_id", ["team_id", "season", "slot"])
+
+
+@query("""with p as (select distinct team_id, season from (select home_team_id as team_id, season from matches_cleaned union all select away_team_id, season from matches_cleaned) where team_id is not null and season is not null),
+r as (select team_id, list(player_id order by player_id) as pool from (select distinct team_id, player_id from players_cleaned where team_id is not null and player_id is not null) group by 1),
+x as (select p.team_id, p.season, unnest(generate_series(1, 12)) as slot, r.pool from p join r on p.team_id = r.team_id),
+y as (select team_id, season, slot, pool[1 + cast(cast('0x' || substr(md5(team_id || '|' || season || '|' || slot), 1, 12) as bigint) % len(pool) as int)] as player_id from x)
+select * from y where not exists (select 1 from player_season_stats_cleaned z where z.player_id = y.player_id and z.season = y.season)""")
+def roster_pick_new(spark, d):
+    """The same without players that have statistics of the season."""
+    pool = table(spark, d, "players_cleaned").filter("team_id is not null")
+    taken = table(spark, d, "player_season_stats_cleaned").select("season", "player_id").filter("season is not null and player_id is not null").distinct()
+    return relational.hash_pick(relational.slots(_pairs(spark, d), 12), pool, ["team_id"], "player_id", ["team_id", "season", "slot"], taken)
 
 
 _NORM = "trim(regexp_replace(lower(regexp_replace(strip_accents({c}), '[^A-Za-z0-9 ]+', ' ', 'g')), ' +', ' ', 'g'))"
@@ -207,11 +218,10 @@ def token_overlap_match(spark, d):
 _LIST = " union all ".join(f"select '{k}' as k, '{v}' as v" for k, vs in matching.ALIASES.items() for v in vs)
 
 
-@query(f"""with n as (select row_id, {_NORM.format(c="club")} as n from (select row_number() over (order by club) as row_id, club from (select distinct club from key_stats where club is not null))), a as ({_LIST})
-select row_id, n as expansion from n where n <> '' union select row_id, a.v from n, a where n <> '' and (contains(n, a.k) or contains(a.k, n))""")
+@query(f"""with n as (select club, {_NORM.format(c="club")} as n from (select distinct club from key_stats where club is not null)), a as ({_LIST})
+select club, n as expansion from n where n <> '' union select club, a.v from n, a where n <> '' and (contains(n, a.k) or contains(a.k, n))""")
 def alias_contains_expand(spark, d):
-    c = table(spark, d, "key_stats").filter("club is not null").select("club").distinct().withColumn("row_id", F.row_number().over(Window.orderBy("club")).cast("long"))
-    return matching.expand_aliases(c, "row_id", "club")
+    return matching.expand_aliases(table(spark, d, "key_stats").filter("club is not null").select("club").distinct(), "club", "club")
 
 
 @query(f"""with a as (select record_id, club as b, {_NORM.format(c="player_name")} as n from key_stats where player_name is not null), x as (select *, string_split(n, ' ')[-1] as s, list_distinct(string_split(n, ' ')) as w from a where n <> ''),
@@ -219,20 +229,8 @@ p as (select l.record_id as l, r.record_id as r, 1 as t from x l join x r on l.b
   union all select l.record_id, r.record_id, 3 from (select record_id, b, unnest(w) as w from x) l join (select record_id, b, unnest(w) as w from x) r on l.b = r.b and l.w = r.w)
 select l as record_id, min({{'t': t, 'r': r}})['r'] as other_id, min(t) as tier from p where l <> r group by 1""")
 def three_tier_name_match(spark, d):
-    k = table(spark, d, "key_stats").filter("player_name is not null")
-    n = X.soft_norm(F.col("player_name"))
-    one = k.select("record_id", "club", "player_name", n.alias("n")).filter("n <> ''")
-    # each record against the others of its club: a record isn't its own match
-    a, b = one.withColumnRenamed("record_id", "_l"), one.withColumnRenamed("record_id", "_r")
-    w = lambda x: x.select("club", x.columns[0], F.explode(F.array_distinct(F.split("n", " "))).alias("w"))
-    last = F.element_at(F.split("n", " "), -1)
-    tiers = [
-        a.select("_l", "club", "n").join(b.select("_r", "club", "n"), ["club", "n"]).select("_l", "_r", F.lit(1).alias("tier")),
-        a.select("_l", "club", last.alias("s")).join(b.select("_r", "club", last.alias("s")), ["club", "s"]).select("_l", "_r", F.lit(2).alias("tier")),
-        w(a).join(w(b), ["club", "w"]).select("_l", "_r", F.lit(3).alias("tier")),
-    ]
-    best = tiers[0].unionByName(tiers[1]).unionByName(tiers[2]).filter("_l <> _r").groupBy("_l").agg(F.min(F.struct("tier", "_r")).alias("m"))
-    return best.select(F.col("_l").alias("record_id"), F.col("m._r").alias("other_id"), F.col("m.tier").alias("tier"))
+    k = table(spark, d, "key_stats").select("record_id", "club", "player_name")
+    return matching.three_tier_match(k, k.withColumnRenamed("record_id", "other_id"), "club", "record_id", "player_name", "other_id", "player_name", itself=False)
 
 
 @query()
@@ -449,40 +447,98 @@ def slugs_and_buckets(spark, d):
     return f.select("listing_id", X.slug(F.col("home_name")).alias("slug"), X.deterministic_int(97, F.col("listing_id"), F.coalesce("site", F.lit(""))).alias("bucket"))
 
 
-@query("""with g as (select * from matches_cleaned qualify row_number() over (partition by match_id order by row_id) = 1) select g.match_id, trim(team_name) as team_name, player_name from (
-  select match_id, home_team_id as team_name, 'P' || row_id as player_name from g where home_team_id is not null union all select match_id, home_team_id, 'Q' || row_id from g where home_team_id is not null
-  union all select match_id, away_team_id, 'R' || row_id from g where away_team_id is not null) g""")
-def parse_lineups(spark, d):
-    g = games(spark, d)
-    text = F.concat_ws(" | ", F.concat("home_team_id", F.lit(": P"), "row_id", F.lit("; Q"), "row_id"), F.concat("away_team_id", F.lit(": R"), "row_id"))
-    return parse.lineups(g.select("match_id", text.alias("t")), "match_id", "t")
+def _letters(c):
+    return F.coalesce(F.regexp_replace(c, "[^A-Za-z]", ""), F.lit(""))
 
 
-@query("""select row_id, position :: int as position, player as player_name, minute, goal_type from (
-  select row_id, 0 as position, 'A' || row_id as player, '45+2' as minute, 'regular' as goal_type from matches_cleaned union all select row_id, 1, 'A' || row_id, '90', 'penalty' from matches_cleaned union all select row_id, 2, 'B C', '12', 'own_goal' from matches_cleaned)""")
-def parse_goals(spark, d):
-    m = table(spark, d, "matches_cleaned").select("row_id", F.concat(F.lit("A"), "row_id", F.lit(" 45+2'; 90' (P); B C 12' (OG); nothing")).alias("t"))
-    return parse.goals(m, "row_id", "t").select("row_id", "position", "player_name", "minute", "goal_type")
+_LISTED = "l as (select listing_id, 'Ha' || coalesce(regexp_replace(home_name, '[^A-Za-z]', '', 'g'), '') as h, 'Aw' || coalesce(regexp_replace(away_name, '[^A-Za-z]', '', 'g'), '') as a, (listing_id % 7) || '-' || (listing_id % 5) as s, listing_id % 6 as v from fixture_listings)"
+
 
+def _listed(spark, d):
+    """Listings with plain names, a score, and which way their line is written."""
+    i = F.col("listing_id")
+    s = F.concat_ws("-", (i % 7).cast("string"), (i % 5).cast("string"))
+    return table(spark, d, "fixture_listings").select(i, F.concat(F.lit("Ha"), _letters("home_name")).alias("h"), F.concat(F.lit("Aw"), _letters("away_name")).alias("a"), s.alias("s"), (i % 6).alias("v"))
 
-@query("""select listing_id, 'shots' as section, 'S1' as field, coalesce(home_name, 'x') as value from fixture_listings union all select listing_id, 'shots', 'S2', coalesce(away_name, 'x') from fixture_listings""")
+
+@query(f"""with {_LISTED} select listing_id, case when v = 3 then null else h end as team_name, unnest(case v when 0 then ['Pa', 'Qu', 'Ra  Sb'] when 1 then ['Pa'] when 2 then ['Qu', 'Ra'] else []::varchar[] end) as player_name from l
+union all select listing_id, a, unnest(['Xa', 'Yb']) from l where v <> 4""")
+def parse_lineups(spark, d):
+    v = F.col("v")
+    home = F.when(v == 0, F.concat("h", F.lit(": Pa; Qu,  Ra  Sb ;"))).when(v == 1, F.concat("h", F.lit(": Pa"))).when(v == 2, F.concat("h", F.lit(":Qu,Ra"))).when(v == 3, F.lit("no colon here")).otherwise(F.concat("h", F.lit(": ; ,")))
+    away = F.when(v == 4, F.lit("nobody")).otherwise(F.concat("a", F.lit(": Xa, Yb")))
+    return parse.lineups(_listed(spark, d).select("listing_id", F.concat_ws(" | ", home, away).alias("t")), "listing_id", "t")
+
+
+@query(f"""with {_LISTED}, t as (
+  select listing_id, 0 as position, h as player_name, '45+2' as minute, 45 as minute_base, 2 as minute_added, 'regular' as goal_type from l where v in (0, 1)
+  union all select listing_id, 1, h, '90', 90, null, 'penalty' from l where v in (0, 1)
+  union all select listing_id, 2, a || ' B', '12', 12, null, 'own_goal' from l where v = 0
+  union all select listing_id, 1, a, '7', 7, null, 'regular' from l where v = 2
+  union all select listing_id, 0, h, '33', 33, null, 'regular' from l where v = 3)
+select listing_id, position :: int as position, player_name, minute, minute_base :: int as minute_base, minute_added :: int as minute_added, goal_type from t""")
+def parse_goals(spark, d):
+    v = F.col("v")
+    text = (
+        F.when(v == 0, F.concat("h", F.lit(" 45+2'; 90' (P); "), "a", F.lit(" B 12' (OG); nothing")))
+        .when(v == 1, F.concat("h", F.lit(" 45+2';90 (P)")))
+        .when(v == 2, F.concat(F.lit("88'; "), "a", F.lit(" 7'")))  # a minute before any player
+        .when(v == 3, F.concat("h", F.lit("   33'")))
+        .when(v == 4, F.lit(" ; ;"))
+    )
+    return parse.goals(_listed(spark, d).select("listing_id", text.alias("t")), "listing_id", "t").drop("goal_id")
+
+
+@query(f"""with {_LISTED}
+select listing_id, 'home' as side, h as player_name, '12' as minute, 'regular' as goal_type from l where v in (0, 1, 2)
+union all select listing_id, 'home', a || ' B', '40', 'penalty' from l where v = 0
+union all select listing_id, 'away', a, '90+3', 'own_goal' from l where v = 0
+union all select listing_id, 'away', h || '-' || a, '5', 'regular' from l where v = 1
+union all select listing_id, 'away', a, '9', 'penalty' from l where v in (2, 3)""")
+def parse_scorers(spark, d):
+    v = F.col("v")
+    text = (
+        F.when(v == 0, F.concat(F.lit("["), "h", F.lit(" 12, "), "a", F.lit(" B 40 (p); "), "a", F.lit(" 90+3' (o.g.)]")))
+        .when(v == 1, F.concat(F.lit("("), "h", F.lit(" 12'; "), "h", F.lit("-"), "a", F.lit(" 5)")))
+        .when(v == 2, F.concat("h", F.lit(" 12, 45 (og); "), "a", F.lit(" 9(pen.)")))  # the second minute has no name
+        .when(v == 3, F.concat(F.lit("-; "), "a", F.lit(" 9 (P)")))
+        .when(v == 4, F.concat("h", F.lit(" 12")))  # no semicolon, no sides
+        .otherwise(F.lit("; "))
+    )
+    return parse.scorers(_listed(spark, d).select("listing_id", text.alias("t")), "listing_id", "t")
+
+
+@query("""select listing_id, 'shots' as section, 'S1' as field, coalesce(home_name, 'x') as value from fixture_listings union all select listing_id, 'shots', 'S2', coalesce(away_name, 'x') from fixture_listings
+union all select listing_id, null, 'S0', '' from fixture_listings union all select listing_id, 'cards', 'S1', 'a~b' from fixture_listings""")
 def parse_feed(spark, d):
     f = table(spark, d, "fixture_listings")
-    text = F.concat(F.lit("ST~shots¬S1~"), F.coalesce("home_name", F.lit("x")), F.lit("¬S2~"), F.coalesce("away_name", F.lit("x")), F.lit("¬"))
+    text = F.concat(F.lit("S0~¬ST~shots¬S1~"), F.coalesce("home_name", F.lit("x")), F.lit("¬junk¬S2~"), F.coalesce("away_name", F.lit("x")), F.lit("¬ST~cards¬S1~a~b¬"))
     return parse.feed(f.select("listing_id", text.alias("t")), "listing_id", "t")
 
 
-@query("""select listing_id, 'Home ' || listing_id as home, 'Away' as away, '2-1' as score from fixture_listings""")
+@query(f"""with {_LISTED} select listing_id, case when v < 4 then h end as home, case when v < 4 then a end as away,
+  case v when 0 then s || ' (1-0)' when 1 then s when 2 then s || ' (0-0)' when 3 then s || ' pen. (1-1)' end as score,
+  case when v = 2 then 'Park ' || h end as stadium, case when v = 2 then 'Some Town' end as city from l""")
 def parse_match_lines(spark, d):
-    line = F.concat(F.lit("  (3) 20.45 Home "), "listing_id", F.lit(" (ENG) v Away 2-1 (1-0)"))
-    return table(spark, d, "fixture_listings").select("listing_id", parse.match_line(line).alias("m")).select("listing_id", "m.home", "m.away", F.substring_index("m.score", " ", 1).alias("score"))
-
-
-@query("""select file_id, line_no, line from raw_file_lines""")
+    """Lines of both grammars, with and without number, day, time, note and venue, and lines that are no match."""
+    v = F.col("v")
+    line = (
+        F.when(v == 0, F.concat(F.lit("  (3) 20.45 "), "h", F.lit(" v "), "a", F.lit("  "), "s", F.lit(" (1-0)")))
+        .when(v == 1, F.concat("h", F.lit(" (ENG) v "), "a", F.lit(" (FRA) "), "s"))
+        .when(v == 2, F.concat(F.lit("(12) Sat Jun/14 18:00 "), "h", F.lit(" "), "s", F.lit(" (0-0) "), "a", F.lit(" @ Park "), "h", F.lit(", Some Town # note")))
+        .when(v == 3, F.concat("h", F.lit(" "), "s", F.lit(" pen. (1-1) "), "a"))
+        .when(v == 4, F.concat("h", F.lit(" against "), "a"))
+        .otherwise(F.concat(F.lit("Winner "), "h", F.lit(" "), "s", F.lit(" "), "a"))
+    )
+    return _listed(spark, d).select("listing_id", parse.match_line(line).alias("m")).select("listing_id", "m.*")
+
+
+@query(r"""select doc_id, unnest(generate_series(1, len(t))) as line_no, unnest(t) as text from (select doc_id, string_split_regex(text, '\r?\n') as t from documents where text is not null)""")
 def text_lines(spark, d):
-    whole = table(spark, d, "raw_file_lines").groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("a"))
-    t = whole.select("file_id", F.array_join(F.transform("a", lambda x: F.coalesce(x["line"], F.lit(""))), "\n").alias("t"), F.col("a")[0]["line_no"].alias("first"))
-    return t.select("file_id", "first", F.posexplode(F.split("t", "\n")).alias("p", "line")).select("file_id", (F.col("p") + F.col("first")).alias("line_no"), "line")
+    """Every text by line."""
+    from statloom.sources.readers import split_lines
+
+    return split_lines(table(spark, d, "documents"), "doc_id", "text")
 
 
 @query("select event_id, cast(json_extract(props, '$.k') as bigint) as k from events")

@@ -105,10 +105,15 @@ def read_league_files(spark: SparkSession, root: str, leagues: dict[str, tuple[s
     return raw.select(F.element_at(meta, code)["competition"].alias("competition"), F.element_at(meta, code)["country"].alias("country"), season_span(season).alias("season"), "value").mapInPandas(rows, schema)
 
 
+def split_lines(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, line_no, text): the lines of each text, numbered from 1; a NULL text has none."""
+    x = df.select(key, F.posexplode(F.split(F.col(text), r"\r?\n")).alias("p", "text"))
+    return x.select(key, (F.col("p") + 1).cast("long").alias("line_no"), "text")
+
+
 def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(path, line_no, text): texts by line, numbered from 1."""
-    raw = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", r"\r?\n")).alias("p", "text"))
-    return raw.select("path", (F.col("p") + 1).alias("line_no"), "text")
+    return split_lines(spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value"), "path", "value")
 
 
 def flatten(df: DataFrame, sep: str = ".") -> DataFrame:
