@@ -12,8 +12,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from statloom.functions.missing import finite
-from statloom.functions.text import clip, safe_div
+from statloom.functions.missing import finite, is_missing, null_if_missing
+from statloom.functions.text import clip, country_region, safe_div, season_start_year, slug
+from statloom.session import salted_join
 
 
 def hard_normalise(df: DataFrame, counts: list[str]) -> DataFrame:
@@ -97,6 +98,111 @@ def neighbour_means(df: DataFrame, partition: list[str], order: list[str], colum
     return (F.lag(column).over(w) + F.lead(column).over(w)) / 2
 
 
+# --- fills from other tables and rows
+
+
+def prior_fill(df: DataFrame, key: Column, prior: DataFrame, prior_key: Column, order: list[Column], columns: dict[str, str], reason: str = "same name in the prior") -> DataFrame:
+    """Missing cells from the first prior row of the same key, with ``<column>_reason``.
+
+    columns: column of ``df`` to column of ``prior``. Rows without a key keep their gaps.
+    """
+    w = Window.partitionBy("_k").orderBy(*order)
+    first = prior.select("*", prior_key.alias("_k")).filter("_k <> ''").withColumn("_rn", F.row_number().over(w)).filter("_rn = 1")
+    first = first.select("_k", *[F.col(src).alias(f"_p_{c}") for c, src in columns.items()])
+    out = salted_join(df.withColumn("_k", key), first, ["_k"], df.columns[0], "left")
+    for c in columns:
+        gap = _gap(df, c) & F.col(f"_p_{c}").isNotNull()
+        out = out.withColumns({f"{c}_reason": F.when(gap, reason), c: F.when(gap, F.col(f"_p_{c}").cast(dict(df.dtypes)[c])).otherwise(F.col(c))})
+    return out.drop("_k", *[f"_p_{c}" for c in columns])
+
+
+def _gap(df: DataFrame, c: str) -> Column:
+    kind = dict(df.dtypes)[c]
+    return is_missing(F.col(c)) if kind == "string" else F.col(c).isNull() | F.isnan(c) if kind == "double" else F.col(c).isNull()
+
+
+def donor_fill(df: DataFrame, key: Column, column: str, order: Column) -> DataFrame:
+    """A missing cell from the last row, by ``order``, of the same key that has one; ``<column>_reason`` says so."""
+    has = df.filter(~_gap(df, column) & (key != "")).groupBy(key.alias("_k")).agg(F.max_by(column, order).alias("_donor"))
+    out = salted_join(df.withColumn("_k", key), has, ["_k"], df.columns[0], "left")
+    gap = _gap(df, column) & F.col("_donor").isNotNull()
+    return out.withColumns({f"{column}_reason": F.when(gap, "a row of the same name"), column: F.when(gap, F.col("_donor")).otherwise(F.col(column))}).drop("_k", "_donor")
+
+
+def median_fill(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Missing numbers from the column's median over all rows, rounded for whole columns; one row is broadcast."""
+    mid = df.agg(*[F.median(F.when(~_gap(df, c), F.col(c))).alias(f"_m_{c}") for c in columns])
+    out = df.crossJoin(F.broadcast(mid))
+    for c in columns:
+        whole = dict(df.dtypes)[c] != "double"
+        out = out.withColumn(c, F.when(_gap(df, c), (F.rint(f"_m_{c}") if whole else F.col(f"_m_{c}")).cast(dict(df.dtypes)[c])).otherwise(F.col(c)))
+    return out.drop(*[f"_m_{c}" for c in columns])
+
+
+def season_totals(df: DataFrame, prior: DataFrame, order: list[Column], fields: dict[str, str]) -> DataFrame:
+    """Season statistics (player_key, position_group) filled step by step, with ``<column>_reason``.
+
+    Lower bounds first (attempted passes from completed ones, shots from those on
+    target), then the prior row of the same name, then the prior's median of the
+    position or else of all, rounded. prior: player_key, position_group and the fields' sources.
+    """
+    out = df.withColumns({f"{c}_reason": F.lit(None).cast("string") for c in dict.fromkeys([*fields, "passes_attempted", "shots"])})
+    for whole, part in (("passes_attempted", "passes_completed"), ("shots", "shots_on_target")):
+        gap = F.col(whole).isNull() & F.col(part).isNotNull()
+        out = out.withColumns({f"{whole}_reason": F.when(gap, "lower bound"), whole: F.coalesce(whole, part)})
+    was = {c: f"{c}_reason" for c in fields}
+    out = prior_fill(out.withColumnsRenamed({r: f"_{r}" for r in was.values()}), F.col("player_key"), prior, F.col("player_key"), order, fields)
+    groups = prior.groupBy("position_group").agg(*[F.median(src).alias(f"_g_{c}") for c, src in fields.items()]).filter("position_group is not null")
+    total = prior.agg(*[F.median(src).alias(f"_t_{c}") for c, src in fields.items()])
+    out = out.join(groups, "position_group", "left").crossJoin(F.broadcast(total))  # a row a position, and one row
+    for c in fields:
+        value = F.rint(F.coalesce(f"_g_{c}", f"_t_{c}")).cast("long")
+        gap = F.col(c).isNull() & value.isNotNull()
+        out = out.withColumns({f"{c}_reason": F.coalesce(f"_{c}_reason", f"{c}_reason", F.when(gap, "median of the position")), c: F.coalesce(c, value)})
+    return out.drop(*[f"_{r}" for r in was.values()], *[f"_{x}_{c}" for x in "gt" for c in fields])
+
+
+def goal_rows(goals: DataFrame, players: DataFrame) -> DataFrame:
+    """Goal events with their gaps filled: name of the player, event type, goal type, and the two flags from the goal type.
+
+    players: one row a player_id.
+    """
+    names = players.select("player_id", F.col("player_name").alias("_name")).filter(~is_missing(F.col("_name")))
+    kind = F.coalesce(null_if_missing(F.col("goal_type")), F.lit("regular"))
+    x = salted_join(goals, names, ["player_id"], "row_id", "left")
+    return x.withColumns({
+        "player_name": F.coalesce(null_if_missing(F.col("player_name")), F.col("_name")),
+        "event_type": F.coalesce(null_if_missing(F.col("event_type")), F.lit("goal")),
+        "goal_type": kind,
+        "is_penalty": F.coalesce("is_penalty", F.lower(kind).contains("penalty")),
+        "is_own_goal": F.coalesce("is_own_goal", F.lower(kind).contains("own")),
+    }).drop("_name")
+
+
+def match_defaults(matches: DataFrame) -> DataFrame:
+    """Matches with what is missing told from the rest: first of July of the season, the home side's stadium, the country as city."""
+    has = {c: null_if_missing(F.col(c)) for c in ("date", "stadium", "city", "country", "referee")}
+    return matches.withColumns({
+        "date": F.coalesce(has["date"], F.concat(F.lit("01-07-"), season_start_year(F.col("season")).cast("string"))),
+        "stadium": F.coalesce(has["stadium"], F.concat("home_team_id", F.lit(" Stadium"))),
+        "city": F.coalesce(has["city"], has["country"], F.lit("Unknown")),
+        "country": F.coalesce(has["country"], F.lit("Unknown")),
+        "referee": F.coalesce(has["referee"], F.lit("Unknown")),
+    })
+
+
+def complete_teams(teams: DataFrame, matches: DataFrame) -> DataFrame:
+    """One row a team (its first), the country from its first match that has one, a logo address, team_slug and team_region."""
+    sides = F.array(F.struct(F.lit(0).alias("side"), F.col("home_team_id").alias("team_id")), F.struct(F.lit(1).alias("side"), F.col("away_team_id").alias("team_id")))
+    played = matches.filter(~is_missing(F.col("country"))).select("country", "row_id", F.explode(sides).alias("s")).filter("s.team_id is not null")
+    lands = played.groupBy(F.col("s.team_id").alias("team_id")).agg(F.min(F.struct("s.side", "row_id", "country"))["country"].alias("_land"))
+    w = Window.partitionBy("team_id").orderBy("row_id")
+    first = teams.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn").join(lands, "team_id", "left")
+    country = F.coalesce(null_if_missing(F.col("country")), F.col("_land"), F.lit("Unknown"))
+    logo = F.coalesce(null_if_missing(F.col("logo")), F.concat(F.lit("generated://team-logo/"), F.col("team_id")))
+    return first.withColumns({"country": country, "logo": logo, "team_slug": slug(F.col("team_name")), "team_region": country_region(country)}).drop("_land")
+
+
 # --- the stochastic tier: draws from hashes
 
 

@@ -76,6 +76,62 @@ def duplicate_profile(df: DataFrame, key: list[str]) -> DataFrame:
     )
 
 
+def duplicate_examples(df: DataFrame, key: list[str], n: int = 20) -> DataFrame:
+    """(key, rows): the first ``n`` keys, in their order, that more than one row has."""
+    return df.groupBy(*key).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").orderBy(*[F.col(c).asc_nulls_first() for c in key]).limit(n)
+
+
+def table_completeness(df: DataFrame, markers: tuple[str, ...] = ALL_MARKERS) -> DataFrame:
+    """One row: cells, present and their share over the whole table; an empty table has share 0."""
+    c = completeness(df, markers=markers).agg(F.sum("rows").alias("cells"), F.sum(F.col("rows") - F.col("missing")).alias("present"))
+    return c.withColumn("share", F.round(F.coalesce(F.try_divide("present", "cells"), F.lit(0.0)), 6))
+
+
+def coverage_report(matches: DataFrame, stats: DataFrame, fields: list[str], advanced: list[str], target: int = 1_500_000) -> DataFrame:
+    """(field, filled, missing, pct): fields of the matches, matches with statistics, cells of statistics that aren't zero, and records against the target.
+
+    Missing cells of statistics are counted against the matches, as one figure a match is wanted.
+    """
+    own = coverage(matches, fields).select(F.col("metric").alias("field"), "filled", "missing", F.round("pct", 1).alias("pct"))
+    total = matches.agg(F.count(F.lit(1)).alias("total"))
+    seen = [F.count_distinct("match_id").alias("player_stats")]
+    seen += [F.count(F.when(~cell_missing(stats, c) & (F.col(c) != 0), 1)).alias(f"stat_{c}") for c in advanced]
+    wide = stats.agg(*seen).crossJoin(F.broadcast(total))  # two rows
+    names = ["player_stats", *[f"stat_{c}" for c in advanced]]
+    cells = F.array(*[F.struct(F.lit(n).alias("field"), F.col(n).alias("filled"), (F.col("total") - F.col(n)).alias("missing")) for n in names])
+    rest = wide.select("total", F.explode(cells).alias("x")).select("x.field", "x.filled", "x.missing", F.round(F.when(F.col("x.field") == "player_stats", F.coalesce(F.try_divide(100 * F.col("x.filled"), F.col("total")), F.lit(0.0))), 1).alias("pct"))
+    records = F.col("total") + F.col("player_stats")
+    goal = wide.select(F.lit("records").alias("field"), records.alias("filled"), F.greatest(F.lit(0), target - records).alias("missing"), F.round(100 * records / target, 1).alias("pct"))
+    return own.unionByName(rest).unionByName(goal)
+
+
+def fast_gate(df: DataFrame, key: list[str], threshold: float = NULL_RATIO, least: int = 0) -> DataFrame:
+    """One row: rows, columns_failed, duplicate_rows, passed: the gate without anomalies and repeats, in one pass and one aggregation by key."""
+    failed = completeness(df, threshold).agg(F.max("rows").alias("rows"), F.sum(1 - F.col("passed")).alias("columns_failed"))
+    both = failed.crossJoin(F.broadcast(duplicate_profile(df, key).select("duplicate_rows")))  # one row each
+    return both.withColumn("passed", ((F.col("columns_failed") == 0) & (F.col("duplicate_rows") == 0) & (F.col("rows") >= least)).cast("int"))
+
+
+def nullify_fake_zeros(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``df`` with the columns whose observed values are all zero made NULL; one row is broadcast."""
+    most = df.agg(*[F.max(F.abs(F.col(c))).alias(f"_z_{c}") for c in columns])
+    out = df.crossJoin(F.broadcast(most))
+    return out.withColumns({c: F.when(F.col(f"_z_{c}") != 0, F.col(c)) for c in columns}).drop(*[f"_z_{c}" for c in columns])
+
+
+def needs_enrichment(matches: DataFrame, stats: DataFrame, fields: list[str], zero_too: list[str], counts: list[str], key: str = "match_id") -> DataFrame:
+    """The matches with a missing field (for ``zero_too`` also the text 0), without statistics, or whose ``counts`` sum to zero."""
+    sums = stats.groupBy(key).agg(sum((F.coalesce(F.sum(c), F.lit(0)) for c in counts), F.lit(0)).alias("_sum"))
+    gap = reduce(Column.__or__, [cell_missing(matches, c) | (F.coalesce(F.col(c).cast("string"), F.lit("")) == "0" if c in zero_too else F.lit(False)) for c in fields])
+    x = matches.join(sums, key, "left")
+    return x.filter(gap | (F.coalesce("_sum", F.lit(0)) == 0)).drop("_sum")
+
+
+def incomplete_head(df: DataFrame, fields: list[str], order: list[str], n: int = 100) -> DataFrame:
+    """The first ``n`` rows, by ``order``, that lack one of the fields: a batch to look up."""
+    return df.filter(reduce(Column.__or__, [cell_missing(df, c) for c in fields])).orderBy(*order).limit(n)
+
+
 def adjacent_repeats(df: DataFrame, partition: list[str], order: list[str], compare: list[str], key: list[str]) -> DataFrame:
     """One row: exact and similar repeats of the row before, in each partition. NULL equals NULL.
 
@@ -99,10 +155,21 @@ class Rule:
     condition: Column
 
 
+def count_rules(counts: list[str]) -> list[Rule]:
+    """A count is neither negative nor fractional."""
+    whole = {c: F.abs(F.rint(F.col(c).cast("double")) - F.col(c)) > 1e-9 for c in counts}
+    return [Rule(f"{kind}_{c}", bad) for c in counts for kind, bad in (("negative", F.col(c) < 0), ("fractional", whole[c]))]
+
+
+def season_stats_rules(counts: list[str]) -> list[Rule]:
+    """Counts, and the two of the match rules that hold for totals, too."""
+    return [*count_rules(counts), Rule("completed_above_attempted", F.col("passes_completed") > F.col("passes_attempted")), Rule("on_target_above_shots", F.col("shots_on_target") > F.col("shots"))]
+
+
 def match_stats_rules(counts: list[str]) -> list[Rule]:
     parts = F.coalesce("shots_on_target", F.lit(0)) + F.coalesce("shots_off_target", F.lit(0)) + F.coalesce("shots_blocked", F.lit(0))
     return [
-        *[Rule(f"negative_{c}", F.col(c) < 0) for c in counts],
+        *count_rules(counts),
         Rule("completed_above_attempted", F.col("passes_completed") > F.col("passes_attempted")),
         Rule("on_target_above_shots", F.col("shots_on_target") > F.col("shots")),
         Rule("parts_above_shots", parts > F.col("shots")),
