@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statloom.functions.missing import strip
-from statloom.functions.text import WEEKDAYS, clean_text, date_line, path_meta, season_of_path, split_team_country, stable_id
+from statloom.functions.text import WEEKDAYS, clean_text, date_line, let, path_meta, season_of_path, split_team_country, stable_id
 
 
 def lineups(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -93,10 +93,10 @@ def feed(df: DataFrame, key: str, text: str) -> DataFrame:
     return t.withColumn("section", F.last(F.when(F.col("field") == "ST", F.col("value")), ignorenulls=True).over(w)).filter("field <> 'ST'").select(key, "section", "field", "value")
 
 
-def _words(words: Column, first: Column | int, last: Column | int) -> Column:
+def _words(words: Column, first: Column, last: Column) -> Column:
     """The words from ``first`` to ``last``, from 1; NULL if there are none."""
-    n = F.lit(last) - F.lit(first) + 1 if isinstance(last, int) else last - first + 1
-    return F.when(n > 0, F.array_join(F.slice(words, F.lit(first) if isinstance(first, int) else first, F.greatest(n, F.lit(0))), " "))
+    n = last - first + 1
+    return F.when(n > 0, F.array_join(F.slice(words, first, F.greatest(n, F.lit(0))), " "))
 
 
 def _where(words: Column, test) -> Column:
@@ -105,6 +105,71 @@ def _where(words: Column, test) -> Column:
     return F.coalesce(F.get(hits, F.lit(0)), F.lit(0)).cast("int")
 
 
+def _word(words: Column, i: Column | int) -> Column:
+    return F.coalesce(F.get(words, F.lit(i) if isinstance(i, int) else i), F.lit(""))
+
+
+def _timed(words: Column, skipped: Column, marks: str) -> Column:
+    """One more than ``skipped`` if the word there is a time of day."""
+    return skipped + _word(words, skipped).rlike(f"^[0-9]{{1,2}}[{marks}][0-9]{{2}}$").cast("int")
+
+
+def _is_score(w: Column) -> Column:
+    return w.rlike("^[0-9]+-[0-9]+$")
+
+
+def _note(rest: Column) -> Column:
+    return F.regexp_extract(rest, r"^(\([^)]+\))", 1)
+
+
+_GAME = "struct<home:string,away:string,score:string,stadium:string,city:string>"
+
+
+def _versus(words: Column, lead: Column) -> Column:
+    """The game of 'Home v Away score', NULL for others; ``lead`` words come before the teams."""
+
+    def divided(at: Column) -> Column:
+        v, s = at["v"], at["s"]
+        rest = F.coalesce(_words(words, s + 1, F.size(words)), F.lit(""))
+        home = let(_words(words, at["skip"] + 1, v - 1), lambda t: split_team_country(t)["team"])
+        away = let(_words(words, v + 1, s - 1), lambda t: split_team_country(t)["team"])
+        null = F.lit(None).cast("string")
+        score = F.trim(F.concat_ws(" ", _word(words, s - 1), _note(rest)))
+        return F.when((v > 0) & (s > 0), F.struct(home.alias("home"), away.alias("away"), score.alias("score"), null.alias("stadium"), null.alias("city"))).cast(_GAME)
+
+    def scored(at: Column) -> Column:
+        return let(F.struct(at["skip"].alias("skip"), at["v"].alias("v"), _where(words, lambda w, i: _is_score(w) & (i > at["v"] + 1)).alias("s")), divided)
+
+    return let(_timed(words, lead, ".:"), lambda skip: let(F.struct(skip.alias("skip"), _where(words, lambda w, i: (w == "v") & (i > skip + 1)).alias("v")), scored))
+
+
+def _scored(words: Column, lead: Column, line: Column) -> Column:
+    """The game of 'Home score Away @ Venue, City', NULL for others; ``lead`` words come before the teams."""
+
+    def named(x: Column) -> Column:
+        venue = F.when(F.instr(line, "@") > 0, clean_text(F.substring_index(F.get(F.split(line, "@", 2), F.lit(1)), "#", 1)))
+        parts = let(venue, lambda v: F.transform(F.split(v, ",", 2), clean_text))
+        usable = ~x["home"].startswith("Winner ") & ~x["away"].startswith("Winner ") & ~line.contains(" - ")
+        game = let(parts, lambda p: F.struct(x["home"].alias("home"), x["away"].alias("away"), x["score"].alias("score"), F.get(p, F.lit(0)).alias("stadium"), F.get(p, F.lit(1)).alias("city")))
+        return F.when(usable, game.cast(_GAME))
+
+    def divided(at: Column) -> Column:
+        c, after = at["c"], F.filter(F.split(F.trim(F.substring(at["tail"], F.length(at["said"]) + 1, F.length(at["tail"]))), " "), lambda w: w != "")
+        away = let(after, lambda a: let(_where(a, lambda w, i: w.startswith("@") & (i > 1)), lambda t: _words(a, F.lit(1), F.when(t > 0, t - 1).otherwise(F.size(a)))))
+        score = F.trim(F.concat_ws(" ", _word(words, c - 1), at["said"]))
+        game = F.struct(let(_words(words, at["skip"] + 1, c - 1), clean_text).alias("home"), let(away, clean_text).alias("away"), score.alias("score"))
+        return F.when(c > 0, let(game, named))
+
+    def noted(at: Column) -> Column:
+        c = at["c"]
+        extra = _word(words, c).isin("pen.", "a.e.t.") & _word(words, c + 1).rlike(r"^\([0-9]+-[0-9]+\)$")
+        tail = F.coalesce(_words(words, c + 1, F.size(words)), F.lit(""))
+        said = F.when(extra, F.concat_ws(" ", _word(words, c), _word(words, c + 1))).otherwise(_note(tail))
+        return let(F.struct(at["skip"].alias("skip"), c.alias("c"), tail.alias("tail"), said.alias("said")), divided)
+
+    return let(_timed(words, lead, ":"), lambda skip: let(F.struct(skip.alias("skip"), _where(words, lambda w, i: _is_score(w) & (i > skip + 1)).alias("c")), noted))
+
+
 def match_line(line: Column) -> Column:
     """struct(home, away, score, stadium, city) of a line 'Home v Away 2-1 (1-0)' or 'Home 2-1 Away @ Venue, City'; NULL for others.
 
@@ -112,43 +177,13 @@ def match_line(line: Column) -> Column:
     counted off one by one; then the first word that is a score divides the line,
     and 'v' or '@' divide its sides. A note in brackets after the score belongs to it.
     """
-    words = F.filter(F.split(line, r"\s+"), lambda w: w != "")
-    word = lambda i: F.coalesce(F.get(words, i if isinstance(i, Column) else F.lit(i)), F.lit(""))
-    numbered = word(0).rlike(r"^\([0-9]+\)$").cast("int")
-    dated = F.when(word(numbered).isin(*WEEKDAYS) & word(numbered + 1).rlike("^[A-Za-z]+/?[0-9]{1,2}$"), 2).otherwise(0)
-    at = lambda skipped, marks: skipped + word(skipped).rlike(f"^[0-9]{{1,2}}[{marks}][0-9]{{2}}$").cast("int")
-    is_score = lambda w: w.rlike("^[0-9]+-[0-9]+$")
-    null = F.lit(None).cast("string")
-
-    def note(rest: Column) -> Column:
-        return F.regexp_extract(rest, r"^(\([^)]+\))", 1)
-
-    # Home v Away score
-    skip = at(numbered, ".:")
-    v = _where(words, lambda w, i: (w == "v") & (i > skip + 1))
-    s = _where(words, lambda w, i: is_score(w) & (i > v + 1))
-    rest = F.coalesce(_words(words, s + 1, F.size(words)), F.lit(""))
-    first = F.struct(
-        split_team_country(_words(words, skip + 1, v - 1))["team"].alias("home"), split_team_country(_words(words, v + 1, s - 1))["team"].alias("away"),
-        F.trim(F.concat_ws(" ", word(s - 1), note(rest))).alias("score"), null.alias("stadium"), null.alias("city"),
-    )
-    # Home score Away, and perhaps @ Venue, City
-    skip = at(numbered + dated, ":")
-    c = _where(words, lambda w, i: is_score(w) & (i > skip + 1))
-    extra = word(c).isin("pen.", "a.e.t.") & word(c + 1).rlike(r"^\([0-9]+-[0-9]+\)$")
-    tail = F.coalesce(_words(words, c + 1, F.size(words)), F.lit(""))
-    said = F.when(extra, F.concat_ws(" ", word(c), word(c + 1))).otherwise(note(tail))
-    after = F.filter(F.split(F.trim(F.substring(tail, F.length(said) + 1, F.length(tail))), " "), lambda w: w != "")
-    there = _where(after, lambda w, i: w.startswith("@") & (i > 1))
-    home, away = clean_text(_words(words, skip + 1, c - 1)), clean_text(F.when(there > 0, _words(after, 1, there - 1)).otherwise(_words(after, 1, F.size(after))))
-    venue = F.when(F.instr(line, "@") > 0, clean_text(F.substring_index(F.get(F.split(line, "@", 2), F.lit(1)), "#", 1)))
-    place = F.split(venue, ",", 2)
-    second = F.struct(
-        home.alias("home"), away.alias("away"), F.trim(F.concat_ws(" ", word(c - 1), said)).alias("score"),
-        clean_text(F.get(place, F.lit(0))).alias("stadium"), clean_text(F.get(place, F.lit(1))).alias("city"),
-    )
-    usable = (c > 0) & (F.size(after) > 0) & ~home.startswith("Winner ") & ~away.startswith("Winner ") & ~line.contains(" - ")
-    return F.when((v > 0) & (s > 0), first).when(usable, second)
+
+    def read(words: Column) -> Column:
+        numbered = _word(words, 0).rlike(r"^\([0-9]+\)$").cast("int")
+        dated = lambda n: n + F.when(_word(words, n).isin(*WEEKDAYS) & _word(words, n + 1).rlike("^[A-Za-z]+/?[0-9]{1,2}$"), 2).otherwise(0)
+        return let(numbered, lambda n: F.coalesce(_versus(words, n), _scored(words, dated(n), line)))
+
+    return let(F.filter(F.split(line, r"\s+"), lambda w: w != ""), read)
 
 
 def fixture_lines(lines: DataFrame) -> DataFrame:

@@ -92,7 +92,7 @@ def coverage_report(matches: DataFrame, stats: DataFrame, fields: list[str], adv
 
     Missing cells of statistics are counted against the matches, as one figure a match is wanted.
     """
-    own = coverage(matches, fields).select(F.col("metric").alias("field"), "filled", "missing", F.round("pct", 1).alias("pct"))
+    own = coverage(matches, fields).select(F.col("metric").alias("field"), "filled", "missing", F.round(F.coalesce(F.try_divide(100 * F.col("filled"), F.col("filled") + F.col("missing")), F.lit(0.0)), 1).alias("pct"))
     total = matches.agg(F.count(F.lit(1)).alias("total"))
     seen = [F.count_distinct("match_id").alias("player_stats")]
     seen += [F.count(F.when(~cell_missing(stats, c) & (F.col(c) != 0), 1)).alias(f"stat_{c}") for c in advanced]
