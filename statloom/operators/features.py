@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from statloom.functions.text import clip, country_region, right_closed, safe_div, season_start_year
 from statloom.operators.relational import both_roles
+from statloom.session import salted_join
 
 
 def zero(c: str | Column) -> Column:
@@ -291,3 +292,110 @@ def matrix_features(df: DataFrame) -> DataFrame:
         "goal_conversion": safe_div(F.col("goals"), F.col("shots")), "defensive_per90": p90(F.col("tackles") + F.col("interceptions")),
         "discipline_per90": p90(F.col("fouls_committed") + 3 * zero("yellow_cards") + 6 * zero("red_cards")),
     })
+
+
+# --- context from other tables, and the complete feature tables
+
+# What a player without a known profile counts as.
+PROFILE_DEFAULTS = {"age": 26.0, "height_cm": 180.0, "weight_kg": 75.0}
+
+
+def match_context(df: DataFrame, matches: DataFrame, spread: str = "row_id") -> DataFrame:
+    """season, competition and match_country of the row's match, Unknown without one. matches: one row a match_id."""
+    dim = matches.select("match_id", F.col("season").alias("_s"), F.col("competition").alias("_c"), F.col("country").alias("_l")).filter("match_id is not null")
+    out = salted_join(df.drop("season", "competition", "match_country"), dim, ["match_id"], spread, "left")
+    return out.withColumns({"season": F.coalesce("_s", F.lit("Unknown")), "competition": F.coalesce("_c", F.lit("Unknown")), "match_country": F.coalesce("_l", F.lit("Unknown"))}).drop("_s", "_c", "_l")
+
+
+def player_context(df: DataFrame, players: DataFrame, spread: str = "row_id") -> DataFrame:
+    """player_age, player_height_cm, player_weight_kg, player_position_group and player_bmi, with defaults. players: one row a player_id."""
+    dim = players.filter("player_id is not null").select("player_id", *[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(f"_{c}") for c in PROFILE_DEFAULTS], F.col("position_group").alias("_g"))
+    out = salted_join(df, dim, ["player_id"], spread, "left")
+    out = out.withColumns({f"player_{c}": F.coalesce(f"_{c}", F.lit(v)) for c, v in PROFILE_DEFAULTS.items()} | {"player_position_group": F.coalesce("_g", F.lit("UNK"))})
+    bmi = F.round(safe_div(F.col("player_weight_kg"), F.col("player_height_cm") / 100 * (F.col("player_height_cm") / 100)), 4)
+    return out.withColumn("player_bmi", bmi).drop("_g", *[f"_{c}" for c in PROFILE_DEFAULTS])
+
+
+def geography(matches: DataFrame, teams: DataFrame) -> DataFrame:
+    """Countries of both teams (the match's without one), same country and region, derby. Needs is_domestic_league; teams: one row a team_id."""
+    out = matches
+    for side in ("home", "away"):
+        dim = teams.select(F.col("team_id").alias(f"{side}_team_id"), F.col("country").alias("_l")).filter(f"{side}_team_id is not null")
+        out = salted_join(out, dim, [f"{side}_team_id"], "match_id", "left").withColumn(f"{side}_team_country", F.coalesce("_l", "country")).drop("_l")
+    home, away = F.col("home_team_country"), F.col("away_team_country")
+    same = flag(home.eqNullSafe(away))
+    region = flag(country_region(F.coalesce(home, F.lit(""))) == country_region(F.coalesce(away, F.lit(""))))
+    return out.withColumns({"same_country_match": same, "same_region_match": region, "country_derby_proxy": flag((same == 1) & (F.col("is_domestic_league") == 1))})
+
+
+def match_features(matches: DataFrame, teams: DataFrame, day: str = "day", home_share: str = "home_share", away_share: str = "away_share") -> DataFrame:
+    """All match features. matches: one row a match with a day and shares of possession; teams: one row a team."""
+    x = possession_features(outcome_flags(scope_flags(calendar(matches, day))), home_share, away_share)
+    return win_probabilities(with_meetings(with_history(geography(x, teams), team_history(matches))))
+
+
+def goal_event_features(goals: DataFrame, matches: DataFrame, players: DataFrame) -> DataFrame:
+    """All goal features, with match and player context."""
+    x = player_context(match_context(goal_features(goals), matches), players)
+    chance = headed_goal_chance(F.col("player_position_group"), F.col("player_height_cm"), F.col("player_age"), F.col("player_weight_kg"), F.col("is_penalty_goal"), F.col("is_header_event"))
+    return x.withColumns({
+        "assist_player_id": F.coalesce("assist_player_id", F.lit("NO_ASSIST")), "headed_goal_probability_proxy": chance,
+        "is_english_league_event": flag(F.col("competition").rlike("(?i)Premier League|England")), "is_south_american_event": flag(country_region(F.col("match_country")) == "South America"),
+        "event_recency_weight": r6(clip((season_start_year(F.col("season")) - 2004) / 21, 0.0, 1.0)),
+    })
+
+
+def player_features(players: DataFrame, teams: DataFrame, stats: DataFrame, seasons: DataFrame, goals: DataFrame) -> DataFrame:
+    """All player features: profile, team geography, career, seasons, goals and headers, and three profile scores."""
+    dim = teams.select("team_id", F.col("country").alias("team_country")).filter("team_id is not null")
+    x = salted_join(player_profile(players), dim, ["team_id"], "player_id", "left")
+    x = x.withColumns({"team_country": F.coalesce("team_country", F.lit("Unknown"))})
+    x = x.withColumns({"team_region": country_region(F.col("team_country")), "nationality_matches_team_country": flag(F.col("nationality") == F.col("team_country"))})
+    counts = seasons.filter("season is not null").groupBy("player_id").agg(F.count_distinct("season").alias("player_seasons_count"))
+    made = goals.groupBy("player_id").agg(
+        F.count(F.when(F.lower("event_type") == "goal", 1)).alias("observed_goal_events"), F.count(F.when(F.lower("goal_type").contains("header"), 1)).alias("observed_header_events")
+    )
+    for per in (career_totals(stats), counts, made):
+        x = x.join(per.filter("player_id is not null"), "player_id", "left")
+    numbers = ["match_rows", "matches", "goal_involvements", *[f"total_{c}" for c in CAREER], "player_seasons_count", "observed_goal_events", "observed_header_events"]
+    x = x.withColumns({c: zero(c) for c in numbers} | {f"{c}_per90": F.coalesce(f"{c}_per90", F.lit(0.0)) for c in ("goals", "assists", "shots", "tackles")})
+    h, group = clip((F.coalesce("height_cm", F.lit(180.0)) - 170) / 35, 0.0, 1.0), F.col("position_group")
+    base = F.lit(0.09)
+    for k, v in _HEADER_BASE.items():
+        base = F.when(group == k, v).otherwise(base)
+    return x.withColumns({
+        "headed_goal_probability_proxy": r6(clip(base + 0.18 * h + 0.04 * F.col("prime_age_flag"), 0.005, 0.65)),
+        "scoring_profile_score": r6(F.col("goals_per90") + 0.15 * F.col("shots_per90") + 0.5 * F.col("is_forward")),
+        "creation_profile_score": r6(F.col("assists_per90") + 0.35 * F.col("is_midfielder") + F.col("total_passes_completed") / 10000),
+    })
+
+
+def player_match_features(stats: DataFrame, matches: DataFrame, players: DataFrame) -> DataFrame:
+    """All player-match features."""
+    sides = matches.select("match_id", "home_team_id", "away_team_id", "home_score", "away_score").filter("match_id is not null")
+    x = salted_join(per90(efficiency(stats)), sides, ["match_id"], "row_id", "left")
+    x = player_context(match_context(match_role(x), matches), players)
+    return role_fit(x.withColumn("is_english_league_match", flag(F.col("competition").rlike("(?i)Premier League|England"))), "player_position_group")
+
+
+def player_season_features(seasons: DataFrame, players: DataFrame) -> DataFrame:
+    """All player-season features, with player context."""
+    x = player_context(season_features(seasons), players)
+    return x.withColumns({
+        "goal_involvements_per90": rate(F.col("goal_involvements") * 90, zero("minutes_played")), "season_start_year": season_start_year(F.col("season")), "is_peak_age_season": flag(F.col("player_age").between(24, 29)),
+    })
+
+
+def goalkeeper_features(keepers: DataFrame, seasons: DataFrame, players: DataFrame) -> DataFrame:
+    """All keeper-season features: (player_id, season) with saves, goals_conceded, clean_sheets, penalty_saves, punches.
+
+    Matches and minutes come from the season statistics, by default one match and 90 minutes a match.
+    """
+    dim = seasons.groupBy("player_id", "season").agg(F.max("matches_played").alias("matches_played_proxy"), F.max("minutes_played").alias("minutes_played_proxy"))
+    x = keepers.join(dim, ["player_id", "season"], "left")
+    n = F.greatest(F.coalesce("matches_played_proxy", F.lit(1)), F.lit(1))
+    x = x.withColumn("matches_played_proxy", n).withColumn("minutes_played_proxy", F.greatest(F.coalesce("minutes_played_proxy", F.col("matches_played_proxy") * 90), F.lit(1)))
+    x = keeper_features(x.withColumns({"matches": F.col("matches_played_proxy"), "minutes": F.col("minutes_played_proxy")})).drop("matches", "minutes")
+    x = player_context(x, players, "season")
+    body = clip((F.col("player_height_cm") - 180) / 25, 0.0, 1.0) + clip((F.col("player_weight_kg") - 75) / 25, 0.0, 1.0)
+    return x.withColumns({"keeper_physical_index": r6(body), "prime_keeper_age_flag": flag(F.col("player_age").between(27, 34))})

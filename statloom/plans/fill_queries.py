@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from statloom.functions import text as X
-from statloom.operators import generate, impute, matching, quality
+from statloom.functions.dates import parse_date
+from statloom.operators import features, generate, impute, matching, quality
+from statloom.operators.relational import keep_one
 from statloom.plans.match_queries import _POS, G, P, _markers, games, players, stats
 from statloom.session import salted_join, table
 
@@ -105,9 +107,6 @@ def match_defaults(spark, d):
     return impute.match_defaults(games(spark, d)).select("match_id", "date", "stadium", "city", "country", "referee")
 
 
-_REGION = "case " + " ".join("when c in (" + ", ".join("'" + x.replace("'", "''") + "'" for x in lands) + f") then '{r}'" for r, lands in X.REGIONS.items())
-
-
 @query(f"""with s as (select home_team_id as team_id, 0 as side, row_id, country from matches_cleaned union all select away_team_id, 1, row_id, country from matches_cleaned),
 l as (select team_id, country as land from s where team_id is not null and {_markers('country')} is not null qualify row_number() over (partition by team_id order by side, row_id) = 1),
 t as (select * from teams_cleaned qualify row_number() over (partition by team_id order by row_id) = 1),
@@ -266,8 +265,6 @@ select match_id, arg_min(listing_id, struct_pack(s := -score, l := listing_id))
 def oriented_listing(spark, d):
     """Of the listings of the same date text the one that fits best, as listed (2) or the other way round (1)."""
     t = table(spark, d, "teams_cleaned")
-    from statloom.operators.relational import keep_one
-
     names = keep_one(t, ["team_id"], [F.col("row_id")]).select("team_id", "team_name")
     g = games(spark, d).filter("date is not null").select("match_id", "date", "home_team_id", "away_team_id")
     for side in ("home", "away"):
@@ -275,3 +272,85 @@ def oriented_listing(spark, d):
     own = table(spark, d, "fixture_listings").select("listing_id", F.col("listed_date").alias("date"), F.coalesce("home_name", F.lit("")).alias("lh"), F.coalesce("away_name", F.lit("")).alias("la"))
     x = g.join(own, "date").withColumn("score", matching.orientation(F.col("home"), F.col("away"), F.col("lh"), F.col("la"))).filter("score > 0")
     return x.groupBy("match_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "listing_id"))["listing_id"].alias("listing_id"), F.max("score").alias("score"))
+
+
+# --- complete feature tables: what they take from other tables
+
+
+_T = "teams as (select * from teams_cleaned qualify row_number() over (partition by team_id order by row_id) = 1)"
+_PROFILE = f"""ctx as (select player_id, coalesce(cast(age as double), 26.0) as age, case when height_cm is null or isnan(height_cm) then 180.0 else height_cm end as h,
+  case when weight_kg is null or isnan(weight_kg) then 75.0 else weight_kg end as w, {_POS.format(c='position')} as grp from players where player_id is not null)"""
+
+
+def _teams(spark, d):
+    return keep_one(table(spark, d, "teams_cleaned"), ["team_id"], [F.col("row_id")])
+
+
+@query(f"""with {G}, {_T}, x as (select g.match_id, coalesce(h.country, g.country) as hc, coalesce(a.country, g.country) as ac, coalesce(data_scope ilike '%domestic%', false) as dom
+  from games g left join teams h on g.home_team_id = h.team_id left join teams a on g.away_team_id = a.team_id where g.match_id is not null)
+select match_id, hc as home_team_country, ac as away_team_country, cast(hc is not distinct from ac as int) as same_country_match, cast(hc is not distinct from ac and dom as int) as country_derby_proxy from x""")
+def match_features(spark, d):
+    """D1 as a whole, the columns that come from the teams."""
+    g = games(spark, d).filter("match_id is not null").withColumns({"day": parse_date(F.col("date")), "home_share": X.pct_to_decimal(F.col("possession_home")), "away_share": X.pct_to_decimal(F.col("possession_away"))})
+    return features.match_features(g, _teams(spark, d)).select("match_id", "home_team_country", "away_team_country", "same_country_match", "country_derby_proxy")
+
+
+@query(f"""with {G}, {P}, {_PROFILE}, x as (select o.row_id, o.goal_type, coalesce(assist_player_id, 'NO_ASSIST') as assist_player_id, coalesce(g.season, 'Unknown') as season, coalesce(g.competition, 'Unknown') as competition, coalesce(g.country, 'Unknown') as match_country,
+  coalesce(c.age, 26.0) as player_age, coalesce(c.h, 180.0) as player_height_cm, coalesce(c.w, 75.0) as player_weight_kg, coalesce(c.grp, 'UNK') as player_position_group
+  from goals_events_cleaned o left join games g on o.match_id = g.match_id left join ctx c on o.player_id = c.player_id)
+select * exclude (goal_type), round(round(player_weight_kg / nullif(player_height_cm / 100 * (player_height_cm / 100), 0), 4), 3) as player_bmi, cast(regexp_matches(competition, '(?i)premier league|england') as int) as is_english_league_event,
+  round(greatest(least((coalesce(try_cast(nullif(regexp_extract(season, '((19|20)[0-9][0-9])', 1), '') as int), 2021) - 2004) / 21, 1), 0), 6) as event_recency_weight from x""")
+def goal_features_whole(spark, d):
+    """D2 as a whole, the columns that come from matches and players."""
+    x = features.goal_event_features(table(spark, d, "goals_events_cleaned"), games(spark, d), players(spark, d)).withColumn("player_bmi", F.round("player_bmi", 3))
+    return x.select("row_id", "assist_player_id", "season", "competition", "match_country", "player_age", "player_height_cm", "player_weight_kg", "player_position_group", "player_bmi", "is_english_league_event", "event_recency_weight")
+
+
+@query(f"""with {P}, {_T}, c as (select player_id, coalesce(sum(minutes_played), 0) as m, coalesce(sum(goals), 0) as g, coalesce(sum(assists), 0) as a, coalesce(sum(shots), 0) as s, coalesce(sum(passes_completed), 0) as pc from {_M} group by 1),
+q as (select player_id, count(distinct season) as seasons from player_season_stats_cleaned where season is not null group by 1),
+e as (select player_id, count(*) filter (lower(event_type) = 'goal') as goals, count(*) filter (lower(goal_type) like '%header%') as headers from goals_events_cleaned group by 1),
+x as (select p.player_id, coalesce(t.country, 'Unknown') as team_country, p.nationality, {_POS.format(c='p.position')} as grp, c.*, seasons, e.goals as eg, headers from players p left join teams t on p.team_id = t.team_id
+  left join c on p.player_id = c.player_id left join q on p.player_id = q.player_id left join e on p.player_id = e.player_id where p.player_id is not null)
+select player_id, team_country, cast(coalesce(nationality = team_country, false) as int) as nationality_matches_team_country, coalesce(seasons, 0) as player_seasons_count, coalesce(eg, 0) as observed_goal_events, coalesce(headers, 0) as observed_header_events,
+  round(round(round(coalesce(g * 90 / nullif(m, 0), 0), 6) + 0.15 * round(coalesce(s * 90 / nullif(m, 0), 0), 6) + 0.5 * cast(grp = 'FW' as int), 6), 4) as scoring_profile_score,
+  round(round(round(coalesce(a * 90 / nullif(m, 0), 0), 6) + 0.35 * cast(grp = 'MID' as int) + coalesce(pc, 0) / 10000, 6), 4) as creation_profile_score from x""")
+def player_features_whole(spark, d):
+    """D3 as a whole, the columns that come from other tables."""
+    x = features.player_features(players(spark, d).filter("player_id is not null"), _teams(spark, d), stats(spark, d), table(spark, d, "player_season_stats_cleaned"), table(spark, d, "goals_events_cleaned"))
+    return x.select("player_id", "team_country", "nationality_matches_team_country", "player_seasons_count", "observed_goal_events", "observed_header_events", *[F.round(c, 4).alias(c) for c in ("scoring_profile_score", "creation_profile_score")])
+
+
+@query(f"""with {G}, {P}, {_PROFILE} select s.row_id, coalesce(g.season, 'Unknown') as season, coalesce(g.competition, 'Unknown') as competition, coalesce(c.grp, 'UNK') as player_position_group, coalesce(c.age, 26.0) as player_age,
+  case when coalesce(s.team_id = g.home_team_id, false) then g.away_team_id else g.home_team_id end as opponent_team_id, cast(regexp_matches(coalesce(g.competition, 'Unknown'), '(?i)premier league|england') as int) as is_english_league_match
+from {_M} s left join games g on s.match_id = g.match_id left join ctx c on s.player_id = c.player_id""")
+def player_match_features(spark, d):
+    """D4 as a whole, the columns that come from matches and players."""
+    x = features.player_match_features(stats(spark, d), games(spark, d), players(spark, d))
+    return x.select("row_id", "season", "competition", "player_position_group", "player_age", "opponent_team_id", "is_english_league_match")
+
+
+@query(f"""with {P}, {_PROFILE} select s.row_id, coalesce(c.age, 26.0) as player_age, coalesce(c.grp, 'UNK') as player_position_group, cast(coalesce(c.age, 26.0) between 24 and 29 as int) as is_peak_age_season,
+  coalesce(try_cast(nullif(regexp_extract(s.season, '((19|20)[0-9][0-9])', 1), '') as int), 2021) as season_start_year,
+  round(round(coalesce((coalesce(goals, 0) + coalesce(assists, 0)) * 90 / nullif(coalesce(minutes_played, 0), 0), 0), 6), 4) + 0.0 as goal_involvements_per90 from player_season_stats_cleaned s left join ctx c on s.player_id = c.player_id""")
+def player_season_features(spark, d):
+    """D5 as a whole, the columns that come from players."""
+    x = features.player_season_features(table(spark, d, "player_season_stats_cleaned"), players(spark, d))
+    return x.select("row_id", "player_age", "player_position_group", "is_peak_age_season", "season_start_year", F.round("goal_involvements_per90", 4).alias("goal_involvements_per90"))
+
+
+@query(f"""with {G}, {P}, {_PROFILE}, z as (select s.player_id, g.season, coalesce(case when coalesce(s.team_id = g.home_team_id, false) then g.away_score else g.home_score end, 0) as ga
+  from {_M} s join games g on s.match_id = g.match_id join players p on s.player_id = p.player_id where {_POS.format(c='p.position')} = 'GK'),
+k as (select player_id, season, sum(ga) as ga, count(*) filter (ga = 0) as cs from z group by 1, 2),
+m as (select player_id, season, max(matches_played) as n, max(minutes_played) as m from player_season_stats_cleaned group by 1, 2),
+x as (select k.*, greatest(coalesce(n, 1), 1) as n, m from k left join m on k.player_id = m.player_id and k.season = m.season)
+select x.player_id, x.season, n as matches_played_proxy, greatest(coalesce(m, n * 90), 1) as minutes_played_proxy, round(round(ga / n, 6), 4) as goals_conceded_per_match, round(round(cs / n, 6), 4) as clean_sheet_rate,
+  round(greatest(least((coalesce(c.h, 180.0) - 180) / 25, 1), 0) + greatest(least((coalesce(c.w, 75.0) - 75) / 25, 1), 0), 4) as keeper_physical_index, cast(coalesce(c.age, 26.0) between 27 and 34 as int) as prime_keeper_age_flag
+from x left join ctx c on x.player_id = c.player_id""")
+def goalkeeper_features(spark, d):
+    """D6 as a whole with drawn saves, the columns that aren't drawn."""
+    g = games(spark, d).select("match_id", "season", "home_team_id", "away_team_id", "home_score", "away_score")
+    k = stats(spark, d).join(players(spark, d).filter("position_group = 'GK'").select("player_id"), "player_id").select("row_id", "player_id", "team_id", "match_id").join(g, "match_id")
+    k = generate.generate_keeper_stats(features.match_role(k), F.col("team_goals_against"), F.col("row_id"))
+    per = k.groupBy("player_id", "season").agg(F.sum("team_goals_against").alias("goals_conceded"), F.sum("team_clean_sheet").alias("clean_sheets"), *[F.sum(c).alias(c) for c in ("saves", "penalty_saves", "punches")])
+    x = features.goalkeeper_features(per, table(spark, d, "player_season_stats_cleaned"), players(spark, d))
+    return x.select("player_id", "season", "matches_played_proxy", "minutes_played_proxy", *[F.round(c, 4).alias(c) for c in ("goals_conceded_per_match", "clean_sheet_rate", "keeper_physical_index")], "prime_keeper_age_flag")

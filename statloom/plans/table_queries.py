@@ -9,7 +9,8 @@ from statloom.functions import text as X
 from statloom.functions.missing import SHORT_MARKERS, finite, is_missing, null_if_missing
 from statloom.operators import matching, parse, quality, reduce, relational
 from statloom.plans.match_queries import _POS, G, P, _markers, games, players, stats
-from statloom.session import table
+from statloom.operators.features import matrix_features
+from statloom.session import durable, table
 from statloom.sources.sinks import nested_seasons
 from statloom.streaming import merge as stream
 
@@ -589,18 +590,19 @@ def median_impute_moments(spark, d):
     return f.agg(*[F.round(a(c), 4).alias(f"{n}_{o}") for c, o in (("g", "goals"), ("h", "shots")) for a, n in ((F.avg, "mean"), (F.stddev_pop, "sd"))])
 
 
+_ENGINEERED = ["minutes_per_match", *[f"{c}_per90" for c in ("goals", "assists", "shots", "shots_on_target", "passes_completed", "passes_attempted", "tackles", "interceptions", "fouls_committed", "cards", "defensive", "discipline")], "shot_accuracy", "pass_accuracy", "goal_conversion"]
+
+
 def _matrix(spark, d) -> tuple[DataFrame, list[str]]:
+    """Thirteen counts, sixteen engineered columns, position and season, as centred columns of one scale."""
     p = players(spark, d).select("player_id", X.position_name(F.col("position")).alias("position"))
-    from statloom.operators.features import matrix_features
-
-    s = table(spark, d, "player_season_stats_cleaned").dropna(subset=["minutes_played"]).join(p, "player_id", "left")
-    engineered = ["minutes_per_match", "goals_per90", "assists_per90", "shots_per90", "cards_per90", "shot_accuracy", "pass_accuracy", "goal_conversion", "defensive_per90", "discipline_per90"]
-    # kept between the steps: each takes statistics of the one before
-    x = matrix_features(s).select("row_id", "position", *[F.col(c).cast("double").alias(c) for c in _MATRIX + engineered]).persist()
-    x = reduce.fill_mode(reduce.standardise(x, _MATRIX + engineered), "position").persist()
-    x, names = reduce.one_hot(x, "position")
-    features = _MATRIX + engineered + names
-    return reduce.standardise(x, features), features
+    s = relational.lookup(table(spark, d, "player_season_stats_cleaned").dropna(subset=["minutes_played"]), p, ["player_id"], ["position"], {})
+    numeric = _MATRIX + _ENGINEERED
+    x = durable(matrix_features(s).select("row_id", "position", "season", *[F.col(c).cast("double").alias(c) for c in numeric]))  # read by every statistic
+    for c in ("position", "season"):
+        x, names = reduce.one_hot(reduce.fill_mode(x, c), c)
+        numeric = numeric + names
+    return durable(reduce.standardise(x, numeric)), numeric
 
 
 @query()
@@ -612,21 +614,18 @@ def standardise_onehot(spark, d):
 @query()
 def pca_variance(spark, d):
     x, features = _matrix(spark, d)
-    x = x.persist()
     return reduce.variance_table(x, reduce.principal_components(x, features))
 
 
 @query()
 def pca_scores(spark, d):
     x, features = _matrix(spark, d)
-    x = x.persist()
     return reduce.scores(x, reduce.principal_components(x, features)).select("row_id", "pc1", "pc2")
 
 
 @query()
 def pca_loadings(spark, d):
     x, features = _matrix(spark, d)
-    x = x.persist()
     return reduce.top_loadings(x, reduce.principal_components(x, features))
 
 
