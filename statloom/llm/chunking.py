@@ -17,6 +17,7 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from itertools import accumulate, chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -42,7 +43,7 @@ class Splitter:
         self.encoder = Encoder(model)
         self.limit, self.overlap = limit, overlap
         self.lengths = [len(self.encoder.model.id_to_piece(i)) for i in range(self.encoder.model.get_piece_size())]
-        self.seen: dict[str, tuple[bytes, list[int]]] = {}
+        self.seen: dict[str, tuple[bytes, list[int], np.ndarray]] = {}
         self.ends = [(kind, re.compile(p).finditer) for kind, p in ENDS.items()]
 
     def _character(self, token: int, first: list[int], starts: list[int], split: list[str]) -> tuple[int, int]:
@@ -50,19 +51,22 @@ class Splitter:
         j = bisect_right(first, token) - 1
         if j >= len(split) or first[j] == token:
             return token, starts[j]
-        raw, ends = self._bytes(split[j])
+        raw, ends, heads = self._bytes(split[j])
         i = token - first[j]
         while i and raw[ends[i]] & 0xC0 == 0x80:  # inside a character
             i -= 1
-        return first[j] + i, starts[j] + len(raw[: ends[i]].decode())
+        return first[j] + i, starts[j] + int(heads[ends[i]])
 
-    def _bytes(self, pretoken: str) -> tuple[bytes, list[int]]:
-        """The bytes of a pre-token and where its tokens begin in them; of the last few asked for."""
+    def _bytes(self, pretoken: str) -> tuple[bytes, list[int], np.ndarray]:
+        """The bytes of a pre-token, where its tokens begin in them, and how many characters begin before each; of the last few asked for."""
         if pretoken not in self.seen:
             if len(self.seen) >= 64:
                 self.seen.clear()
             ids = self.encoder.encode([pretoken])[0]
-            self.seen[pretoken] = pretoken.encode(), [0, *accumulate(map(self.lengths.__getitem__, ids))]
+            raw = pretoken.encode()
+            heads = np.zeros(len(raw) + 1, dtype=np.int64)
+            np.cumsum(np.frombuffer(raw, np.uint8) & 0xC0 != 0x80, out=heads[1:])
+            self.seen[pretoken] = raw, [0, *accumulate(map(self.lengths.__getitem__, ids))], heads
         return self.seen[pretoken]
 
     def _cut(self, text: str, a: int, b: int, first: list[int], starts: list[int], split: list[str]) -> tuple[int, int, str]:

@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 CAPACITY = 2048
 OPEN_BINS = 64
+#: equal items that one task numbers
+SAME = 1 << 16
 #: items of a shard, about
 SHARD = 50_000
 
@@ -97,11 +99,14 @@ def pack(sizes: DataFrame, key: str = "doc_id", size: str = "n_tokens", capacity
             yield pd.DataFrame(out, columns=["container_id", key, "piece_no", "start", "n_tokens"])
 
     kind = dict(sizes.dtypes)[key]
-    rows = sizes.select(
-        F.pmod(F.xxhash64(F.col(key)), F.lit(shards)).alias("shard"),
-        F.col(key).alias("item"),
-        F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0)).alias("size"),
-    )
+    rows = sizes.select(F.col(key).alias("item"), F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0)).alias("size"))
+    # equal items are counted and spread again by number, else all rows of a repeated or NULL key would be one shard's
+    same = rows.groupBy("item", "size").agg(F.count(F.lit(1)).alias("n"))
+    same = same.select("item", "size", "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / SAME))).alias("part")).repartition(F.xxhash64("item", "size", "part"))
+    first = F.col("part") * SAME
+    rows = same.select("item", "size", F.explode(F.sequence(first, F.least(first + SAME, F.col("n")) - 1)).alias("copy"))
+    shard = F.when(F.col("copy") == 0, F.xxhash64("item")).otherwise(F.xxhash64("item", "size", "copy"))
+    rows = rows.select(F.pmod(shard, F.lit(shards)).alias("shard"), "item", "size")
     rows = rows.repartition(shards, "shard").sortWithinPartitions("shard", "item", "size")
     return rows.mapInPandas(run, f"container_id long, `{key}` {kind}, piece_no int, start long, n_tokens long")
 
