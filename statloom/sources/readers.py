@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import csv
 import io
-import json
 import re
 import zipfile
 from collections.abc import Iterator
@@ -135,14 +134,18 @@ def flatten(df: DataFrame, sep: str = ".") -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """A list is one table, an object of lists a table for each, another object one row, a scalar a ``value``."""
-    head = spark.read.text(path, wholetext=True).first()
-    text = head[0] if head else "null"
-    data = json.loads(text)
+    """A list is one table, an object of lists a table for each, another object one row, a scalar a ``value``.
+
+    The text stays with the executors: its first letter tells which it is, and the inferred schema the rest.
+    """
+    text = F.trim(F.regexp_replace("value", r"^\s+|\s+$", ""))
+    head = spark.read.text(path, wholetext=True).select(F.substring(text, 1, 1)).first()
     stem = Path(path).stem
-    df = spark.read.option("multiLine", True).json(path) if isinstance(data, dict | list) else spark.createDataFrame([(json.dumps(data),)], "value string")
-    if isinstance(data, dict):
-        lists = [k for k, v in data.items() if isinstance(v, list) and v and isinstance(v[0], dict)]
+    if head is None or head[0] not in ("[", "{"):
+        return {stem: spark.read.text(path, wholetext=True).select(text.alias("value"))}
+    df = spark.read.option("multiLine", True).json(path)
+    if head[0] == "{":
+        lists = [f.name for f in df.schema.fields if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType)]
         if lists:
             return {k: flatten(df.select(F.explode(F.col(f"`{k}`")).alias("x")).select("x.*")) for k in lists}
     return {stem: flatten(df)}
@@ -201,50 +204,84 @@ def html_tables(pages: DataFrame, key: str, html: str) -> DataFrame:
     return pages.select(key, html).mapInPandas(run, f"`{key}` {kind}, table_no int, row_no int, cells array<string>")
 
 
+_XLSX = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
+
+
+def _cells_of(sheet: ElementTree.Element, shared: list[str]) -> Iterator[list[str | None]]:
+    """The rows of a sheet, each as long as its last cell."""
+    for r in sheet.iter(f"{{{_XLSX['m']}}}row"):
+        row: dict[int, str | None] = {}
+        for c in r.findall("m:c", _XLSX):
+            at = 0
+            for ch in re.match("[A-Z]+", c.get("r"))[0]:
+                at = at * 26 + ord(ch) - 64
+            v, inline = c.find("m:v", _XLSX), c.find("m:is/m:t", _XLSX)
+            text = inline.text if inline is not None else None if v is None else v.text
+            row[at - 1] = shared[int(text)] if c.get("t") == "s" and text is not None else text
+        yield [row.get(k) for k in range(max(row, default=-1) + 1)]
+
+
+def workbook_rows(files: DataFrame) -> DataFrame:
+    """(path, sheet_no, sheet, row_no, cells) of workbooks (path, content), parsed by the executors; a workbook is read by one task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for path, content in zip(b["path"], b["content"]):
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    shared = []
+                    if "xl/sharedStrings.xml" in z.namelist():
+                        shared = ["".join(t.text or "" for t in s.iter(f"{{{_XLSX['m']}}}t")) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", _XLSX)]
+                    names = [s.get("name") for s in ElementTree.fromstring(z.read("xl/workbook.xml")).find("m:sheets", _XLSX)]
+                    for i, name in enumerate(names, 1):
+                        rows = list(_cells_of(ElementTree.fromstring(z.read(f"xl/worksheets/sheet{i}.xml")), shared)) or [[]]
+                        yield pd.DataFrame({"path": path, "sheet_no": i, "sheet": name, "row_no": range(len(rows)), "cells": rows})
+
+    return files.select("path", "content").mapInPandas(run, "path string, sheet_no int, sheet string, row_no long, cells array<string>")
+
+
 def read_xlsx(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The sheets of a workbook as tables of texts; a workbook is read by one task at most."""
-    content = bytes(spark.read.format("binaryFile").load(path).first()["content"])
-    ns = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        shared = []
-        if "xl/sharedStrings.xml" in z.namelist():
-            shared = ["".join(t.text or "" for t in s.iter(f"{{{ns['m']}}}t")) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", ns)]
-        names = [s.get("name") for s in ElementTree.fromstring(z.read("xl/workbook.xml")).find("m:sheets", ns)]
-        out = {}
-        for i, name in enumerate(names, 1):
-            rows = []
-            for r in ElementTree.fromstring(z.read(f"xl/worksheets/sheet{i}.xml")).iter(f"{{{ns['m']}}}row"):
-                row: dict[int, str | None] = {}
-                for c in r.findall("m:c", ns):
-                    at = 0
-                    for ch in re.match("[A-Z]+", c.get("r"))[0]:
-                        at = at * 26 + ord(ch) - 64
-                    v, inline = c.find("m:v", ns), c.find("m:is/m:t", ns)
-                    text = inline.text if inline is not None else None if v is None else v.text
-                    row[at - 1] = shared[int(text)] if c.get("t") == "s" and text is not None else text
-                rows.append(row)
-            head = rows[0] if rows else {}
-            columns = [head.get(k) or f"column_{k}" for k in range(max(head, default=-1) + 1)]
-            schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-            out[name] = spark.createDataFrame([tuple(r.get(k) for k in range(len(columns))) for r in rows[1:]], schema)
+    """The sheets of a workbook as tables of texts; only their header rows reach the driver."""
+    rows = workbook_rows(spark.read.format("binaryFile").load(path))
+    out = {}
+    for h in rows.filter("row_no = 0").orderBy("sheet_no").collect():
+        own = rows.filter((F.col("sheet_no") == h.sheet_no) & (F.col("row_no") > 0))
+        out[h.sheet] = own.select(*[F.get("cells", F.lit(k)).alias(c or f"column_{k}") for k, c in enumerate(h.cells)])
     return out
 
 
-def unzip(path: str, to: str) -> list[str]:
-    """The files of an archive below ``to``; members that would leave it are refused."""
-    root = Path(to).resolve()
-    with zipfile.ZipFile(path) as z:
+def unzip(path: str, to: str, spark: SparkSession | None = None) -> list[str]:
+    """The files of an archive below ``to``; members that would leave it are refused.
+
+    With ``spark`` the archive is read and the members are written by the
+    session's file system, so that the executors see them; without it, by the local one.
+    """
+    root = Path("/", to.partition("://")[2] or to).resolve()
+    if spark is not None:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        source: str | io.BytesIO = io.BytesIO(spark.read.format("binaryFile").load(path).first()["content"])
+    else:
+        source = path
+    with zipfile.ZipFile(source) as z:
         for m in z.namelist():
             if not (root / m).resolve().is_relative_to(root):
                 raise ValueError(f"{m} lies outside the folder")
-        z.extractall(root)
-        return [str(root / m) for m in z.namelist() if not m.endswith("/")]
+        files = [m for m in z.namelist() if not m.endswith("/")]
+        if spark is None:
+            z.extractall(to)
+            return [str(Path(to).resolve() / m) for m in files]
+        for m in files:
+            target = jvm.org.apache.hadoop.fs.Path(f"{to}/{m}")
+            stream = target.getFileSystem(conf).create(target, True)
+            stream.write(bytearray(z.read(m)))
+            stream.close()
+        return [f"{to}/{m}" for m in files]
 
 
 def read_source(spark: SparkSession, path: str, extract_dir: str) -> list[tuple[str, str, str, DataFrame]]:
     """(path, type, table, data with __source_path, __source_type and __source_table) of a file, archive or directory.
 
     Directories are read in sorted order and in depth; sound and film are skipped.
+    Archives are extracted into ``extract_dir``, a folder that the executors share.
     """
     p = Path(path)
     suffix = p.suffix.lower()
@@ -253,7 +290,7 @@ def read_source(spark: SparkSession, path: str, extract_dir: str) -> list[tuple[
     if suffix in MEDIA:
         return []
     if suffix == ".zip":
-        return [t for f in sorted(unzip(path, f"{extract_dir}/{p.stem}")) for t in read_source(spark, f, extract_dir)]
+        return [t for f in sorted(unzip(path, f"{extract_dir}/{p.stem}", spark)) for t in read_source(spark, f, extract_dir)]
     if suffix in (".csv", ".tsv"):
         kind, tables = suffix[1:], {p.stem: read_csv(spark, path, sep="\t" if suffix == ".tsv" else ",")}
     elif suffix == ".json":
