@@ -132,7 +132,7 @@ def follow(up: DataFrame) -> DataFrame:
     """
     while True:
         up = durable(up)
-        away = up.filter("anchor != text")
+        away = up.filter("anchor != text")  # few, as most texts are no slips
         on = away.select("block", F.col("text").alias("anchor"), F.col("anchor").alias("_next"))
         if away.join(on, ["block", "anchor"], "left_semi").isEmpty():
             return up
