@@ -97,10 +97,10 @@ START_ROWS = 10_000
 TOLERANCE, ROUNDS = 1e-5, 500
 
 
-def _patterns(m: Model, batch: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(code of the observed numbers, rows, their standardised observed numbers, their categories or -1)."""
-    x = (batch[m.numbers].to_numpy(dtype=float) - m.centre) / m.scale
-    cats = np.stack([pd.Categorical(batch[c], categories=v).codes for c, v in m.categories.items()], 1) if m.categories else np.zeros((len(x), 0), dtype=np.int8)
+def _patterns(numbers: list[str], categories: dict[str, list[str]], batch: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(code of the observed numbers, rows, their observed numbers, their categories or -1)."""
+    x = batch[numbers].to_numpy(dtype=float)
+    cats = np.stack([pd.Categorical(batch[c], categories=v).codes for c, v in categories.items()], 1) if categories else np.zeros((len(x), 0), dtype=np.int8)
     seen = ~np.isnan(x)
     code = seen @ (1 << np.arange(x.shape[1]))
     for c in np.unique(code):
@@ -108,7 +108,7 @@ def _patterns(m: Model, batch: pd.DataFrame) -> Iterator[tuple[int, np.ndarray,
         yield int(c), rows, x[np.ix_(rows, seen[rows[0]])].astype(np.float32), cats[rows].astype(np.int16)
 
 
-def _pack(m: Model):
+def _pack(numbers: list[str], categories: dict[str, list[str]]):
     """Rows to blocks (code, n, x, cats, keys) of one pattern of gaps, so that a round works on large arrays."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -124,7 +124,7 @@ def _pack(m: Model):
                     yield pd.DataFrame({"code": [code], "n": [n], "x": [x[cut].tobytes()], "cats": [cats[cut].tobytes()], "keys": [list(keys[cut])]})
 
         for batch in batches:
-            for code, rows, x, cats in _patterns(m, batch):
+            for code, rows, x, cats in _patterns(numbers, categories, batch):
                 held.setdefault(code, []).append((x, cats, batch["row_key"].to_numpy()[rows]))
                 total += len(rows)
             if total >= HELD:
@@ -197,9 +197,17 @@ def _sums(m: Model, blocks: Iterator[tuple[int, np.ndarray, np.ndarray]]) -> np.
     return np.concatenate([[ll, rows], n, s1.ravel(), s2.ravel(), *[t.ravel() for t in counts]])
 
 
-def _unpack(m: Model, batch: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _raw(batch: pd.DataFrame, kinds: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(code, observed numbers, categories) of packed blocks or rows."""
     for code, n, x, cats in zip(batch["code"], batch["n"], batch["x"], batch["cats"]):
-        yield code, np.frombuffer(x, np.float32).reshape(n, -1) if x else np.zeros((n, 0), np.float32), np.frombuffer(cats, np.int16).reshape(n, len(m.categories))
+        yield code, np.frombuffer(x, np.float32).reshape(n, -1) if x else np.zeros((n, 0), np.float32), np.frombuffer(cats, np.int16).reshape(n, kinds)
+
+
+def _unpack(m: Model, batch: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The same with standardised numbers."""
+    for code, x, cats in _raw(batch, len(m.categories)):
+        o = (code >> np.arange(len(m.numbers))) & 1 == 1
+        yield code, (x - m.centre[o]) / m.scale[o], cats
 
 
 def _update(m: Model, flat: np.ndarray) -> float:
@@ -238,32 +246,70 @@ def _climb(m: Model, statistics, tolerance: float, rounds: int) -> Model:
     return m
 
 
-def start(features: DataFrame, numbers: list[str], categories: dict[str, list[str]], groups: int = 4) -> Model | None:
-    """A model to begin with: one group per band of the first number, between its quantiles; None without any number."""
-    stats = features.agg(
-        F.count(F.lit(1)),
-        *[f(c) for c in numbers for f in (F.avg, F.stddev_pop)],
-        F.percentile_approx(numbers[0], [(i + 0.5) / groups for i in range(groups)], 1000),
-    ).first()
-    if not stats[0] or all(stats[1 + 2 * i] is None for i in range(len(numbers))):
-        return None
-    centre = np.array([stats[1 + 2 * i] or 0.0 for i in range(len(numbers))])
-    scale = np.array([stats[2 + 2 * i] or 1.0 for i in range(len(numbers))])
-    d = len(numbers)
+def _moments(d: int, kinds: int):
+    """Of blocks: rows, sums and squares of each number, as (i, v)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = np.zeros((3, d))
+        for batch in batches:
+            for code, x, _ in _raw(batch, kinds):
+                o, x = (code >> np.arange(d)) & 1 == 1, x.astype(float)
+                out[0, o] += len(x)
+                out[1, o] += x.sum(0)
+                out[2, o] += (x**2).sum(0)
+        yield pd.DataFrame({"i": np.arange(3 * d), "v": out.ravel()})
+
+    return run
+
+
+def _some(kinds: int, rows: int):
+    """Of a task's blocks the ``rows`` rows with the least key hashes, as blocks of one row."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept = pd.DataFrame({"h": np.array([], dtype=np.int64), "code": [], "n": [], "x": [], "cats": []})
+        for batch in batches:
+            for (code, x, cats), keys in zip(_raw(batch, kinds), batch["keys"]):
+                h = pd.util.hash_array(np.asarray(keys, dtype=object).astype(str)).view(np.int64)
+                first = np.argsort(h, kind="stable")[:rows]
+                own = pd.DataFrame({"h": h[first], "code": code, "n": 1, "x": [x[i].tobytes() for i in first], "cats": [cats[i].tobytes() for i in first]})
+                kept = pd.concat([kept, own]).nsmallest(rows, "h") if len(kept) else own
+        yield kept.astype({"h": np.int64, "code": np.int32, "n": np.int32})
+
+    return run
+
+
+def start(packed: DataFrame, numbers: list[str], categories: dict[str, list[str]], groups: int = 4, rows: int = START_ROWS) -> tuple[Model | None, pd.DataFrame]:
+    """(model, rows) to begin with: one group per band of the first number, between its quantiles in those rows; None without any number."""
+    d, kinds = len(numbers), len(categories)
+    blocks = packed.select("code", "n", "x", "cats")
+    flat = np.zeros(3 * d)
+    for i, v in blocks.mapInPandas(_moments(d, kinds), "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+        flat[i] = v
+    n, total, squares = flat.reshape(3, d)
+    if not n.any():
+        return None, pd.DataFrame()
+    centre = total / np.maximum(n, 1)
+    spread = np.sqrt(np.maximum(squares / np.maximum(n, 1) - centre**2, 0))
+    scale = np.where(spread > 1e-9 * np.maximum(np.abs(centre), 1), spread, 1.0)
+    some = packed.mapInPandas(_some(kinds, rows), "h long, code int, n int, x binary, cats binary").orderBy("h", "code", "x").limit(rows).toPandas()  # of a fixed size
+    seen = [x[0, 0] for code, x, _ in _raw(some, kinds) if code & 1]
     mean = np.zeros((groups, d))
-    if stats[-1]:
-        mean[:, 0] = (np.array(stats[-1], dtype=float) - centre[0]) / scale[0] + np.linspace(-0.1, 0.1, groups)
-    return Model(numbers, categories, centre, scale, np.full(groups, 1 / groups), mean, np.repeat(np.eye(d)[None], groups, axis=0), [np.full((groups, len(v)), 1 / len(v)) for v in categories.values()])
+    if seen:
+        mean[:, 0] = (np.quantile(np.array(seen, dtype=float), [(i + 0.5) / groups for i in range(groups)]) - centre[0]) / scale[0] + np.linspace(-0.1, 0.1, groups)
+    m = Model(numbers, categories, centre, scale, np.full(groups, 1 / groups), mean, np.repeat(np.eye(d)[None], groups, axis=0), [np.full((groups, len(v)), 1 / len(v)) for v in categories.values()])
+    return m, some
 
 
-def fit(features: DataFrame, m: Model, packed: DataFrame, tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> Model:
+def fit(m: Model, some: pd.DataFrame, packed: DataFrame, tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> Model:
     """``m`` fitted on all rows, packed, until it converges (``converged`` says whether it did within ``rounds``).
 
-    It first climbs on the START_ROWS rows of the least key hashes, then on all
-    rows from there, so that few passes over the table are needed. Deterministic up to the order of sums.
+    It first climbs on ``some`` rows, START_ROWS of the least key hashes, then on
+    all rows from there, so that few passes over the table are needed. Deterministic up to the order of sums.
     """
-    some = features.orderBy(F.xxhash64("row_key"), "row_key").limit(START_ROWS).toPandas()  # of a fixed size
-    blocks = [(code, x, cats) for code, _, x, cats in _patterns(m, some)]
+    by_code: dict[int, list] = {}
+    for code, x, cats in _unpack(m, some):
+        by_code.setdefault(code, []).append((x, cats))
+    blocks = [(code, np.concatenate([x for x, _ in own]), np.concatenate([c for _, c in own])) for code, own in by_code.items()]
     m = _climb(m, lambda m: _sums(m, blocks), tolerance, rounds)
 
     def statistics(m: Model) -> np.ndarray:
@@ -302,15 +348,14 @@ def _cells(m: Model, targets: list[Number], fill_categories: list[str]):
 
 
 def fitted(features: DataFrame, numbers: list[Number], categories: dict[str, list[str]] | None = None, groups: int = 4, tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> tuple[Model | None, DataFrame, DataFrame]:
-    """(model, packed rows, plain rows) of ``features``; the model is None, and the packed rows are empty, without any number."""
+    """(model, packed rows, plain rows) of ``features``; the model is None without any number."""
     categories = categories or {}
     x = features.select("row_key", *[valid(n).alias(n.name) for n in numbers], *[F.col(c).cast("string").alias(c) for c in categories])
-    m = start(x, [n.name for n in numbers], categories, groups)
-    if m is None:
-        return None, x.limit(0), x
-    key = dict(x.dtypes)["row_key"]
-    packed = durable(x.mapInPandas(_pack(m), f"code int, n int, x binary, cats binary, keys array<{key}>"))
-    return fit(x, m, packed, tolerance, rounds), packed, x
+    names, key = [n.name for n in numbers], dict(x.dtypes)["row_key"]
+    # the joins and checks behind the features are done once
+    packed = durable(x.mapInPandas(_pack(names, categories), f"code int, n int, x binary, cats binary, keys array<{key}>"))
+    m, some = start(packed, names, categories, groups)
+    return (m if m is None else fit(m, some, packed, tolerance, rounds)), packed, x
 
 
 def fill_cells(features: DataFrame, numbers: list[Number], categories: dict[str, list[str]] | None = None, fill_categories: list[str] = (), groups: int = 4, tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> DataFrame:

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statloom.functions.missing import is_missing, strip
+from statloom.session import durable
 
 _WORD = r"\p{L}[\p{L}\p{M}\-'’.]*"
 
@@ -94,14 +95,13 @@ def _mask_of(forms: dict[str, ColumnForm]) -> Column:
 
 
 def inventory(df: DataFrame, columns: list[str], feed: str, load: str, forms: dict[str, ColumnForm] = FORMS) -> DataFrame:
-    """(feed, load, column_name, value, n, missing, mask): the distinct values of each load."""
-    return (
-        _long(df, columns, {"feed": feed, "load": load})
-        .groupBy("feed", "load", "column_name", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("missing", is_missing(F.col("value")))
-        .withColumn("mask", F.when(~F.col("missing"), _mask_of(forms)))
-    )
+    """(feed, load, column_name, value, n, missing, mask): the distinct values of each load.
+
+    Written once to the shared folder, since the masks and the profile read it many times.
+    """
+    own = _long(df, columns, {"feed": feed, "load": load}).groupBy("feed", "load", "column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+    own = own.withColumn("missing", is_missing(F.col("value"))).withColumn("mask", F.when(~F.col("missing"), _mask_of(forms)))
+    return durable(own)
 
 
 def mine_masks(inv: DataFrame, min_share: float = 0.002) -> DataFrame:

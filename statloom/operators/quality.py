@@ -196,3 +196,34 @@ def target_gate(tables: dict[str, tuple[DataFrame, str]], minimum: dict[str, int
         for name, (df, key) in tables.items()
     ]
     return reduce(DataFrame.unionByName, parts)
+
+
+def sparse_columns(df: DataFrame, most: float = 0.9, markers: tuple[str, ...] = ALL_MARKERS) -> DataFrame:
+    """(column_name, missing_share, kept): columns with a greater share of missing cells than ``most`` aren't kept; of an empty table all are."""
+    c = completeness(df, markers=markers)
+    return c.select("column_name", F.col("ratio").alias("missing_share"), (F.col("ratio") <= most).cast("int").alias("kept"))
+
+
+def drop_sparse(df: DataFrame, most: float = 0.9, also: tuple[str, ...] = (), fills: dict[str, object] | None = None) -> DataFrame:
+    """``df`` without sparse columns and those in ``also``, and with the gaps of some filled by constants; one row a column reaches the driver."""
+    kept = [r.column_name for r in sparse_columns(df, most).filter("kept = 1").collect()]
+    out = df.select(*[c for c in df.columns if c in kept and c not in also])
+    return out.fillna({c: v for c, v in (fills or {}).items() if c in out.columns})
+
+
+# --- what charts are drawn from
+
+
+def bars(df: DataFrame, by: str, n: int | None = None) -> DataFrame:
+    """(by, rows): rows of each value, the commonest first in ``n`` (of equals the smallest); missing values have no bar."""
+    per = df.filter(F.col(by).isNotNull()).groupBy(by).agg(F.count(F.lit(1)).alias("rows"))
+    return per if n is None else per.orderBy(F.desc("rows"), by).limit(n)
+
+
+def histogram(df: DataFrame, column: str, low: float, high: float, bins: int) -> DataFrame:
+    """(bin, starts, rows) of the numbers from ``low`` to ``high``; the last bin has its upper end, too, and empty bins are there."""
+    v = finite(F.col(column))
+    at = F.least(F.floor((v - low) * bins / (high - low)), F.lit(bins - 1)).cast("int")
+    counts = df.filter(v.between(low, high)).groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("rows"))
+    every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"), (low + F.col("id") * ((high - low) / bins)).alias("starts"))
+    return every.join(counts, "bin", "left").select("bin", "starts", F.coalesce("rows", F.lit(0)).alias("rows"))

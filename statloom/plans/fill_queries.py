@@ -354,3 +354,79 @@ def goalkeeper_features(spark, d):
     per = k.groupBy("player_id", "season").agg(F.sum("team_goals_against").alias("goals_conceded"), F.sum("team_clean_sheet").alias("clean_sheets"), *[F.sum(c).alias(c) for c in ("saves", "penalty_saves", "punches")])
     x = features.goalkeeper_features(per, table(spark, d, "player_season_stats_cleaned"), players(spark, d))
     return x.select("player_id", "season", "matches_played_proxy", "minutes_played_proxy", *[F.round(c, 4).alias(c) for c in ("goals_conceded_per_match", "clean_sheet_rate", "keeper_physical_index")], "prime_keeper_age_flag")
+
+
+# --- exploration
+
+
+_SPARSE = ("season", "referee", "stadium", "possession_home", "possession_away", "source")
+
+
+@query(" union all ".join(f"select '{c}' as column_name, round(1 - count({_markers(c)}) / count(*), 6) as missing_share, cast(1 - count({_markers(c)}) / count(*) <= 0.9 as int) as kept from matches_cleaned" for c in _SPARSE)
+       + " union all select 'deleted_at', round(1 - count(deleted_at) / count(*), 6), cast(1 - count(deleted_at) / count(*) <= 0.9 as int) from matches_cleaned")
+def sparse_columns(spark, d):
+    """Columns with more than nine tenths missing aren't kept."""
+    return quality.sparse_columns(table(spark, d, "matches_cleaned").select(*_SPARSE, "deleted_at"))
+
+
+@query(r"""select listing_id, try_cast(nullif(regexp_extract(score, '([0-9]+)[^0-9]+([0-9]+)', 1), '') as int) as home, try_cast(nullif(regexp_extract(score, '([0-9]+)[^0-9]+([0-9]+)', 2), '') as int) as away from fixture_listings""")
+def score_split(spark, d):
+    """A score of any separator as two numbers."""
+    s = X.split_score(F.col("score"))
+    return table(spark, d, "fixture_listings").select("listing_id", s["home"].alias("home"), s["away"].alias("away"))
+
+
+@query("select goal_type, count(*) as rows from goals_events_cleaned where goal_type is not null group by 1")
+def chart_bars(spark, d):
+    """K7: what a bar chart of goal types is drawn from."""
+    return quality.bars(table(spark, d, "goals_events_cleaned"), "goal_type")
+
+
+@query(f"""with b as (select unnest(generate_series(0, 12)) as bin), h as (select least(cast(floor(minutes_played * 13 / 130.0) as int), 12) as bin, count(*) as n from {_M} where minutes_played between 0 and 130 group by 1)
+select cast(b.bin as int) as bin, b.bin * 10.0 :: double as starts, coalesce(n, 0) as rows from b left join h on b.bin = h.bin""")
+def chart_histogram(spark, d):
+    """K7: what a histogram of minutes is drawn from."""
+    return quality.histogram(stats(spark, d), "minutes_played", 0, 130, 13)
+
+
+@query("select r_regionkey, r_name from region")
+def clean_table_hook(spark, d):
+    """A table that needs no cleaning passes as it is."""
+    from statloom.operators.relational import passthrough
+
+    return passthrough(table(spark, d, "region"))
+
+
+# --- cascades
+
+
+_ACTIONS = ("passes_attempted", "passes_completed", "crosses_attempted", "dribbles", "tackles", "interceptions", "clearances", "fouls_committed", "fouls_suffered", "touches")
+
+
+def _actions_sql() -> str:
+    mid = ", ".join(f"median({c} * 90 / m) filter (m > 0) as {c}" for c in _ACTIONS)
+    fill = ", ".join(f"coalesce(x.{c}, cast(round_even(b.{c} * x.m / 90, 0) as bigint)) as {c}" for c in _ACTIONS)
+    return f"""with {P}, x as (select s.*, s.minutes_played as m, coalesce({_POS.format(c='p.position')}, 'UNK') as pos from {_M} s left join players p on s.player_id = p.player_id),
+b as (select pos, {mid} from x group by pos) select x.row_id, {fill} from x left join b on x.pos = b.pos"""
+
+
+@query(_actions_sql())
+def action_medians_fill(spark, d):
+    """Ten action columns from their position's median per 90 minutes."""
+    p = players(spark, d).select("player_id", "position_group")
+    x = salted_join(stats(spark, d).select("row_id", "player_id", "minutes_played", *_ACTIONS), p, ["player_id"], "row_id", "left").withColumn("position_group", F.coalesce("position_group", F.lit("UNK")))
+    for c in _ACTIONS:
+        x = impute.per90_cascade(x, c, [["position_group"]])
+    return x.select("row_id", *[F.col(f"{c}_cascade").alias(c) for c in _ACTIONS])
+
+
+@query(f"""with {G}, {P}, x as (select s.row_id, s.player_id, s.tackles, s.minutes_played as m, g.season, {_POS.format(c='p.position')} as pos from {_M} s left join games g on s.match_id = g.match_id left join players p on s.player_id = p.player_id),
+r as (select *, tackles * 90 / m as r from x where m > 0 and tackles is not null), a as (select player_id, season, median(r) as v from r group by 1, 2), b as (select season, median(r) as v from r group by 1), c as (select pos, median(r) as v from r group by 1), e as (select median(r) as v from r)
+select x.row_id, coalesce(x.tackles, cast(round_even(coalesce(a.v, b.v, c.v, e.v) * x.m / 90, 0) as bigint)) as tackles_cascade
+from x left join a on x.player_id = a.player_id and x.season = a.season left join b on x.season = b.season left join c on x.pos = c.pos cross join e""")
+def season_cascade_fill(spark, d):
+    """The player's rate of the season, then the season's, the position's and the overall median."""
+    p = players(spark, d).select("player_id", "position_group")
+    x = salted_join(stats(spark, d).select("row_id", "player_id", "match_id", "tackles", "minutes_played"), p, ["player_id"], "row_id", "left")
+    x = salted_join(x, games(spark, d).select("match_id", "season"), ["match_id"], "row_id", "left").withColumn("position_group", F.coalesce("position_group", F.lit("UNK")))
+    return impute.per90_cascade(x, "tackles", [["player_id", "season"], ["season"], ["position_group"], []]).select("row_id", "tackles_cascade")

@@ -70,3 +70,12 @@ def test_hash_pick(spark):
     assert len(got) == 8 and {r.player for r in got if r.team == "u"} == {"q"} and {r.player for r in got if r.team == "t"} <= {"p1", "p2"}
     taken = spark.createDataFrame([("s", "q")], "season string, player string")
     assert {r.team for r in hash_pick(plan, members, ["team"], "player", ["team", "season", "slot"], taken).collect()} == {"t"}
+
+
+def test_sparse_columns_and_histogram(spark):
+    df = spark.createDataFrame([(i, None if i else "x", 5.0 * i) for i in range(21)], "a long, b string, c double")
+    assert quality.drop_sparse(df, also=("a",)).columns == ["c"]
+    assert quality.drop_sparse(df.limit(0)).columns == ["a", "b", "c"]
+    got = [(r.bin, r.rows) for r in quality.histogram(df, "c", 0, 50, 5).orderBy("bin").collect()]
+    assert got == [(0, 2), (1, 2), (2, 2), (3, 2), (4, 3)]  # 50 is in the last
+    assert [(r.b, r.rows) for r in quality.bars(df, "b").collect()] == [("x", 1)]

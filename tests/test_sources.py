@@ -113,3 +113,16 @@ def test_empty_pipeline(spark, tmp_path):
 def test_windowed_counts(spark):
     e = spark.createDataFrame([("2020-01-01 10:05:00", "a"), ("2020-01-01 10:55:00", "a"), ("2020-01-01 11:00:00", "a")], "t string, k string").selectExpr("cast(t as timestamp) ts", "k")
     assert sorted(r.n for r in windowed_counts(e, "ts", "k").collect()) == [1, 2]
+
+
+def test_run_log(spark, tmp_path):
+    import json
+
+    from statloom.sources.runlog import RunLog
+
+    log = RunLog()
+    log.log("read", step="teams", rows=3)
+    log.log("odd value", level="warning", value="é")
+    log.write(spark, str(tmp_path / "log"))
+    got = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "log")).collect()]
+    assert [(r["message"], r["level"], r["step"]) for r in got] == [("read", "info", "teams"), ("odd value", "warning", "")] and got[0]["rows"] == 3
