@@ -30,6 +30,15 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(df: DataFrame) -> None:
+    """Drop the shuffles, broadcasts and checkpoints that nothing refers to any more.
+
+    Spark's cleaner goes by the collector of the driver, which doesn't run for
+    long while a job of many short steps leaves them behind, on the driver and on disk.
+    """
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def shuffle_width(df: DataFrame) -> int:
     """The session's number of shuffle partitions, for steps whose cost isn't in their bytes."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
