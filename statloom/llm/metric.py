@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statloom.session import durable
+from statloom.session import durable, release
 
 PIVOTS = 4
 #: texts of one key that a task compares with the others of a ring
@@ -126,20 +126,18 @@ def rare(n: Column, other: Column, times: int = 3) -> Column:
 
 
 def follow(up: DataFrame) -> DataFrame:
-    """(block, text, anchor) where each text points at another: at the end of its chain.
+    """(block, text, anchor) where each text points at another: at the end of its chain, by doubling until nothing moves.
 
-    A round goes three steps on, so a chain of length n takes log4(n) rounds; most
-    have one or two links, and one round. Chains must not turn back.
+    Chains must not turn back; the rounds are logarithmic in the longest.
     """
     while True:
         up = durable(up)
-        away = up.filter("anchor != text").select("block", F.col("text").alias("anchor"), F.col("anchor").alias("_next"))  # few, as most texts are no slips
-        for _ in range(3):
-            up = up.join(away, ["block", "anchor"], "left").select("block", "text", F.coalesce("_next", "anchor").alias("anchor"), F.col("_next").isNotNull().alias("open"))
-        up = durable(up)
-        if up.filter("open").isEmpty():
-            return up.drop("open")
-        up = up.drop("open")
+        release(up)
+        away = up.filter("anchor != text")  # few, as most texts are no slips
+        on = away.select("block", F.col("text").alias("anchor"), F.col("anchor").alias("_next"))
+        if away.join(on, ["block", "anchor"], "left_semi").isEmpty():
+            return up
+        up = up.join(on, ["block", "anchor"], "left").select("block", "text", F.coalesce("_next", "anchor").alias("anchor"))
 
 
 def point(counted: DataFrame, pairs: DataFrame) -> DataFrame:
