@@ -415,9 +415,7 @@ def action_medians_fill(spark, d):
     """Ten action columns from their position's median per 90 minutes."""
     p = players(spark, d).select("player_id", "position_group")
     x = salted_join(stats(spark, d).select("row_id", "player_id", "minutes_played", *_ACTIONS), p, ["player_id"], "row_id", "left").withColumn("position_group", F.coalesce("position_group", F.lit("UNK")))
-    for c in _ACTIONS:
-        x = impute.per90_cascade(x, c, [["position_group"]])
-    return x.select("row_id", *[F.col(f"{c}_cascade").alias(c) for c in _ACTIONS])
+    return impute.per90_medians(x, list(_ACTIONS), ["position_group"]).select("row_id", *_ACTIONS)
 
 
 @query(f"""with {G}, {P}, x as (select s.row_id, s.player_id, s.tackles, s.minutes_played as m, g.season, {_POS.format(c='p.position')} as pos from {_M} s left join games g on s.match_id = g.match_id left join players p on s.player_id = p.player_id),
