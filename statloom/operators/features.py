@@ -300,9 +300,9 @@ def matrix_features(df: DataFrame) -> DataFrame:
 PROFILE_DEFAULTS = {"age": 26.0, "height_cm": 180.0, "weight_kg": 75.0}
 
 
-def match_context(df: DataFrame, matches: DataFrame, spread: str = "row_id") -> DataFrame:
-    """season, competition and match_country of the row's match, Unknown without one. matches: one row a match_id."""
-    dim = matches.select("match_id", F.col("season").alias("_s"), F.col("competition").alias("_c"), F.col("country").alias("_l")).filter("match_id is not null")
+def match_context(df: DataFrame, matches: DataFrame, spread: str = "row_id", also: tuple[str, ...] = ()) -> DataFrame:
+    """season, competition and match_country of the row's match, Unknown without one, and the columns ``also`` as they are. matches: one row a match_id."""
+    dim = matches.select("match_id", *also, F.col("season").alias("_s"), F.col("competition").alias("_c"), F.col("country").alias("_l")).filter("match_id is not null")
     out = salted_join(df.drop("season", "competition", "match_country"), dim, ["match_id"], spread, "left")
     return out.withColumns({"season": F.coalesce("_s", F.lit("Unknown")), "competition": F.coalesce("_c", F.lit("Unknown")), "match_country": F.coalesce("_l", F.lit("Unknown"))}).drop("_s", "_c", "_l")
 
@@ -372,9 +372,8 @@ def player_features(players: DataFrame, teams: DataFrame, stats: DataFrame, seas
 
 def player_match_features(stats: DataFrame, matches: DataFrame, players: DataFrame) -> DataFrame:
     """All player-match features."""
-    sides = matches.select("match_id", "home_team_id", "away_team_id", "home_score", "away_score").filter("match_id is not null")
-    x = salted_join(per90(efficiency(stats)), sides, ["match_id"], "row_id", "left")
-    x = player_context(match_context(match_role(x), matches), players)
+    x = match_context(per90(efficiency(stats)), matches, also=("home_team_id", "away_team_id", "home_score", "away_score"))
+    x = player_context(match_role(x), players)
     return role_fit(x.withColumn("is_english_league_match", flag(F.col("competition").rlike("(?i)Premier League|England"))), "player_position_group")
 
 

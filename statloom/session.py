@@ -51,7 +51,9 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], spread: str, h
     """Join with a right side of one row a key, or few, so that a hot key is shared by ``salts`` tasks.
 
     ``spread`` is a column of the left side that differs between the rows of a key.
+    The copies are never broadcast: the planner takes them for as small as the
+    right side was, and the driver would gather ``salts`` times of it.
     """
     rows = left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return rows.join(copies, [*on, "_salt"], how).drop("_salt")
+    return rows.join(copies.hint("merge"), [*on, "_salt"], how).drop("_salt")
