@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from statloom.functions.text import clip, country_region, right_closed, safe_div, season_start_year
 from statloom.operators.relational import both_roles
-from statloom.session import salted_join
+from statloom.session import even_join, salted_join
 
 
 def zero(c: str | Column) -> Column:
@@ -303,7 +303,7 @@ PROFILE_DEFAULTS = {"age": 26.0, "height_cm": 180.0, "weight_kg": 75.0}
 def match_context(df: DataFrame, matches: DataFrame, spread: str = "row_id", also: tuple[str, ...] = ()) -> DataFrame:
     """season, competition and match_country of the row's match, Unknown without one, and the columns ``also`` as they are. matches: one row a match_id."""
     dim = matches.select("match_id", *also, F.col("season").alias("_s"), F.col("competition").alias("_c"), F.col("country").alias("_l")).filter("match_id is not null")
-    out = salted_join(df.drop("season", "competition", "match_country"), dim, ["match_id"], spread, "left")
+    out = even_join(df.drop("season", "competition", "match_country"), dim, "match_id", spread)
     return out.withColumns({"season": F.coalesce("_s", F.lit("Unknown")), "competition": F.coalesce("_c", F.lit("Unknown")), "match_country": F.coalesce("_l", F.lit("Unknown"))}).drop("_s", "_c", "_l")
 
 

@@ -57,3 +57,13 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], spread: str, h
     rows = left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return rows.join(copies.hint("merge"), [*on, "_salt"], how).drop("_salt")
+
+
+def even_join(left: DataFrame, right: DataFrame, key: str, spread: str, how: str = "left", salts: int = SALTS) -> DataFrame:
+    """Join with a right side of one row a key, of whose keys the left side has few rows each, but for the missing one.
+
+    Rows without a key match nothing; they are shared by ``salts`` tasks, so no copies of the right side are needed.
+    """
+    rows = left.withColumn("_salt", F.when(F.col(key).isNull(), 1 + F.pmod(F.xxhash64(spread), F.lit(salts))).otherwise(F.lit(0)).cast("int"))
+    one = right.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(1)).cast("int"))  # 0, but no constant, for which it would be left out of the keys
+    return rows.join(one.hint("merge"), [key, "_salt"], how).drop("_salt")

@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from statloom.operators import features
 from statloom.plans.match_queries import games, players, stats
-from statloom.session import salted_join
+from statloom.session import even_join, salted_join, table
 
 
 def planned(df):
@@ -20,3 +20,22 @@ def test_copies_of_a_salted_join_are_not_broadcast(spark):
 def test_player_match_features_read_the_matches_once(spark, small):
     plan = planned(features.player_match_features(stats(spark, small), games(spark, small), players(spark, small)).select("row_id", "season", "opponent_team_id", "player_age"))
     assert plan.count("matches_cleaned.parquet") == 1 and "Broadcast" not in plan
+
+
+def test_even_join_spreads_missing_keys(spark):
+    left = spark.createDataFrame([(i, f"k{i % 3}" if i % 4 == 0 else None) for i in range(400)], "row_id long, k string")
+    right = spark.range(2).select(F.concat(F.lit("k"), "id").alias("k"), (F.col("id") + 1).alias("v")).unionByName(spark.sql("select cast(null as string) as k, 9L as v"))
+    got = even_join(left, right, "k", "row_id")
+    assert sorted(tuple(r) for r in got.select("row_id", "v").collect()) == [(i, {0: 1, 1: 2}.get(i % 3) if i % 4 == 0 else None) for i in range(400)]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        at = even_join(left, right, "k", "row_id").filter("k is null").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(at) > 1
+
+
+def test_goal_features_copy_no_matches(spark, small):
+    x = features.goal_event_features(table(spark, small, "goals_events_cleaned"), games(spark, small), players(spark, small))
+    plan = planned(x.select("row_id", "season", "player_age"))
+    assert "Broadcast" not in plan and plan.count("Generate explode") == 1  # copies of the players alone
