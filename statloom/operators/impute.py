@@ -7,6 +7,7 @@ keys, so a cell's draw is the same on any cluster; it is marked as generated.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from statloom.functions.missing import finite, is_missing, null_if_missing
 from statloom.functions.text import clip, country_region, safe_div, season_start_year, slug
-from statloom.session import salted_join
+from statloom.session import durable, release, salted_join
 
 
 def hard_normalise(df: DataFrame, counts: list[str]) -> DataFrame:
@@ -60,25 +61,43 @@ def change_log(filled: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return filled.select(key, F.explode(cells).alias("x")).filter("x.reason is not null").select(key, "x.*")
 
 
-def per90_cascade(df: DataFrame, column: str, levels: list[list[str]], minutes: str = "minutes_played") -> DataFrame:
-    """``<column>_cascade``: the cell, else the median rate per 90 of the first level that has one, times minutes.
+def per90_cascade(df: DataFrame, column: str, levels: list[list[str]], minutes: str = "minutes_played", context: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
+    """``df`` with ``<column>_cascade``: the cell, else the median rate per 90 of the first level that has one, times minutes.
 
-    levels: grouping columns from the narrowest to the widest ([] is all rows).
-    Medians are exact. Each level is one aggregation and a lookup.
+    levels: grouping columns from the narrowest to the widest ([] is all rows);
+    ``context`` has, for those that ``df`` lacks, what adds them. Medians are
+    exact. Those of all levels but the narrowest come from counts of equal rates,
+    which are materialised: a row for each different rate of a group, however many
+    rows have it. Only rows with a gap look medians up.
     """
+    name = f"{column}_cascade"
+    known, gaps = df.filter(F.col(column).isNotNull()), df.filter(F.col(column).isNull())
     r = safe_div(F.col(column) * 90, F.when(F.col(minutes) > 0, F.col(minutes)))
-    rates, out = df.withColumn("_r", r).filter("_r is not null"), df
-    names = []
+
+    def having(x: DataFrame, needed: list[str]) -> DataFrame:
+        return reduce(lambda y, c: context[c](y), [c for c in needed if c in (context or {})], x)
+
+    def keyed(x: DataFrame, level: list[str]) -> DataFrame:
+        return x.filter(reduce(Column.__and__, [F.col(c).isNotNull() for c in level])) if level else x
+
+    def rates(needed: list[str]) -> DataFrame:
+        return having(known.withColumn("_r", r).filter("_r is not null"), needed).select(*needed, "_r")
+
+    wide = list(dict.fromkeys(c for level in levels[1:] for c in level))
+    counts = durable(rates(wide).groupBy(*wide, "_r").agg(F.count(F.lit(1)).alias("_n"))) if levels[1:] else None
+    if counts is not None:
+        release(counts)
+    gaps = having(gaps, list(dict.fromkeys(c for level in levels for c in level)))
     for i, level in enumerate(levels):
-        m = rates.groupBy(*level).agg(F.median("_r").alias(f"_m{i}"))
-        if level:
-            keyed = m.filter(reduce(Column.__and__, [F.col(c).isNotNull() for c in level]))
-            out = out.join(keyed, level, "left")
+        if i:
+            m = keyed(counts, level).groupBy(*level).agg(F.percentile("_r", 0.5, F.col("_n")).alias(f"_m{i}"))
         else:
-            out = out.crossJoin(F.broadcast(m))  # one row
-        names.append(f"_m{i}")
-    fill = F.rint(F.coalesce(*names) * F.col(minutes) / 90).cast("long")
-    return out.withColumn(f"{column}_cascade", F.coalesce(column, fill)).drop(*names)
+            own = keyed(rates(level), level)
+            m = (own.repartition(*level) if level else own).groupBy(*level).agg(F.median("_r").alias("_m0"))
+        gaps = gaps.join(m, level, "left") if level else gaps.crossJoin(F.broadcast(m))  # one row
+    fill = F.rint(F.coalesce(*[f"_m{i}" for i in range(len(levels))]) * F.col(minutes) / 90).cast("long")
+    filled = gaps.withColumn(name, F.coalesce(column, fill)).select(*df.columns, name)
+    return known.withColumn(name, F.coalesce(column, F.lit(None).cast("long"))).unionByName(filled)
 
 
 def per90_medians(df: DataFrame, columns: list[str], level: list[str], minutes: str = "minutes_played") -> DataFrame:

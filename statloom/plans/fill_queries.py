@@ -9,7 +9,7 @@ from statloom.functions.dates import parse_date
 from statloom.operators import features, generate, impute, matching, quality
 from statloom.operators.relational import keep_one
 from statloom.plans.match_queries import _POS, G, P, _markers, games, players, stats
-from statloom.session import salted_join, table
+from statloom.session import even_join, salted_join, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -424,7 +424,10 @@ select x.row_id, coalesce(x.tackles, cast(round_even(coalesce(a.v, b.v, c.v, e.v
 from x left join a on x.player_id = a.player_id and x.season = a.season left join b on x.season = b.season left join c on x.pos = c.pos cross join e""")
 def season_cascade_fill(spark, d):
     """The player's rate of the season, then the season's, the position's and the overall median."""
-    p = players(spark, d).select("player_id", "position_group")
-    x = salted_join(stats(spark, d).select("row_id", "player_id", "match_id", "tackles", "minutes_played"), p, ["player_id"], "row_id", "left")
-    x = salted_join(x, games(spark, d).select("match_id", "season"), ["match_id"], "row_id", "left").withColumn("position_group", F.coalesce("position_group", F.lit("UNK")))
-    return impute.per90_cascade(x, "tackles", [["player_id", "season"], ["season"], ["position_group"], []]).select("row_id", "tackles_cascade")
+    p, g = players(spark, d).select("player_id", "position_group").filter("player_id is not null"), games(spark, d).select("match_id", "season").filter("match_id is not null")
+    context = {
+        "season": lambda x: even_join(x, g, "match_id", "row_id"),
+        "position_group": lambda x: salted_join(x, p, ["player_id"], "row_id", "left").withColumn("position_group", F.coalesce("position_group", F.lit("UNK"))),
+    }
+    x = stats(spark, d).select("row_id", "player_id", "match_id", "tackles", "minutes_played")
+    return impute.per90_cascade(x, "tackles", [["player_id", "season"], ["season"], ["position_group"], []], context=context).select("row_id", "tackles_cascade")

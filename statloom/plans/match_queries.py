@@ -333,8 +333,9 @@ r as (select *, shots * 90 / m as r from x where m > 0 and shots is not null), a
 select x.row_id, coalesce(x.shots, cast(round_even(coalesce(a.v, b.v, c.v) * x.m / 90, 0) as bigint)) as shots_cascade from x left join a on x.player_id = a.player_id left join b on x.pos = b.pos cross join c""")
 def impute_cascade(spark, d):
     p = players(spark, d).select("player_id", "position_group")
-    x = stats(spark, d).select("row_id", "player_id", "shots", "minutes_played").join(p, "player_id", "left").withColumn("position_group", F.coalesce("position_group", F.lit("UNK")))
-    return impute.per90_cascade(x, "shots", [["player_id"], ["position_group"], []]).select("row_id", "shots_cascade")
+    context = {"position_group": lambda x: x.join(p, "player_id", "left").withColumn("position_group", F.coalesce("position_group", F.lit("UNK")))}
+    x = stats(spark, d).select("row_id", "player_id", "shots", "minutes_played")
+    return impute.per90_cascade(x, "shots", [["player_id"], ["position_group"], []], context=context).select("row_id", "shots_cascade")
 
 
 @query(f"select row_id, coalesce(passes_attempted, passes_completed) as passes_attempted, coalesce(shots, shots_on_target) as shots from {_S}")
