@@ -29,7 +29,7 @@ __all__ = ["club_spellings", "link_names", "same_names"]
 SURNAME, GIVEN = (4, 6), (4, 9)
 #: a familiar form is one whose people are listed under the full name, too, in at least this share
 FAMILIAR = 0.2
-#: surnames of a club with more given names than this don't show which of them stand for one another
+#: given names of a surname of a club up to which two of them listed together count as one; in a larger crowd, where more of them are by chance, in proportion less
 CROWD = 12
 #: records of one person, or rows of one club, that one task pairs with the others
 SHARE = 1000
@@ -114,16 +114,19 @@ def given_anchors(forms: DataFrame) -> tuple[DataFrame, DataFrame]:
     several = names.groupBy("block").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
     left = durable(salted_join(names.join(several, "block"), common, ["name"], "block"))
     w = left.select("block", F.col("name").alias("w"), F.col("common").alias("nw"), F.col("positions").alias("pw"), "k")
-    f = left.select("block", F.col("name").alias("f"), F.col("common").alias("nf"), F.col("positions").alias("pf"))
+    f = left.select("block", F.col("name").alias("f"), F.col("common").alias("nf"), F.col("positions").alias("pf"), "k")
     less = (F.col("nw") < F.col("nf")) | ((F.col("nw") == F.col("nf")) & (F.length("w") < F.length("f")))
     meets = F.arrays_overlap("pw", "pf") | F.array_contains("pw", "") | F.array_contains("pf", "")
-    # learned: people listed under both, of those listed under the familiar form; once is enough for a form hardly seen of a common name
-    both = w.filter(F.col("k") <= CROWD).join(f, "block").filter(less & meets).groupBy("w", "f").agg(F.count(F.lit(1)).alias("c"), F.max("nw").alias("nw"), F.max("nf").alias("nf"))
+    # learned: people listed under both, in crowds of any size, of those listed under the familiar form; once is enough for a form hardly seen of a common name
+    salts = F.ceil(F.col("k") / SHARE).cast("int")  # a large crowd is split over tasks
+    sides = w.withColumn("salt", F.pmod(F.xxhash64("w"), salts).cast("int")).join(f.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("k"), ["block", "salt"])
+    weight = F.least(F.lit(1.0), (CROWD - 1) / (F.col("k") - 1))
+    both = sides.filter(less & meets).groupBy("w", "f").agg(F.sum(weight).alias("c"), F.max("nw").alias("nw"), F.max("nf").alias("nf"))
     enough = (F.col("c") >= FAMILIAR * F.col("nw")) & ((F.col("c") >= 2) | ((F.col("nw") <= 2) & (F.col("nf") >= 3 * F.col("nw"))))
     learned = durable(both.filter(enough).select("w", "f", "c"))
     keyed = w.select("block", "w", "pw", F.explode(_short_keys("w")).alias("key")).join(f.select("block", "f", "pf", F.explode(_full_keys("f")).alias("key")), ["block", "key"])
     keyed = keyed.filter(F.length("w") < F.length("f")).select("block", "w", "f", meets.alias("meets"), F.lit(True).alias("part"))
-    known = salted_join(w, learned, ["w"], "block").join(f, ["block", "f"]).select("block", "w", "f", meets.alias("meets"), F.lit(False).alias("part"))
+    known = salted_join(w, learned, ["w"], "block").join(f.drop("k"), ["block", "f"]).select("block", "w", "f", meets.alias("meets"), F.lit(False).alias("part"))
     cands = keyed.unionByName(known).groupBy("block", "w", "f").agg(F.max("meets").alias("meets"), F.max("part").alias("part"))
     cands = cands.join(cands.groupBy("block", "w").agg(F.max(F.col("part") & F.col("meets")).alias("parts")), ["block", "w"]).filter("meets and (part or not parts)")
     # the only full name of the position; what shares letters comes before what doesn't

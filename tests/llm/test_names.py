@@ -131,6 +131,17 @@ def test_familiar_forms_are_learned(spark):
     assert all(got[f"t{i}", "miguel"] == "miguel" for i in range(12))
 
 
+def test_familiar_forms_are_learned_in_crowds(spark, monkeypatch):
+    others = [f"{a}{b}" for a in ("kor", "wim", "zul", "hag") for b in ("ulf", "ent", "yst", "orm")]  # sixteen names beside them
+    forms = [(f"s{i}", f"x{i}", "c", g, g[0], "F", 1) for i in range(12) for g in (("roberto", "beppo") if i < 4 else ("roberto",))]
+    forms += [(f"s{i}", f"o{i}{g}", "c", g, g[0], "M", 1) for i in range(12) for g in others]
+    for share in (1000, 3):  # the crowd split over tasks, too
+        monkeypatch.setattr(N, "SHARE", share)
+        got = {(r.block, r.given): r["head"] for r in N.given_anchors(spark.createDataFrame(forms, FORMS))[0].collect()}
+        assert all(got[f"s{i}", "beppo"] == "roberto" for i in range(4))
+        assert all(got[f"s{i}", g] == g for i in range(12) for g in ("roberto", *others))
+
+
 STATS = "record_id string, player_name string, club string, position string, text string, block string"
 TEAMS = "row_id long, team_id string, team_name string, text string"
 
