@@ -39,20 +39,20 @@ def town_anchors(towns: DataFrame) -> DataFrame:
     to the only town it can be short for; if there are several it stays its own.
     """
     space = towns.select(F.lit("").alias("block"), F.col("town").alias("text"), "n")
-    heads = durable(point(space, radius_join(space.select("block", "text")).filter(slip(ONE, TWO))).join(space, ["block", "text"]))
+    heads = durable(point(space, radius_join(space.select("block", "text")).filter(slip(ONE, TWO))).join(space.hint("merge"), ["block", "text"]))
     sizes = heads.filter("anchor = text").select("block", "text", "n")  # the towns that are no slips
     size = F.length("text")
     cuts = sizes.filter(size >= ONE).select("block", F.col("text").alias("whole"), F.col("n").alias("nw"), F.explode(F.sequence(F.greatest(F.lit(4), F.ceil(size / 2).cast("int")), size - 2)).alias("k"))
     cuts = cuts.select("block", F.substring(F.col("whole"), F.lit(1), F.col("k")).alias("b"), "whole", "nw")
     near = radius_join(sizes.select("block", "text"), 2, cuts.select("block", F.col("b").alias("text")).distinct())
     near = near.filter((F.col("d") == 0) | ((F.length("a") >= ONE) & ((F.col("d") == 1) | swapped())))
-    short = near.join(cuts, ["block", "b"]).join(sizes.select("block", F.col("text").alias("a"), "n"), ["block", "a"])
+    short = near.join(cuts.hint("merge"), ["block", "b"]).join(sizes.select("block", F.col("text").alias("a"), "n").hint("merge"), ["block", "a"])
     short = short.filter((F.col("whole") != F.col("a")) & (F.length("whole") >= F.length("a") + 2) & ((F.col("n") <= 2) | (F.col("nw") >= 2 * F.col("n"))))
     # the least distance, and whether only one town has it
     short = short.groupBy("block", "a", "whole").agg(F.min("d").alias("d")).groupBy("block", "a", "d").agg(F.count(F.lit(1)).alias("k"), F.min("whole").alias("whole"))
     short = short.groupBy("block", "a").agg(F.min_by(F.struct("k", "whole"), "d").alias("x")).filter("x.k = 1").select("block", F.col("a").alias("text"), F.col("x.whole").alias("whole"))
     # a slip points at its town, a short town at the whole one: one chain
-    up = heads.join(short, ["block", "text"], "left").select("block", "text", F.when(F.col("anchor") == F.col("text"), F.coalesce("whole", "anchor")).otherwise(F.col("anchor")).alias("anchor"))
+    up = heads.join(short.hint("merge"), ["block", "text"], "left").select("block", "text", F.when(F.col("anchor") == F.col("text"), F.coalesce("whole", "anchor")).otherwise(F.col("anchor")).alias("anchor"))
     return follow(up).select(F.col("text").alias("town"), F.col("anchor").alias("town_id"))
 
 
@@ -61,14 +61,14 @@ def club_spellings(texts: DataFrame) -> DataFrame:
 
     A spelling without a kind gets that of its town if the town has only one.
     """
-    read = durable(texts.join(read_texts(texts.select("text"), read_club, "text string, town string, kind string, reserve boolean"), "text").filter("town != ''"))
+    read = durable(texts.join(read_texts(texts.select("text"), read_club, "text string, town string, kind string, reserve boolean").hint("merge"), "text").filter("town != ''"))
     towns = town_anchors(read.groupBy("town").agg(F.sum("n").alias("n")))
-    read = durable(read.join(towns, "town"))
+    read = durable(read.join(towns.hint("merge"), "town"))
     # kinds that a town is known with; one that is written once in many is a slip
     kinds = read.filter("kind is not null and not reserve").groupBy("town_id", "kind").agg(F.sum("n").alias("n"))
     total = kinds.groupBy("town_id").agg(F.sum("n").alias("all"))
-    kinds = kinds.join(total, "town_id").filter(F.col("n") >= SLIP * F.col("all"))
+    kinds = kinds.join(total.hint("merge"), "town_id").filter(F.col("n") >= SLIP * F.col("all"))
     only = kinds.groupBy("town_id").agg(F.max(F.struct("n", "kind")).alias("top"), F.count(F.lit(1)).alias("kinds"))
-    return read.join(only, "town_id", "left").select(
+    return read.join(only.hint("merge"), "town_id", "left").select(
         "text", "town_id", F.when(F.col("kind").isNull() & (F.col("kinds") == 1), F.col("top.kind")).otherwise(F.col("kind")).alias("kind"), "reserve", F.coalesce("kinds", F.lit(0)).alias("kinds")
     )

@@ -80,7 +80,7 @@ def radius_join(names: DataFrame, radius: int = 2, others: DataFrame | None = No
         "block", "key",
         F.slice("pivots", F.lit(1), F.greatest(F.lit(1), F.least(F.size("pivots"), F.floor(F.sqrt("n") / 2).cast("int")))).alias("pivots"),
         F.ceil(F.col("n") / SHARE).cast("int").alias("salts"),
-    )
+    ).hint("merge")
     at = lambda c: F.transform("pivots", lambda p: F.struct(F.levenshtein(c, p).alias("d"), p.alias("pivot")))
     on, wide = ["block", "key", "pivot", "ring", "salt"], 2 * radius + 1
     own = sought.join(cells, ["block", "key"]).select("*", F.array_min(at("a")).alias("home"))
@@ -96,12 +96,13 @@ def radius_join(names: DataFrame, radius: int = 2, others: DataFrame | None = No
     far = far.select("block", "key", "b", "pivot", "db", "ring", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     near = F.abs(F.col("da") - F.col("db")) <= radius
     d = F.levenshtein("a", "b", radius)  # -1 beyond the radius, found in a band of that width
-    found = own.join(far, on).filter(near)
+    found = own.join(far.hint("merge"), on).filter(near)
     if alone:
         found = found.filter("a != b")
     found = found.select("block", "a", "b", d.alias("d")).filter("d >= 0")
-    if alone:  # only shorter texts were sought
-        found = found.unionByName(found.filter(F.length("a") > F.length("b")).select("block", F.col("b").alias("a"), F.col("a").alias("b"), "d"))
+    if alone:  # only shorter texts were sought; both orders come from one join, which a union would run twice
+        there, back = F.struct("a", "b"), F.when(F.length("a") > F.length("b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+        found = found.select("block", F.explode(F.array_compact(F.array(there, back))).alias("x"), "d").select("block", "x.a", "x.b", "d")
     return found.distinct()
 
 
@@ -134,7 +135,7 @@ def follow(up: DataFrame) -> DataFrame:
         up = durable(up)
         release(up)
         away = up.filter("anchor != text")  # few, as most texts are no slips
-        on = away.select("block", F.col("text").alias("anchor"), F.col("anchor").alias("_next"))
+        on = away.select("block", F.col("text").alias("anchor"), F.col("anchor").alias("_next")).hint("merge")
         if away.join(on, ["block", "anchor"], "left_semi").isEmpty():
             return up
         up = up.join(on, ["block", "anchor"], "left").select("block", "text", F.coalesce("_next", "anchor").alias("anchor"))
@@ -146,12 +147,12 @@ def point(counted: DataFrame, pairs: DataFrame) -> DataFrame:
     ``counted`` has (block, text, n). A text points at its commonest neighbour if
     that is commoner (of equals, the one that sorts first) and it is itself rare beside it.
     """
-    n_a = counted.select("block", F.col("text").alias("a"), F.col("n").alias("na"))
-    n_b = counted.select("block", F.col("text").alias("b"), F.col("n").alias("nb"))
+    n_a = counted.select("block", F.col("text").alias("a"), F.col("n").alias("na")).hint("merge")
+    n_b = counted.select("block", F.col("text").alias("b"), F.col("n").alias("nb")).hint("merge")
     near = pairs.join(n_a, ["block", "a"]).join(n_b, ["block", "b"])
     near = near.filter(rare(F.col("na"), F.col("nb")) & ((F.col("nb") > F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") < F.col("a")))))
     best = near.groupBy("block", F.col("a").alias("text")).agg(F.min(F.struct((-F.col("nb")).alias("k"), "d", "b"))["b"].alias("anchor"))
-    return counted.select("block", "text").join(best, ["block", "text"], "left").select("block", "text", F.coalesce("anchor", "text").alias("anchor"))
+    return counted.select("block", "text").join(best.hint("merge"), ["block", "text"], "left").select("block", "text", F.coalesce("anchor", "text").alias("anchor"))
 
 
 def anchor(counted: DataFrame, pairs: DataFrame) -> DataFrame:

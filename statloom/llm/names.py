@@ -10,6 +10,7 @@ forms stand for which given names, from the people who are listed under both.
 Plan: everything before the last join works on distinct spellings, by equi-joins
 and aggregates of fixed size; no list of a club's or a surname's people is made.
 A club that has a third of all names is spread by its segments, pivots and salts.
+Joins are hinted to be sorted: of the many small sides each would be gathered on the driver.
 """
 
 from __future__ import annotations
@@ -65,20 +66,20 @@ def settle(forms: DataFrame) -> DataFrame:
     sure, guessed = forms.filter("club_id is not null"), forms.filter("club_id is null")
     own = sure.filter("kinds > 1").select(F.col("town_id").alias("block"), "club_id", F.explode(F.array_union(F.array("surname"), "parts")).alias("b")).distinct()
     wanted = guessed.select(F.col("town_id").alias("block"), F.col("surname").alias("a")).distinct()
-    owners = _nearest(near.join(wanted, ["block", "a"]).join(own, ["block", "b"]), ["block", "a"], "club_id")
-    guessed = guessed.drop("club_id").join(owners.select(F.col("block").alias("town_id"), F.col("a").alias("surname"), "club_id"), ["town_id", "surname"])
+    owners = _nearest(near.join(wanted.hint("merge"), ["block", "a"]).join(own.hint("merge"), ["block", "b"]), ["block", "a"], "club_id")
+    guessed = guessed.drop("club_id").join(owners.select(F.col("block").alias("town_id"), F.col("a").alias("surname"), "club_id").hint("merge"), ["town_id", "surname"])
     forms = durable(sure.unionByName(guessed.select(*sure.columns)))
 
     names = forms.groupBy("town_id", "club_id", "surname").agg(F.sum("n").alias("n"), F.max("parts").alias("parts"))
     names = durable(names.select(F.col("town_id").alias("town"), F.col("club_id").alias("block"), F.col("surname").alias("text"), "n", "parts"))
     of_town = near.filter("a != b").withColumnRenamed("block", "town")
-    in_club = of_town.join(names.select("town", "block", F.col("text").alias("a")), ["town", "a"])
+    in_club = of_town.join(names.select("town", "block", F.col("text").alias("a")).hint("merge"), ["town", "a"])
     heads = durable(point(names.select("block", "text", "n"), in_club.select("block", "a", "b", "d")))
-    halves = names.filter(F.size("parts") > 1).join(heads, ["block", "text"]).select("town", "block", F.explode("parts").alias("b"), F.col("anchor").alias("whole")).distinct()
+    halves = names.filter(F.size("parts") > 1).join(heads.hint("merge"), ["block", "text"]).select("town", "block", F.explode("parts").alias("b"), F.col("anchor").alias("whole")).distinct()
     simple = names.filter(F.size("parts") < 2).select("town", "block", F.col("text").alias("a"))
-    joined = near.withColumnRenamed("block", "town").join(simple, ["town", "a"]).join(halves, ["town", "block", "b"]).filter("whole != a")
+    joined = near.withColumnRenamed("block", "town").join(simple.hint("merge"), ["town", "a"]).join(halves.hint("merge"), ["town", "block", "b"]).filter("whole != a")
     whole = _nearest(joined, ["block", "a"], "whole").withColumnRenamed("a", "text")
-    up = heads.join(whole, ["block", "text"], "left").select("block", "text", F.when(F.col("anchor") == F.col("text"), F.coalesce("whole", "anchor")).otherwise(F.col("anchor")).alias("anchor"))
+    up = heads.join(whole.hint("merge"), ["block", "text"], "left").select("block", "text", F.when(F.col("anchor") == F.col("text"), F.coalesce("whole", "anchor")).otherwise(F.col("anchor")).alias("anchor"))
     family = follow(up).select(F.col("block").alias("club_id"), F.col("text").alias("surname"), F.col("anchor").alias("family"))
     return salted_join(forms, family, ["club_id", "surname"], "player_name")
 
@@ -112,28 +113,28 @@ def given_anchors(forms: DataFrame) -> tuple[DataFrame, DataFrame]:
     names = durable(typed.groupBy("block", "name").agg(F.array_distinct(F.flatten(F.collect_set("positions"))).alias("positions")))
     common = names.groupBy("name").agg(F.count(F.lit(1)).alias("common"))
     several = names.groupBy("block").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
-    left = durable(salted_join(names.join(several, "block"), common, ["name"], "block"))
+    left = durable(salted_join(names.join(several.hint("merge"), "block"), common, ["name"], "block"))
     w = left.select("block", F.col("name").alias("w"), F.col("common").alias("nw"), F.col("positions").alias("pw"), "k")
     f = left.select("block", F.col("name").alias("f"), F.col("common").alias("nf"), F.col("positions").alias("pf"), "k")
     less = (F.col("nw") < F.col("nf")) | ((F.col("nw") == F.col("nf")) & (F.length("w") < F.length("f")))
     meets = F.arrays_overlap("pw", "pf") | F.array_contains("pw", "") | F.array_contains("pf", "")
     # learned: people listed under both, in crowds of any size, of those listed under the familiar form; once is enough for a form hardly seen of a common name
     salts = F.ceil(F.col("k") / SHARE).cast("int")  # a large crowd is split over tasks
-    sides = w.withColumn("salt", F.pmod(F.xxhash64("w"), salts).cast("int")).join(f.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("k"), ["block", "salt"])
+    sides = w.withColumn("salt", F.pmod(F.xxhash64("w"), salts).cast("int")).join(f.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("k").hint("merge"), ["block", "salt"])
     weight = F.least(F.lit(1.0), (CROWD - 1) / (F.col("k") - 1))
     both = sides.filter(less & meets).groupBy("w", "f").agg(F.sum(weight).alias("c"), F.max("nw").alias("nw"), F.max("nf").alias("nf"))
     enough = (F.col("c") >= FAMILIAR * F.col("nw")) & ((F.col("c") >= 2) | ((F.col("nw") <= 2) & (F.col("nf") >= 3 * F.col("nw"))))
     learned = durable(both.filter(enough).select("w", "f", "c"))
-    keyed = w.select("block", "w", "pw", F.explode(_short_keys("w")).alias("key")).join(f.select("block", "f", "pf", F.explode(_full_keys("f")).alias("key")), ["block", "key"])
+    keyed = w.select("block", "w", "pw", F.explode(_short_keys("w")).alias("key")).join(f.select("block", "f", "pf", F.explode(_full_keys("f")).alias("key")).hint("merge"), ["block", "key"])
     keyed = keyed.filter(F.length("w") < F.length("f")).select("block", "w", "f", meets.alias("meets"), F.lit(True).alias("part"))
-    known = salted_join(w, learned, ["w"], "block").join(f.drop("k"), ["block", "f"]).select("block", "w", "f", meets.alias("meets"), F.lit(False).alias("part"))
+    known = salted_join(w, learned, ["w"], "block").join(f.drop("k").hint("merge"), ["block", "f"]).select("block", "w", "f", meets.alias("meets"), F.lit(False).alias("part"))
     cands = keyed.unionByName(known).groupBy("block", "w", "f").agg(F.max("meets").alias("meets"), F.max("part").alias("part"))
-    cands = cands.join(cands.groupBy("block", "w").agg(F.max(F.col("part") & F.col("meets")).alias("parts")), ["block", "w"]).filter("meets and (part or not parts)")
+    cands = cands.join(cands.groupBy("block", "w").agg(F.max(F.col("part") & F.col("meets")).alias("parts")).hint("merge"), ["block", "w"]).filter("meets and (part or not parts)")
     # the only full name of the position; what shares letters comes before what doesn't
     pick = cands.groupBy("block", "w").agg(F.count(F.lit(1)).alias("k"), F.min("f").alias("full")).filter("k = 1").select("block", F.col("w").alias("text"), "full")
-    up = names.select("block", F.col("name").alias("text")).join(pick, ["block", "text"], "left").select("block", "text", F.coalesce("full", "text").alias("anchor"))
+    up = names.select("block", F.col("name").alias("text")).join(pick.hint("merge"), ["block", "text"], "left").select("block", "text", F.coalesce("full", "text").alias("anchor"))
     found = follow(up).select("block", F.col("text").alias("name"), F.col("anchor").alias("head"))
-    return typed.select("block", "given", "name").join(found, ["block", "name"]).select("block", "given", "head"), learned.filter("c >= 2").select(F.col("w").alias("given"), F.col("f").alias("full"))
+    return typed.select("block", "given", "name").join(found.hint("merge"), ["block", "name"]).select("block", "given", "head"), learned.filter("c >= 2").select(F.col("w").alias("given"), F.col("f").alias("full"))
 
 
 def persons(forms: DataFrame) -> DataFrame:
@@ -148,13 +149,13 @@ def persons(forms: DataFrame) -> DataFrame:
     named = durable(salted_join(forms.filter("given is not null"), heads, ["block", "given"], "player_name").withColumn("person_id", F.concat_ws("|", "block", "head")))
     # the letters and positions each person is known with
     people = named.groupBy("block", "person_id", "given", "position").agg(F.first("letter").alias("letter"))
-    full = people.join(learned, "given").select("block", "person_id", "position", F.substring("full", 1, 1).alias("letter"))
+    full = people.join(learned.hint("merge"), "given").select("block", "person_id", "position", F.substring("full", 1, 1).alias("letter"))
     known = durable(people.select("block", "person_id", "position", "letter").unionByName(full).distinct())
     first = forms.filter("given is null and letter is not null")
 
     def fit(rows: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
-        rows = rows.join(_only(known, keys, "person_id").select(*keys, F.col("k").alias("k1"), F.col("person_id").alias("p1")), keys, "left")
-        return rows.join(_only(known, [*keys, "position"], "person_id").select(*keys, "position", F.col("k").alias("k2"), F.col("person_id").alias("p2")), [*keys, "position"], "left").select(
+        rows = rows.join(_only(known, keys, "person_id").select(*keys, F.col("k").alias("k1"), F.col("person_id").alias("p1")).hint("merge"), keys, "left")
+        return rows.join(_only(known, [*keys, "position"], "person_id").select(*keys, "position", F.col("k").alias("k2"), F.col("person_id").alias("p2")).hint("merge"), [*keys, "position"], "left").select(
             *[c for c in rows.columns if c not in ("k1", "p1")], "k1", F.when(F.col("k1") == 1, F.col("p1")).when((F.col("position") != "") & (F.col("k2") == 1), F.col("p2")).alias("person_id")
         )
 
@@ -186,7 +187,7 @@ def link_names(stats: DataFrame, teams: DataFrame) -> tuple[DataFrame, DataFrame
     forms = stats.filter(~is_missing(F.col("player_name"))).groupBy("player_name", "club", "position").agg(F.count(F.lit(1)).alias("n"))
     people = name_roles(forms.select(F.col("player_name").alias("text")).distinct()).withColumnRenamed("text", "player_name")
     forms = salted_join(forms, clubs.withColumnRenamed("text", "club").select("club", "town_id", "club_id", "kinds"), ["club"], "player_name")
-    forms = durable(forms.join(people, "player_name"))
+    forms = durable(forms.join(people.hint("merge"), "player_name"))
     release(forms)
     forms = settle(forms).withColumn("block", F.concat_ws("|", "club_id", "family"))
     own = persons(forms.select("block", "club_id", "player_name", "club", "given", "letter", "position", "n"))
@@ -194,17 +195,17 @@ def link_names(stats: DataFrame, teams: DataFrame) -> tuple[DataFrame, DataFrame
     records = salted_join(stats, own.select("player_name", "club", "position", "club_id", "person_id"), ["player_name", "club", "position"], "record_id", "left")
     plain = salted_join(records.select("record_id", "club", F.col("club_id").alias("own"), "person_id"), clubs.select(F.col("text").alias("club"), "club_id"), ["club"], "record_id", "left")
     records = plain.select("record_id", F.coalesce("own", "club_id").alias("club_id"), "person_id")
-    team_ids = teams.select("team_id", F.col("team_name").alias("text")).join(clubs.select("text", "club_id"), "text", "left").select("team_id", "club_id").filter("team_id is not null").distinct()
+    team_ids = teams.select("team_id", F.col("team_name").alias("text")).join(clubs.select("text", "club_id").hint("merge"), "text", "left").select("team_id", "club_id").filter("team_id is not null").distinct()
     return records, team_ids
 
 
 def _pairs(rows: DataFrame, group: str, key: str, kind: str) -> DataFrame:
     """(kind, key_a, key_b) of the different keys of each group; a large group is split over tasks."""
     salts = rows.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("salts"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    rows = rows.join(salts, group)
+    rows = rows.join(salts.hint("merge"), group)
     a = rows.select(group, F.col(key).alias("key_a"), F.pmod(F.xxhash64(key), F.col("salts")).cast("int").alias("salt"))
     b = rows.select(group, F.col(key).alias("key_b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    return a.join(b, [group, "salt"]).filter("key_a < key_b").select(F.lit(kind).alias("kind"), "key_a", "key_b")
+    return a.join(b.hint("merge"), [group, "salt"]).filter("key_a < key_b").select(F.lit(kind).alias("kind"), "key_a", "key_b")
 
 
 def same_names(stats: DataFrame, teams: DataFrame) -> DataFrame:

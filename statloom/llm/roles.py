@@ -81,7 +81,7 @@ def name_roles(texts: DataFrame) -> DataFrame:
         words = names.select("text", F.posexplode(F.arrays_zip("words", "own")).alias("i", "x")).select("text", "i", F.col("x.words").alias("word"), F.col("x.own").alias("own"))
         counts = words.groupBy("word").agg(F.sum("own").alias("g"), F.sum(1 - F.col("own")).alias("s"))
         seen = salted_join(words, counts, ["word"], "text").groupBy("text").agg(F.sort_array(F.collect_list(F.struct("i", "g", "s"))).alias("seen"))  # as long as the name
-        whole = names.join(seen, "text", "left")
+        whole = names.join(seen.hint("merge"), "text", "left")
 
         def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from statloom import session
 from statloom.llm import clubs as C
 from statloom.llm import metric as M
 from statloom.llm import names as N
@@ -163,6 +164,26 @@ def test_links(spark):
     assert [x[1:] for x in got if x[0] == "club"] == sorted([(r, t) for r in ("r1", "r2", "r3", "r4", "r6") for t in ("t1", "t2")] + [("r5", "t3")])
 
 
+def test_no_step_gathers_a_side_on_the_driver(spark, monkeypatch):
+    """The joins of the names are sorted, none is broadcast; a radius join searches once for both orders of a pair."""
+    plans = []
+
+    def kept(df):
+        out = session.durable(df)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    for module in (C, M, N, R):
+        monkeypatch.setattr(module, "durable", kept)
+    stats = [("r1", "Santiago Fajavett", "FC Rithobdudheim", "F"), ("r2", "Fajavett, Santi", "Rithobdud. FC", "F"), ("r3", "S. Fajvett", "F.C. Rithobdudheim", None)]
+    assert ("player", "r1", "r2") in link(spark, stats, [("t1", "FC Rithobdudheim"), ("t2", "FC Ritobdudheim")])
+    assert len(plans) > 20 and not [p for p in plans if "BroadcastHashJoin" in p or "BroadcastExchange" in p]
+    words = spark.createDataFrame([("b", "prefix"), ("b", "prefixes"), ("b", "prefex")], "block string, text string")
+    found = M.radius_join(words)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 3
+    assert sorted((r.a, r.b, r.d) for r in found.collect()) == [("prefex", "prefix", 1), ("prefix", "prefex", 1), ("prefix", "prefixes", 2), ("prefixes", "prefix", 2)]
+
+
 def test_empty_and_repeated(spark):
     assert link(spark, [], []) == []
     got = link(spark, [("a", "Ann Low", "Lowtownland City", None)] * 1 + [("b", "Ann Low", "Lowtownland City", None)], [])
