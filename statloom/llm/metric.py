@@ -71,7 +71,8 @@ def radius_join(names: DataFrame, radius: int = 2, others: DataFrame | None = No
     """
     alone = others is None
     right = names if alone else others
-    held = right.select("block", F.col("text").alias("b"), F.explode(_keys("text", _held(radius), radius)).alias("key")).filter("b != ''")
+    held = right.select("block", F.col("text").alias("b"), F.explode(_keys("text", _held(radius), radius)).alias("key")).filter("b != '' and block is not null")
+    held = held.repartition("block", "key")  # shuffled once for the pivots of its keys and for the cells
     sought = names.select("block", F.col("text").alias("a"), F.explode(_keys("text", _sought(radius, alone), radius)).alias("key"))
     # up to PIVOTS texts of a key, picked by hash; more of them the more texts there are
     picks = F.array_distinct(F.array(*[F.min_by("b", F.xxhash64("b", F.lit(j))) for j in range(PIVOTS)]))
@@ -126,6 +127,13 @@ def rare(n: Column, other: Column, times: int = 3) -> Column:
     return (n <= 2) | (other >= times * n)
 
 
+def nearest(cands: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, value): the only ``value`` at the least distance ``d`` of each key; keys with several have no row."""
+    least, most = F.min(F.struct("d", value)), F.max(F.struct((-F.col("d")).alias("d"), value))  # of those at the least distance
+    at = cands.groupBy(*keys).agg(least[value].alias(value), most[value].alias("_most"))
+    return at.filter(F.col(value) == F.col("_most")).drop("_most")
+
+
 def follow(up: DataFrame) -> DataFrame:
     """(block, text, anchor) where each text points at another: at the end of its chain, by doubling until nothing moves.
 
@@ -142,19 +150,20 @@ def follow(up: DataFrame) -> DataFrame:
 
 
 def point(counted: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(block, text, anchor): each text with the commonest text that it may be a slip for, itself if there is none.
+    """(block, text, n, anchor): each text with the commonest text that it may be a slip for, itself if there is none.
 
-    ``counted`` has (block, text, n). A text points at its commonest neighbour if
+    ``counted`` has distinct (block, text) with n. A text points at its commonest neighbour if
     that is commoner (of equals, the one that sorts first) and it is itself rare beside it.
     """
-    n_a = counted.select("block", F.col("text").alias("a"), F.col("n").alias("na")).hint("merge")
     n_b = counted.select("block", F.col("text").alias("b"), F.col("n").alias("nb")).hint("merge")
-    near = pairs.join(n_a, ["block", "a"]).join(n_b, ["block", "b"])
-    near = near.filter(rare(F.col("na"), F.col("nb")) & ((F.col("nb") > F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") < F.col("a")))))
-    best = near.groupBy("block", F.col("a").alias("text")).agg(F.min(F.struct((-F.col("nb")).alias("k"), "d", "b"))["b"].alias("anchor"))
-    return counted.select("block", "text").join(best.hint("merge"), ["block", "text"], "left").select("block", "text", F.coalesce("anchor", "text").alias("anchor"))
+    near = pairs.join(n_b, ["block", "b"]).select("block", F.col("a").alias("text"), "b", "d", "nb")
+    to = rare(F.col("n"), F.col("nb")) & ((F.col("nb") > F.col("n")) | ((F.col("nb") == F.col("n")) & (F.col("b") < F.col("text"))))
+    best = F.min(F.when(to, F.struct((-F.col("nb")).alias("k"), "d", "b")))["b"]
+    # one join by text, and the aggregate in its order
+    own = counted.select("block", "text", "n").join(near.hint("merge"), ["block", "text"], "left").groupBy("block", "text").agg(F.max("n").alias("n"), best.alias("anchor"))
+    return own.select("block", "text", "n", F.coalesce("anchor", "text").alias("anchor"))
 
 
 def anchor(counted: DataFrame, pairs: DataFrame) -> DataFrame:
     """The same followed to the end: a text that points at a text that itself points on goes with it."""
-    return follow(point(counted, pairs))
+    return follow(point(counted, pairs).drop("n"))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from statloom.functions.missing import is_missing
 from statloom.llm.clubs import club_spellings
-from statloom.llm.metric import anchor, follow, point, radius_join, slip
+from statloom.llm.metric import anchor, follow, nearest, point, radius_join, slip
 from statloom.llm.roles import name_roles
 from statloom.session import durable, release, salted_join
 
@@ -42,14 +42,8 @@ def _position(c: str) -> Column:
 
 
 def _only(cands: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """(keys, k, value): how many different values each key has, and the least of them."""
-    return cands.groupBy(*keys).agg(F.count_distinct(value).alias("k"), F.min(value).alias(value))
-
-
-def _nearest(cands: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """(keys, value): the only ``value`` at the least distance ``d`` of each key; keys with several have no row."""
-    at = cands.groupBy(*keys, "d").agg(F.count_distinct(value).alias("k"), F.min(value).alias(value))
-    return at.groupBy(*keys).agg(F.min_by(F.struct("k", value), "d").alias("x")).filter("x.k = 1").select(*keys, F.col(f"x.{value}").alias(value))
+    """(keys, k, value): the least value of each key; k: 1 if it has no other, else 2."""
+    return cands.groupBy(*keys).agg(F.when(F.min(value) == F.max(value), 1).otherwise(2).alias("k"), F.min(value).alias(value))
 
 
 def settle(forms: DataFrame) -> DataFrame:
@@ -60,13 +54,13 @@ def settle(forms: DataFrame) -> DataFrame:
     compound, if the club has one such and nobody of that name. Forms whose club stays open are left out.
     """
     # the near surnames of a town, halves of compounds among them: found once for all that follows
-    texts = forms.select(F.col("town_id").alias("block"), F.explode(F.array_union(F.array("surname"), "parts")).alias("text")).distinct()
+    texts = forms.select(F.col("town_id").alias("block"), F.explode(F.array_union(F.array("surname"), "parts")).alias("text")).filter("block is not null and text != ''").distinct()
     pairs = radius_join(texts).filter(slip(*SURNAME))
     near = durable(pairs.unionByName(texts.select("block", F.col("text").alias("a"), F.col("text").alias("b"), F.lit(0).alias("d"))))
     sure, guessed = forms.filter("club_id is not null"), forms.filter("club_id is null")
     own = sure.filter("kinds > 1").select(F.col("town_id").alias("block"), "club_id", F.explode(F.array_union(F.array("surname"), "parts")).alias("b")).distinct()
     wanted = guessed.select(F.col("town_id").alias("block"), F.col("surname").alias("a")).distinct()
-    owners = _nearest(near.join(wanted.hint("merge"), ["block", "a"]).join(own.hint("merge"), ["block", "b"]), ["block", "a"], "club_id")
+    owners = nearest(near.join(wanted.hint("merge"), ["block", "a"]).join(own.hint("merge"), ["block", "b"]), ["block", "a"], "club_id")
     guessed = guessed.drop("club_id").join(owners.select(F.col("block").alias("town_id"), F.col("a").alias("surname"), "club_id").hint("merge"), ["town_id", "surname"])
     forms = durable(sure.unionByName(guessed.select(*sure.columns)))
 
@@ -78,7 +72,7 @@ def settle(forms: DataFrame) -> DataFrame:
     halves = names.filter(F.size("parts") > 1).join(heads.hint("merge"), ["block", "text"]).select("town", "block", F.explode("parts").alias("b"), F.col("anchor").alias("whole")).distinct()
     simple = names.filter(F.size("parts") < 2).select("town", "block", F.col("text").alias("a"))
     joined = near.withColumnRenamed("block", "town").join(simple.hint("merge"), ["town", "a"]).join(halves.hint("merge"), ["town", "block", "b"]).filter("whole != a")
-    whole = _nearest(joined, ["block", "a"], "whole").withColumnRenamed("a", "text")
+    whole = nearest(joined, ["block", "a"], "whole").withColumnRenamed("a", "text")
     up = heads.join(whole.hint("merge"), ["block", "text"], "left").select("block", "text", F.when(F.col("anchor") == F.col("text"), F.coalesce("whole", "anchor")).otherwise(F.col("anchor")).alias("anchor"))
     family = follow(up).select(F.col("block").alias("club_id"), F.col("text").alias("surname"), F.col("anchor").alias("family"))
     return salted_join(forms, family, ["club_id", "surname"], "player_name")
@@ -107,7 +101,7 @@ def given_anchors(forms: DataFrame) -> tuple[DataFrame, DataFrame]:
     that, others by what was learned.
     """
     typed = durable(forms.filter("given is not null").groupBy("block", "given").agg(F.collect_set("position").alias("positions")))
-    words = typed.groupBy(F.lit("").alias("block"), F.col("given").alias("text")).agg(F.count(F.lit(1)).alias("n"))
+    words = durable(typed.groupBy(F.lit("").alias("block"), F.col("given").alias("text")).agg(F.count(F.lit(1)).alias("n")))
     heads = anchor(words, radius_join(words.select("block", "text")).filter(slip(*GIVEN))).select(F.col("text").alias("given"), F.col("anchor").alias("name"))
     typed = salted_join(typed, heads, ["given"], "block")
     names = durable(typed.groupBy("block", "name").agg(F.array_distinct(F.flatten(F.collect_set("positions"))).alias("positions")))
@@ -128,10 +122,11 @@ def given_anchors(forms: DataFrame) -> tuple[DataFrame, DataFrame]:
     keyed = w.select("block", "w", "pw", F.explode(_short_keys("w")).alias("key")).join(f.select("block", "f", "pf", F.explode(_full_keys("f")).alias("key")).hint("merge"), ["block", "key"])
     keyed = keyed.filter(F.length("w") < F.length("f")).select("block", "w", "f", meets.alias("meets"), F.lit(True).alias("part"))
     known = salted_join(w, learned, ["w"], "block").join(f.drop("k").hint("merge"), ["block", "f"]).select("block", "w", "f", meets.alias("meets"), F.lit(False).alias("part"))
-    cands = keyed.unionByName(known).groupBy("block", "w", "f").agg(F.max("meets").alias("meets"), F.max("part").alias("part"))
-    cands = cands.join(cands.groupBy("block", "w").agg(F.max(F.col("part") & F.col("meets")).alias("parts")).hint("merge"), ["block", "w"]).filter("meets and (part or not parts)")
     # the only full name of the position; what shares letters comes before what doesn't
-    pick = cands.groupBy("block", "w").agg(F.count(F.lit(1)).alias("k"), F.min("f").alias("full")).filter("k = 1").select("block", F.col("w").alias("text"), "full")
+    part = F.when(F.col("part"), F.col("f"))
+    pick = keyed.unionByName(known).filter("meets").groupBy("block", "w").agg(*[g(c).alias(f"{n}_{g.__name__}") for n, c in (("part", part), ("all", F.col("f"))) for g in (F.min, F.max)])
+    at = F.when(F.col("part_min").isNotNull(), F.struct(F.col("part_min").alias("a"), F.col("part_max").alias("z"))).otherwise(F.struct(F.col("all_min").alias("a"), F.col("all_max").alias("z")))
+    pick = pick.select("block", F.col("w").alias("text"), at.alias("x")).filter("x.a = x.z").select("block", "text", F.col("x.a").alias("full"))
     up = names.select("block", F.col("name").alias("text")).join(pick.hint("merge"), ["block", "text"], "left").select("block", "text", F.coalesce("full", "text").alias("anchor"))
     found = follow(up).select("block", F.col("text").alias("name"), F.col("anchor").alias("head"))
     return typed.select("block", "given", "name").join(found.hint("merge"), ["block", "name"]).select("block", "given", "head"), learned.filter("c >= 2").select(F.col("w").alias("given"), F.col("f").alias("full"))
@@ -178,9 +173,9 @@ def link_names(stats: DataFrame, teams: DataFrame) -> tuple[DataFrame, DataFrame
     records are one person's records; empty tables give empty results.
     """
     stats = stats.select("record_id", "player_name", "club", _position("position").alias("position"))
-    typed = stats.filter(~is_missing(F.col("club"))).groupBy(F.col("club").alias("text")).agg(F.count(F.lit(1)).alias("n"))
-    named = teams.filter(~is_missing(F.col("team_name"))).groupBy(F.col("team_name").alias("text")).agg(F.count(F.lit(1)).alias("n"))
-    clubs = club_spellings(typed.unionByName(named).groupBy("text").agg(F.sum("n").alias("n")))
+    typed = stats.filter(~is_missing(F.col("club"))).select(F.col("club").alias("text"))
+    named = teams.filter(~is_missing(F.col("team_name"))).select(F.col("team_name").alias("text"))
+    clubs = club_spellings(typed.unionByName(named).groupBy("text").agg(F.count(F.lit(1)).alias("n")))
     club_id = F.when(F.col("kind").isNotNull() | (F.col("kinds") == 0), F.concat_ws("|", "town_id", F.coalesce("kind", F.lit("")), F.when(F.col("reserve"), "2")))
     clubs = durable(clubs.withColumn("club_id", club_id))
 
@@ -190,7 +185,7 @@ def link_names(stats: DataFrame, teams: DataFrame) -> tuple[DataFrame, DataFrame
     forms = durable(forms.join(people.hint("merge"), "player_name"))
     release(forms)
     forms = settle(forms).withColumn("block", F.concat_ws("|", "club_id", "family"))
-    own = persons(forms.select("block", "club_id", "player_name", "club", "given", "letter", "position", "n"))
+    own = persons(durable(forms.select("block", "club_id", "player_name", "club", "given", "letter", "position", "n")))
 
     records = salted_join(stats, own.select("player_name", "club", "position", "club_id", "person_id"), ["player_name", "club", "position"], "record_id", "left")
     plain = salted_join(records.select("record_id", "club", F.col("club_id").alias("own"), "person_id"), clubs.select(F.col("text").alias("club"), "club_id"), ["club"], "record_id", "left")

@@ -78,10 +78,13 @@ def name_roles(texts: DataFrame) -> DataFrame:
     schema = "text string, tokens array<string>, cut int, own array<double>, words array<string>, first int, last int, changed boolean"
     names = names.withColumns({"first": F.lit(-1), "last": F.lit(-1)})
     for _ in range(ROUNDS):
-        words = names.select("text", F.posexplode(F.arrays_zip("words", "own")).alias("i", "x")).select("text", "i", F.col("x.words").alias("word"), F.col("x.own").alias("own"))
-        counts = words.groupBy("word").agg(F.sum("own").alias("g"), F.sum(1 - F.col("own")).alias("s"))
-        seen = salted_join(words, counts, ["word"], "text").groupBy("text").agg(F.sort_array(F.collect_list(F.struct("i", "g", "s"))).alias("seen"))  # as long as the name
-        whole = names.join(seen.hint("merge"), "text", "left")
+        # each word with its place; the first brings the name itself, so that names and counts meet in one shuffle by text
+        own = F.struct(*names.columns[:7])
+        words = names.select("text", own.alias("name"), F.posexplode_outer(F.arrays_zip("words", "own")).alias("i", "x"))
+        words = words.select("text", "i", F.col("x.words").alias("word"), F.col("x.own").alias("own"), F.when(F.coalesce("i", F.lit(0)) == 0, F.col("name")).alias("name"))
+        counts = words.filter("word is not null").groupBy("word").agg(F.sum("own").alias("g"), F.sum(1 - F.col("own")).alias("s"))
+        seen = F.sort_array(F.collect_list(F.when(F.col("i").isNotNull(), F.struct("i", "g", "s")))).alias("seen")  # as long as the name
+        whole = salted_join(words, counts, ["word"], "text", "left").groupBy("text").agg(F.first("name", ignorenulls=True).alias("name"), seen)
 
         def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
@@ -97,7 +100,7 @@ def name_roles(texts: DataFrame) -> DataFrame:
                     out.append((r.text, list(r.tokens), r.cut, _own(list(r.tokens), ways), list(r.words), a, b, (a, b) != (r.first, r.last)))
                 yield pd.DataFrame(out, columns=["text", "tokens", "cut", "own", "words", "first", "last", "changed"])
 
-        names = durable(whole.select(*names.columns[:7], "seen").mapInPandas(read, schema))
+        names = durable(whole.select("name.*", "seen").mapInPandas(read, schema))
         moved = names.agg(F.coalesce(F.avg(F.col("changed").cast("int")), F.lit(0.0))).first()[0]
         if moved <= SETTLED:
             break

@@ -184,6 +184,48 @@ def test_no_step_gathers_a_side_on_the_driver(spark, monkeypatch):
     assert sorted((r.a, r.b, r.d) for r in found.collect()) == [("prefex", "prefix", 1), ("prefix", "prefex", 1), ("prefix", "prefixes", 2), ("prefixes", "prefix", 2)]
 
 
+def test_steps_shuffle_little(spark, monkeypatch):
+    """Each shuffle of a plan costs the driver a thread and new plans: the steps of the names have few."""
+    shuffles = []
+
+    def kept(df):
+        shuffles.append(df._jdf.queryExecution().executedPlan().toString().count(" Exchange "))
+        return session.durable(df)
+
+    for module in (C, M, N, R):
+        monkeypatch.setattr(module, "durable", kept)
+    stats = [("r1", "Santiago Fajavett", "FC Rithobdudheim", "F"), ("r2", "Fajavett, Santi", "Rithobdud. FC", "F"), ("r3", "S. Fajvett", "F.C. Rithobdudheim", None)]
+    assert ("player", "r1", "r2") in link(spark, stats, [("t1", "FC Rithobdudheim"), ("t2", "FC Ritobdudheim")])
+    assert len(shuffles) > 20 and sum(shuffles) <= 165 and max(shuffles) <= 16
+
+
+def test_the_nearest_value_is_the_only_one(spark):
+    rows = [("a", "x", 1), ("a", "x", 1), ("a", "y", 2), ("b", "x", 1), ("b", "y", 1), ("c", "z", 2), ("c", "w", 0), ("d", "v", 2)]
+    got = sorted(tuple(r) for r in M.nearest(spark.createDataFrame(rows, "k string, v string, d int"), ["k"], "v").collect())
+    assert got == [("a", "x"), ("c", "w"), ("d", "v")]
+    got = {r.k0: (r.k, r.v) for r in N._only(spark.createDataFrame([(k, v) for k, v, _ in rows], "k0 string, v string"), ["k0"], "v").collect()}
+    assert got == {"a": (2, "x"), "b": (2, "x"), "c": (2, "w"), "d": (1, "v")}
+
+
+def test_texts_are_read_with_what_stands_beside_them(spark):
+    texts = spark.createDataFrame([("Derby Town", 3, ["x"]), ("FC Bristol", 1, None)], "text string, n long, more array<string>")
+    got = sorted((r.text, r.town, r.kind, r.reserve, r.n, r.more) for r in C.read_texts(texts, S.read_club, "text string, town string, kind string, reserve boolean").collect())
+    assert got == [("Derby Town", "derbi", "town", False, 3, ["x"]), ("FC Bristol", "bristol", "football", False, 1, None)]
+
+
+def test_a_name_of_initials_alone_is_read(spark):
+    names = spark.createDataFrame([("A. B.",), ("Ann Low",), ("Low, A.",), ("Bo Low",)], "text string")
+    got = {r.text: (r.surname, r.given, r.letter) for r in R.name_roles(names).collect()}
+    assert got["Ann Low"] == ("lov", "an", "a") and got["Low, A."] == ("lov", None, "a") and got["A. B."] == ("b", None, "a") and len(got) == 4
+
+
+def test_a_familiar_form_of_two_names_stays_apart(spark):
+    forms = [("x", "ro", "F"), ("x", "roberto", "F"), ("x", "rosalinda", "F"), ("y", "ro", "F"), ("y", "roberto", "F"), ("y", "rosalinda", "G"), ("z", "rob", ""), ("z", "roberto", "G")]
+    rows = [(b, f"{b}{g}", "c", g, g[0], p, 1) for b, g, p in forms]
+    got = {(r.block, r.given): r["head"] for r in N.given_anchors(spark.createDataFrame(rows, FORMS))[0].collect()}
+    assert got["x", "ro"] == "ro" and got["y", "ro"] == got["z", "rob"] == "roberto"
+
+
 def test_empty_and_repeated(spark):
     assert link(spark, [], []) == []
     got = link(spark, [("a", "Ann Low", "Lowtownland City", None)] * 1 + [("b", "Ann Low", "Lowtownland City", None)], [])
